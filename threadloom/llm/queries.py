@@ -7,18 +7,74 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import simhash
+from threadloom.llm import decontaminate, embeddings, language, rans, sentencepiece, sharding, simhash, toxicity, warc
+from threadloom.llm.shared import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece.load(_tokenizer("piece_bpe_32k.model"))
+    return sentencepiece.encode(_table(spark, sf_dir, "documents"), model)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_simhash": op2_simhash}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), min_cos=0.95)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"), least_bytes=100)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(_tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return rans.write_and_read(_table(spark, sf_dir, "documents"), definition, end_id=2)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_simhash": op2_simhash,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_embeddings": op5_embeddings,
+    "op6_warc": op6_warc,
+    "op7_sharding": op7_sharding,
+    "op8_language": op8_language,
+    "op9_rans": op9_rans,
+    "op10_toxicity": op10_toxicity,
+}
 
 ORACLES: dict[str, str] = {}
