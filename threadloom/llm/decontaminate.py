@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import small_batches
+from threadloom.llm.shared import Shared, small_batches
 
 WORD = re.compile(r"\w+")
 #: Positions of a window that each mask compares.
@@ -163,7 +163,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     schema = "doc_id long, item_id long, first_word int, n_words int, matched_words int, item_words int"
     found = None
     for block in blocks_of(benchmark, least_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = Shared(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache: dict[str, int] = {}
@@ -187,7 +187,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float
     small_batches(docs.sparkSession)
     kept = docs
     for block in blocks_of(benchmark, least_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = Shared(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache: dict[str, int] = {}

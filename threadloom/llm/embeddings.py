@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import by_group, group_edges, split_hot
+from threadloom.llm.shared import Shared, by_group, group_edges, split_hot
 from threadloom.operators.components import components_of_edges
 from threadloom.session import materialize
 
@@ -113,7 +113,7 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int = 4, leaf_rows: i
         by_dim.setdefault(len(v), []).append(v)
     dims = [r[0] for r in vectors.select(F.size("embedding")).distinct().limit(1000).collect()]
     samples = {dim: unit_rows(by_dim[dim]) if dim in by_dim else np.zeros((0, dim)) for dim in dims}
-    forest = spark.sparkContext.broadcast(fit_forest(samples, total, min_cos, trees, leaf_rows, spill, seed))
+    forest = Shared(spark, fit_forest(samples, total, min_cos, trees, leaf_rows, spill, seed))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import held_out, small_batches
+from threadloom.llm.shared import Shared, held_out, small_batches
 
 RUN = re.compile(r"[^\W\d_]+")
 SPAN = 40
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, fit_docs: int = 1500, **options) -> Tagger | None:
 
 
 def _scorer(docs: DataFrame, model: Tagger | None):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
         cache: dict[str, int] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, embeddings, language, rans, sentencepiece, sharding, simhash, toxicity, warc
+from threadloom.llm import decontaminate, embeddings, language, licenses, rans, sentencepiece, sharding, simhash, toxicity, warc
 from threadloom.llm.shared import held_out
 
 
@@ -31,6 +31,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_decontaminate": op4_decontaminate,
     "op5_embeddings": op5_embeddings,
     "op6_warc": op6_warc,

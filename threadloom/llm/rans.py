@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import small_batches
+from threadloom.llm.shared import Shared, small_batches
 from threadloom.session import materialize, scratch_path
 
 MAGIC = b"TLRANS01"
@@ -173,7 +173,7 @@ def tokenise(docs: DataFrame, definition: str, end_id: int = 2) -> DataFrame:
     """``docs(doc_id, text)`` -> chunks ``(part, chunk, doc_ids, sizes, n, ids)`` in ascending doc_id order; ``ids`` is packed and compressed."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    shared = spark.sparkContext.broadcast(definition)
+    shared = Shared(spark, definition)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def count_ids(chunks: DataFrame) -> np.ndarray:
 
 def write_files(chunks: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
     """Chunks with their ``start`` -> ``(path, start)`` of the files written, one per chunk."""
-    shared = chunks.sparkSession.sparkContext.broadcast(freq)
+    shared = Shared(chunks.sparkSession, freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
@@ -285,7 +285,7 @@ def read_file(system: fs.FileSystem, path: str, freq: np.ndarray) -> Iterator[tu
 
 def read_files(files: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
     """``files(path)`` -> ``(doc_id, start, n_tokens, ids_crc32)`` per document, decoded from the files."""
-    shared = files.sparkSession.sparkContext.broadcast(freq)
+    shared = Shared(files.sparkSession, freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(folder)

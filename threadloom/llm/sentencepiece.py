@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from threadloom.llm.shared import small_batches
+from threadloom.llm.shared import Shared, small_batches
 
 MARK = "▁"
 CACHE_WORDS = 300_000
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     texts have no ids; a null counts as empty. Extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """``encoded(doc_id, ids)`` -> ``(doc_id, text)``; null ids give an empty text."""
     small_batches(encoded.sparkSession)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)

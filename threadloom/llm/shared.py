@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Shared:
+    """A broadcast value pickled with its class, so executors need no copy of this package on their path."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.held: tuple = ()
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "held": ()}
+
+    @property
+    def value(self):
+        if not self.held:
+            self.held = (pickle.loads(self.sent.value),)
+        return self.held[0]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small: rows here are whole documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

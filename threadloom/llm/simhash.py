@@ -145,3 +145,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
         distinct.join(member.join(lowest, "component").select("fp", "low"), "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")), "simhash-named"
     )
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
+    """Rows of ``docs``, all columns, with one document left of each group: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id count as one document. Documents without an id are told apart by their text.
+    """
+    key = F.coalesce("doc_id", -1 - F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)))
+    keyed = docs.withColumn("_key", key)
+    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, max_bits)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

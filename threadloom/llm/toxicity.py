@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import held_out, small_batches
+from threadloom.llm.shared import Shared, held_out, small_batches
 
 WORD = re.compile(r"\w+")
 ORDERS = (2, 3, 4, 5, 6)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000, keep: int = 40
     bounded = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))  # at most 2 * fit_docs rows
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(bounded, "doc_id").select("doc_id", "text", "toxic")
     ratios = log_ratios(document_counts(sample), keep)
-    known = spark.sparkContext.broadcast(frozenset(ratios))
+    known = Shared(spark, frozenset(ratios))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _features(batches, known.value):
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Scorer | None) -> DataFrame:
     Without any label to learn from every score is 0. Extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Scorer | None) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Scorer | None, below: float = 0.5) -> DataFrame:
     """Rows of ``docs``, all columns, scored under ``below``."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
