@@ -6,5 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from threadloom.plans import graph_oracles, graph_queries
+from threadloom.plans.shape import tidy
+
+
+def _shaped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: tidy(query(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shaped(q) for name, q in graph_queries.QUERIES.items()}
+ORACLES: dict[str, str] = dict(graph_oracles.ORACLES)

@@ -57,3 +57,54 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inside = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     linked = components_of_edges(inside.select("src", "dst"))
     return known.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _reach_least(labels: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Fixpoint of ``labels(id, label)`` under passing the smaller label along ``arcs(src, dst)``."""
+    spark = labels.sparkSession
+    current, path = materialize(labels, "reach")
+    while True:
+        passed = arcs.join(current.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.col("label").alias("in"))
+        least = passed.groupBy("id").agg(F.min("in").alias("in"))
+        after = current.join(least, "id", "left").select("id", F.least("label", "in").alias("label"), (F.col("in") < F.col("label")).alias("moved"))
+        following, new_path = materialize(after, "reach")
+        moved = not following.where("moved").isEmpty()
+        drop_path(spark, path)
+        current, path = following.select("id", "label"), new_path
+        if not moved:
+            return current
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, component)`` of mutual reachability; component is the smallest member.
+
+    Each round settles nodes without an arc in or out on their own, colours the rest by the smallest id
+    that reaches them, and settles those that reach the id of their colour inside it.
+    """
+    left, _ = materialize(nodes.select("id").distinct(), "scc")
+    arcs, _ = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
+    settled = None
+    while not left.isEmpty():
+        ends = arcs.select(F.col("src").alias("id")).distinct().join(arcs.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        inner = left.join(ends, "id", "left_semi")
+        trimmed = left.join(ends, "id", "left_anti").select("id", F.col("id").alias("component"))
+        colour = _reach_least(inner.select("id", F.col("id").alias("label")), arcs)
+        inside = arcs.join(colour.select(F.col("id").alias("src"), F.col("label").alias("ls")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("ld")), "dst").where("ls = ld")
+        inside, _ = materialize(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc")
+        # Against the arcs, only a colour's own id starts with a label; who receives it reaches that id.
+        start = colour.select("id", F.when(F.col("id") == F.col("label"), 0).otherwise(1).alias("label"))
+        back = _reach_least(start, inside).where("label = 0").select("id")
+        found = colour.join(back, "id", "left_semi").select("id", F.col("label").alias("component")).union(trimmed)
+        found, _ = materialize(found, "scc")
+        settled = found if settled is None else settled.union(found)
+        left, _ = materialize(left.join(found, "id", "left_anti"), "scc")
+        gone = found.select("id")
+        arcs, _ = materialize(arcs.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "scc")
+    return settled if settled is not None else left.select("id", F.col("id").alias("component"))
+
+
+def giant(nodes: DataFrame, membership: DataFrame) -> DataFrame:
+    """Ids of the largest component; the smallest first member wins ties."""
+    sizes = membership.groupBy("component").agg(F.count("*").alias("size"))
+    top = sizes.orderBy(F.desc("size"), "component").limit(1)
+    return membership.join(F.broadcast(top), "component", "left_semi").select("id")
