@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import graph_oracles, graph_queries
+from threadloom.plans import graph_oracles, graph_queries, text_oracles, text_queries, view_queries
 from threadloom.plans.shape import tidy
 
 
@@ -14,5 +14,7 @@ def _shaped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return lambda spark, sf_dir: tidy(query(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _shaped(q) for name, q in graph_queries.QUERIES.items()}
-ORACLES: dict[str, str] = dict(graph_oracles.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: _shaped(q) for part in (graph_queries, text_queries, view_queries) for name, q in part.QUERIES.items()
+}
+ORACLES: dict[str, str] = graph_oracles.ORACLES | text_oracles.ORACLES | view_queries.ORACLES
