@@ -155,8 +155,8 @@ def average_ranks(table: DataFrame, measure: str, name: str) -> DataFrame:
 def spearman(table: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``(spearman)``: Pearson's correlation of average ranks, 0 where a side doesn't vary."""
     both = average_ranks(average_ranks(table, x, "_rx"), y, "_ry")
-    flat = (F.var_pop("_rx") == 0) | (F.var_pop("_ry") == 0)
-    return both.agg(F.when(F.coalesce(flat, F.lit(True)), 0.0).otherwise(F.corr("_rx", "_ry")).alias("spearman"))
+    spread = F.sqrt(F.var_pop("_rx") * F.var_pop("_ry"))
+    return both.agg(F.coalesce(F.covar_pop("_rx", "_ry") / F.nullif(spread, F.lit(0.0)), F.lit(0.0)).alias("spearman"))
 
 
 def title_mask(ids: DataFrame) -> DataFrame:
