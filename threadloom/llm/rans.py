@@ -13,10 +13,12 @@ checkpoints, first id's global position; ``MAGIC``.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +39,22 @@ STEPS = 512
 TOGETHER = 32
 LOW = np.uint64(1 << 31)
 CHUNK_IDS = 1 << 22
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 #: White space other than the space and the newline, and characters that only some regex engines call white space.
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: Letters and numbers below U+0250, and the byte-level pre-tokeniser's cut of texts that hold no others.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+#: Units of these characters are cut that way; "<" may begin a special token.
+PLAIN = re.compile("[\n -;=-~\xa1-\u024f]*")
+#: The pre-tokeniser shows bytes that are no visible Latin-1 character as code points from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPACE = "\u0120"
+WORD = re.compile("[!-~]*")
+VISIBLE = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
 
 def frequency_table(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to sum to ``2**SCALE``; every id that occurs keeps at least 1."""
@@ -132,12 +146,47 @@ def decode_blocks(blocks: list[bytes], freq: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+class Units(dict):
+    """Packed ids of units that follow ``before``, encoded when first met.
+
+    Plain units are cut by the byte-level pre-tokeniser's rule, written out here for Latin letters, and
+    their pieces go through the library's merge model; any other unit goes through the whole library.
+    """
+
+    def __init__(self, library, kind: str, before: str):
+        super().__init__()
+        self.library, self.model, self.pieces = library, library.model, {}
+        self.kind, self.code, self.before = kind, "H" if kind == "<u2" else "I", before
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        space = piece.startswith(" ")
+        word = piece[1:] if space else piece
+        if not WORD.fullmatch(word):
+            word = word.encode().decode("latin-1").translate(VISIBLE)
+        packed = array(self.code, [t.id for t in self.model.tokenize(SPACE + word if space else word)]).tobytes()
+        self.pieces[piece] = packed
+        return packed
+
+    def __missing__(self, unit: str) -> bytes:
+        text = self.before + unit
+        if PLAIN.fullmatch(text):
+            get = self.pieces.get
+            found = b"".join([get(p) or self.piece(p) for p in PIECE.findall(text)])
+        else:
+            found = self.whole(text)
+        self[unit] = found
+        return found
+
+
 class Tokens:
     """Ids of texts by the tokenizers library, which encodes each distinct unit once.
 
     A byte-level pre-tokeniser never joins a character that is not white space to a space after it, so
-    a text's ids are those of its units (a space and what follows up to the next). Texts whose white
-    space is less plain than that are encoded whole.
+    a text's ids are those of its units (what lies between spaces, with the space before it). Texts whose
+    white space is less plain than that, and tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, definition: str, end_id: int):
@@ -146,27 +195,31 @@ class Tokens:
         self.library = Tokenizer.from_str(definition)
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.units: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        made = json.loads(definition)
+        rule = made.get("pre_tokenizer") or {}
+        ordinary = all("<" in t["content"] for t in made.get("added_tokens", []))
+        self.by_unit = rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and not made.get("normalizer") and not made.get("post_processor") and ordinary
+        self.units, self.firsts = Units(self.library, self.kind, " "), Units(self.library, self.kind, "")
+
+    def encode_one(self, text: str | None) -> bytes:
+        """Ids of one text and the end id, packed; a null text counts as empty."""
+        if not text:
+            return self.end
+        if not self.by_unit or "  " in text or text.endswith(" ") or "\n \n" in text or ODD.search(text):
+            return self.units.whole(text) + self.end
+        words = text.split(" ")
+        first = self.firsts[words[0]]
+        words[0] = ""
+        parts = list(map(self.units.__getitem__, words))
+        parts[0] = first
+        return b"".join(parts) + self.end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and the end id, packed; a null text counts as empty."""
-        plain = [t is not None and not ("  " in t or t.endswith(" ") or "\n \n" in t or ODD.search(t)) for t in texts]
-        split = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.units) > CACHE_UNITS or len(self.firsts) > CACHE_UNITS:
-            self.units.clear()
-            self.firsts.clear()
-        known = self.units
-        fresh = sorted({u for s in split if s for u in s[1:] if u not in known})
-        known.update(zip(fresh, self.whole([" " + u for u in fresh]), strict=True))
-        heads = sorted({s[0] for s in split if s and s[0] not in self.firsts})
-        self.firsts.update(zip(heads, self.whole(heads), strict=True))
-        odd = iter(self.whole([t or "" for t, p in zip(texts, plain, strict=True) if not p]))
-        get = known.__getitem__
-        return [(self.firsts[s[0]] + b"".join(map(get, s[1:])) if s else next(odd)) + self.end for s in split]
+        for units in (self.units, self.firsts):
+            if len(units) > CACHE_UNITS:
+                units.clear()
+                units.pieces.clear()
+        return [self.encode_one(t) for t in texts]
 
 
 def tokenise(docs: DataFrame, definition: str, end_id: int = 2) -> DataFrame:
@@ -179,7 +232,7 @@ def tokenise(docs: DataFrame, definition: str, end_id: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pack = Tokens(shared.value, end_id), zstandard.ZstdCompressor(level=1)
         width = np.dtype(tokens.kind).itemsize
-        part, chunk, held = TaskContext.get().partitionId(), 0, ([], [], [])
+        part, chunk, size, held = TaskContext.get().partitionId(), 0, 0, ([], [], [])
 
         def flush() -> pa.RecordBatch:
             doc_ids, sizes, blobs = held
@@ -197,9 +250,10 @@ def tokenise(docs: DataFrame, definition: str, end_id: int = 2) -> DataFrame:
 
         for batch in batches:
             for doc_id, blob in zip(batch.column("doc_id").to_pylist(), tokens.encode(batch.column("text").to_pylist()), strict=True):
-                if held[0] and sum(held[1]) + len(blob) // width > CHUNK_IDS:
+                if held[0] and size + len(blob) // width > CHUNK_IDS:
                     yield flush()
-                    chunk += 1
+                    chunk, size = chunk + 1, 0
+                size += len(blob) // width
                 held[0].append(doc_id)
                 held[1].append(len(blob) // width)
                 held[2].append(blob)
