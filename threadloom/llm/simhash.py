@@ -26,23 +26,35 @@ from threadloom.session import materialize
 SEED = 42
 PIVOTS = 24
 UNIT_ROWS = 2048
+SEGMENT = 16
 
 
-def simhash64(text: bytes, shingle: int) -> int:
-    """Fingerprint of one text: ASCII-lower-cased, ASCII-white-space words, XXH64 seed 42; no word gives 0."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of ASCII-lower-cased, ASCII-white-space words; fewer words make one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        digest, starts = xxhash.xxh64_intdigest, [0, *ends]
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    h = np.array(hashes, dtype="<u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    digest, starts = xxhash.xxh64_intdigest, [0, *ends]
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], dtype="<u8")
+
+
+def bits_of(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def majority(ones: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    """Fingerprints whose bits are those set in over half of the hashes."""
+    return np.packbits(ones * 2 > sizes, axis=-1, bitorder="little").view("<u8")
+
+
+def simhash64(text: bytes, shingle: int) -> int:
+    """Fingerprint of one text; no word gives 0."""
+    h = shingle_hashes(text, shingle)
+    return int(majority(bits_of(h).sum(axis=0, dtype=np.int64), len(h))[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -147,13 +159,108 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
+def wide_bits(similarity: float, words: int, slack: float = 1.5) -> int:
+    """Bits of a ``64 * words`` bit fingerprint in which texts of this Jaccard similarity differ, and ``slack`` deviations more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * words * p + slack * np.sqrt(64 * words * p * (1 - p)))
+
+
+def profile(text: bytes, shingle: int, words: int) -> tuple[int, bytes, np.ndarray]:
+    """64-bit fingerprint, wide fingerprint of the distinct shingles, and distinct fingerprints of the text's segments.
+
+    A segment ends after a shingle whose hash is divisible by ``SEGMENT``, so edits disturb only the segments around them.
+    """
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0, bytes(8 * words), np.zeros(1, "<u8")
+    bits = bits_of(h)
+    cuts = np.flatnonzero(h % np.uint64(SEGMENT) == 0) + 1
+    starts = np.r_[0, cuts[cuts < len(h)]]
+    segments = majority(np.add.reduceat(bits, starts, axis=0, dtype=np.int64), np.diff(np.r_[starts, len(h)])[:, None])
+    once = np.unique(h)
+    wide = []
+    for k in range(words):
+        mixed = (once ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        wide.append(majority(bits_of(mixed ^ (mixed >> np.uint64(29))).sum(axis=0, dtype=np.int64), len(once)))
+    return int(majority(bits.sum(axis=0, dtype=np.int64), len(h))[0]), np.concatenate(wide).tobytes(), np.unique(segments.reshape(-1))
+
+
+def profiles(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fp, wide, segments)``."""
+    small_batches(docs.sparkSession)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [profile(t or b"", shingle, words) for t in batch.column("body").to_pylist()]
+        fps = np.array([f for f, _, _ in rows], dtype=np.uint64).view(np.int64)
+        segments = pa.array([x.view(np.int64) for _, _, x in rows], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array([w for _, w, _ in rows], pa.binary()), segments], ["doc_id", "fp", "wide", "segments"])
+
+    run, schema = arrow_map("doc_id long, fp long, wide binary, segments array<long>", one)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(run, schema)
+
+
+def similar_links(distinct: DataFrame, similarity: float, words: int, shared: float = 0.4) -> DataFrame:
+    """``distinct(id, wide, segments)`` -> spanning links ``(src, dst)`` among rows whose wide fingerprints are as near as ``similarity`` makes them.
+
+    Rows meet on a common segment. Segments are taken rarest first, as many as two rows that share
+    ``shared`` of their segments need for one in common, so wording that many documents hold brings few rows together.
+    """
+    each = distinct.select("id", F.size("segments").alias("total"), F.explode("segments").alias("segment"))
+    met = each.withColumn("times", F.expr("count(*) OVER (PARTITION BY segment)")).where("times > 1")
+    rank = F.expr("row_number() OVER (PARTITION BY id ORDER BY times, segment)")
+    lone = F.col("total") - F.expr("count(*) OVER (PARTITION BY id)")
+    most = F.col("total") - F.ceil(F.col("total") * shared) + 1
+    rare = met.withColumn("rank", rank + lone).where(F.col("rank") <= most).select("id", "segment")
+    units = split_hot(rare, "segment", "id", UNIT_ROWS).select("id", "unit", "side").join(distinct.select("id", "wide"), "id")
+    limit = wide_bits(similarity, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, "unit"):
+            unit, side, ids = (table.column(c).to_numpy() for c in ("unit", "side", "id"))
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, words)
+            starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            for s, e in zip(starts, np.r_[starts[1:], len(unit)], strict=True):
+                if e - s < 2:
+                    continue
+                far = np.zeros((e - s, e - s), np.uint16)
+                for k in range(words):
+                    far += np.bitwise_count(wide[s:e, k][:, None] ^ wide[s:e, k][None, :])
+                where = side[s:e]
+                rows, roots = group_edges((far <= limit) & ((where[:, None] == 2) | (where[:, None] != where[None, :])))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][rows]), pa.array(ids[s:e][roots])], ["src", "dst"])
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "src long, dst long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float = 0.8, words: int = 8) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, component_id)`` by near 64-bit fingerprints and by similarity of shingle sets.
+
+    Copies collapse first (equal wide and 64-bit fingerprints). Nulls, empty texts and texts without a
+    word are copies of each other. Rows that repeat a doc_id all appear; ids are taken as not null.
+    """
+    rows, _ = materialize(profiles(docs, shingle, words).withColumn("key", F.xxhash64("fp", "wide")), "profiles")
+    distinct, _ = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("segments").alias("segments")), "profiles-distinct")
+    by_fp = distinct.groupBy("fp").agg(F.min("key").alias("head"))
+    same = distinct.join(by_fp, "fp").where("key <> head").select(F.col("key").alias("src"), F.col("head").alias("dst"))
+    near = near_links(by_fp.select("fp"), max_bits)
+    near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    similar = similar_links(distinct.select(F.col("key").alias("id"), "wide", "segments"), similarity, words)
+    linked = components_of_edges(same.union(near).union(similar))
+    member = linked.withColumnRenamed("id", "key").join(distinct.select("key", "first_id"), "key")
+    lowest = member.groupBy("component").agg(F.min("first_id").alias("low"))
+    named, _ = materialize(distinct.select("key", "first_id").join(member.join(lowest, "component").select("key", "low"), "key", "left").select("key", F.coalesce("low", "first_id").alias("component_id")), "profiles-named")
+    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, with one document left of each group: the one with the smallest doc_id.
 
     Rows that repeat a doc_id count as one document. Documents without an id are told apart by their text.
     """
     key = F.coalesce("doc_id", -1 - F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)))
     keyed = docs.withColumn("_key", key)
-    groups = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, max_bits)
+    groups = near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, max_bits, similarity)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
