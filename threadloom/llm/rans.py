@@ -363,6 +363,7 @@ def write_and_read(docs: DataFrame, definition: str, folder: str | None = None,
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "rans")
     chunks, _ = materialize(tokenise(docs, definition, end_id), "token-chunks")
+    small_batches(spark, 1)
     freq = frequency_table(count_ids(chunks))
     totals = sorted((r.part, r.n) for r in chunks.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row per partition
     before = np.r_[0, np.cumsum([n for _, n in totals])]
@@ -371,7 +372,8 @@ def write_and_read(docs: DataFrame, definition: str, folder: str | None = None,
     starts = chunks.select("part", "chunk", "n").withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(bases), "part")
     starts = starts.select("part", "chunk", (F.col("base") + F.col("upto") - F.col("n")).alias("start"))
     placed = chunks.join(F.broadcast(starts), ["part", "chunk"]) if len(totals) <= 100_000 else chunks.join(starts, ["part", "chunk"])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(spark, 1)  # a row is a whole chunk
     files, _ = materialize(write_files(placed, freq, folder), "rans-files")
+    small_batches(spark)
     count = max(1, files.count())
     return read_files(files.repartition(min(count, 4096)), freq, folder)
