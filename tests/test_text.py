@@ -232,3 +232,10 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(99, datetime.datetime(2026, 1, 2), 1, "click", 1.0, "")], stream.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream.run_available(stream.windowed_degrees(stream.read_events(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("events")).first()[0] == 50
+
+
+def test_passages_are_the_runs(spark):
+    run = "One two three, four five six seven"
+    d = docs(spark, a=f"Start.\n\nSome {run} end.", b=f"{run.upper()} other")
+    got = evidence.passages(d, texts.shared_runs(texts.paragraphs(d), 5), context=5).first()
+    assert (got.a, got.b, got.passage, got.before, got.after) == ("a", "b", run, "Some ", " end.")

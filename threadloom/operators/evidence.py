@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 GAP = re.compile(r"\n\s*\n")
 
 
-def word_spans(docs: DataFrame) -> DataFrame:
+def word_spans(docs: DataFrame, gap: str = GAP.pattern) -> DataFrame:
     """``docs(id, text)`` -> ``(id, para, pos, word, start, end)``: half-open character offsets into the text.
 
-    Paragraphs end at blank lines and are numbered from 0 among those that hold a word.
+    Paragraphs end at ``gap`` (blank lines) and are numbered from 0 among those that hold a word.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,7 +24,7 @@ def word_spans(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(batch["id"], batch["text"], strict=True):
                 para, offset = 0, 0
-                for end in [*(m.span() for m in GAP.finditer(text or "")), (len(text or ""),) * 2]:
+                for end in [*(m.span() for m in re.finditer(gap, text or "")), (len(text or ""),) * 2]:
                     found = [(m.group().lower().replace("’", "'"), *m.span()) for m in WORD.finditer(text or "", offset, end[0])]
                     rows += [(doc, para, k, *f) for k, f in enumerate(found)]
                     para, offset = para + bool(found), end[1]
@@ -33,6 +34,20 @@ def word_spans(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInPandas(run, f"id {kind}, para int, pos int, word string, start int, end int")
 
 
+def passages(docs: DataFrame, runs: DataFrame, gap: str = GAP.pattern, context: int = 110) -> DataFrame:
+    """The wording of shared runs ``(a, b, length, para_a, pos_a)`` in their first document, with offsets and context."""
+    spans = word_spans(docs, gap).select(F.col("id").alias("a"), F.col("para").alias("para_a"), "pos", "start", "end")
+    first = runs.join(spans.select("a", "para_a", F.col("pos").alias("pos_a"), "start"), ["a", "para_a", "pos_a"])
+    last = spans.select("a", "para_a", F.col("pos").alias("_last"), "end")
+    placed = first.withColumn("_last", (F.col("pos_a") + F.col("length") - 1).cast("int")).join(last, ["a", "para_a", "_last"])
+    cut = placed.join(docs.select(F.col("id").alias("a"), "text"), "a")
+    low = F.greatest(F.lit(0), F.col("start") - context)
+    return cut.select(
+        "a", "b", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("passage"),
+        F.substring("text", low + 1, F.col("start") - low).alias("before"), F.substring("text", F.col("end") + 1, F.lit(context)).alias("after"),
+    )
+
+
 def term_excerpts(docs: DataFrame, limit: int = 360, context: int = 80) -> DataFrame:
     """``docs(id, text, term)`` -> ``(id, term, start, end, excerpt, before, after)``.
 
