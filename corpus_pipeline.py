@@ -13,7 +13,7 @@ from threadloom.session import drop_path, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.keep_identified(docs, language.fit(docs))
+    return language.keep_identified(docs, language.fit(docs), min_score=0.4)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
