@@ -146,6 +146,12 @@ def decode_blocks(blocks: list[bytes], freq: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def odd(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return bool(ODD.search(text))
+
+
 class Units(dict):
     """Packed ids of units that follow ``before``, encoded when first met.
 
@@ -171,9 +177,14 @@ class Units(dict):
         return packed
 
     def __missing__(self, unit: str) -> bytes:
-        text = self.before + unit
-        if PLAIN.fullmatch(text):
-            get = self.pieces.get
+        text, get = self.before + unit, self.pieces.get
+        body = unit[:-1] if unit.endswith((".", ",")) else unit
+        if body.isascii() and body.isalpha():  # one word, perhaps with a mark after it
+            word = self.before + body
+            found = get(word) or self.piece(word)
+            if body is not unit:
+                found += get(unit[-1]) or self.piece(unit[-1])
+        elif PLAIN.fullmatch(text):
             found = b"".join([get(p) or self.piece(p) for p in PIECE.findall(text)])
         else:
             found = self.whole(text)
@@ -205,7 +216,7 @@ class Tokens:
         """Ids of one text and the end id, packed; a null text counts as empty."""
         if not text:
             return self.end
-        if not self.by_unit or "  " in text or text.endswith(" ") or "\n \n" in text or ODD.search(text):
+        if not self.by_unit or "  " in text or text.endswith(" ") or "\n \n" in text or odd(text):
             return self.units.whole(text) + self.end
         words = text.split(" ")
         first = self.firsts[words[0]]
