@@ -77,6 +77,16 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def with_group_sizes(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows whose ``key`` occurs at least twice, with the number of its rows as ``name``.
+
+    Sizes combine before their shuffle and are joined back, so adaptive execution may split a hot key's
+    rows over tasks; a window would read them all in one.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) > 1)
+    return df.join(sizes, key)
+
+
 def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
     """Rows whose ``key`` occurs at least twice, with ``unit`` (the comparison unit's number) and ``side``.
 
@@ -84,7 +94,7 @@ def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
     a unit of its own, so all pairs of a group are still met while no task holds the whole group.
     ``side`` is 0 and 1 for the two chunks of a pair, 2 where the unit is compared with itself.
     """
-    sized = df.withColumn("_n", F.expr(f"count(*) OVER (PARTITION BY {key})")).where("_n > 1")
+    sized = with_group_sizes(df, key, "_n")
     parts = F.ceil(F.col("_n") / F.lit(most)).cast("int")
     mine = F.pmod(F.xxhash64(F.col(item), F.lit(7)), parts).cast("int")
     pair = F.when(parts <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import arrow_map, by_group, group_edges, small_batches, split_hot
+from threadloom.llm.shared import arrow_map, by_group, group_edges, small_batches, split_hot, with_group_sizes
 from threadloom.operators.components import components_of_edges
 from threadloom.session import materialize
 
@@ -207,7 +207,7 @@ def similar_links(distinct: DataFrame, similarity: float, words: int, shared: fl
     ``shared`` of their segments need for one in common, so wording that many documents hold brings few rows together.
     """
     each = distinct.select("id", F.size("segments").alias("total"), F.explode("segments").alias("segment"))
-    met = each.withColumn("times", F.expr("count(*) OVER (PARTITION BY segment)")).where("times > 1")
+    met = with_group_sizes(each, "segment", "times")
     rank = F.expr("row_number() OVER (PARTITION BY id ORDER BY times, segment)")
     lone = F.col("total") - F.expr("count(*) OVER (PARTITION BY id)")
     most = F.col("total") - F.ceil(F.col("total") * shared) + 1
