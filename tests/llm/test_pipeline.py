@@ -88,3 +88,36 @@ def test_near_groups_of_nothing(spark):
     assert simhash.near_groups(empty).collect() == []
     alike = spark.createDataFrame([(3, None), (2, ""), (1, " \t"), (4, "word")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_groups(alike).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def edited(count, sizes, edit):
+    """Random texts, each with an edited copy, and the shingle sets of all."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(count):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.choice(sizes)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edit(words, rng)))]
+    return rows, {i: frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+
+
+def pairs_at_least(sets, least, most=2.0):
+    out = []
+    for k in range(0, len(sets), 2):
+        alike = len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])
+        out += [k] if least <= alike < most else []
+    return out
+
+
+def test_short_similar_texts_are_all_found(spark):
+    def edit(words, rng):
+        out = list(words)
+        if len(out) >= 49:
+            out[int(rng.integers(4, len(out) - 4))] = "other"
+        else:
+            out += ["more"] * int(rng.integers(1, 1 + max(1, len(out) // 10)))
+        return out
+
+    rows, sets = edited(400, [6, 8, 12, 20, 30, 49, 60, 94, 100], edit)
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    similar = pairs_at_least(sets, 0.8)
+    assert len(similar) > 300
+    assert all(found[k + 1] == k for k in similar)

@@ -19,14 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import arrow_map, by_group, group_edges, small_batches, split_hot, with_group_sizes
+from threadloom.llm.shared import Shared, arrow_map, by_group, group_edges, small_batches, split_hot
 from threadloom.operators.components import components_of_edges
 from threadloom.session import materialize
 
 SEED = 42
 PIVOTS = 24
 UNIT_ROWS = 2048
-SEGMENT = 16
+BITMAP_WORDS = 16
+BUCKET_BITS = 18
+SET_ROWS = 512
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -159,94 +161,185 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_bits(similarity: float, words: int, slack: float = 1.5) -> int:
-    """Bits of a ``64 * words`` bit fingerprint in which texts of this Jaccard similarity differ, and ``slack`` deviations more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * words * p + slack * np.sqrt(64 * words * p * (1 - p)))
+def profile(text: bytes, shingle: int) -> tuple[int, int, int, bytes, bytes]:
+    """Key of the text's copies, 64-bit fingerprint, number of distinct shingles, their parity bitmap, and their sorted hashes.
 
-
-def profile(text: bytes, shingle: int, words: int) -> tuple[int, bytes, np.ndarray]:
-    """64-bit fingerprint, wide fingerprint of the distinct shingles, and distinct fingerprints of the text's segments.
-
-    A segment ends after a shingle whose hash is divisible by ``SEGMENT``, so edits disturb only the segments around them.
+    Bit ``k`` of the bitmap tells whether an odd number of hashes falls on ``k``; so two bitmaps differ in at most
+    as many bits as there are shingles that only one of the texts has.
     """
     h = shingle_hashes(text, shingle)
-    if not len(h):
-        return 0, bytes(8 * words), np.zeros(1, "<u8")
-    bits = bits_of(h)
-    cuts = np.flatnonzero(h % np.uint64(SEGMENT) == 0) + 1
-    starts = np.r_[0, cuts[cuts < len(h)]]
-    segments = majority(np.add.reduceat(bits, starts, axis=0, dtype=np.int64), np.diff(np.r_[starts, len(h)])[:, None])
     once = np.unique(h)
-    wide = []
-    for k in range(words):
-        mixed = (once ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        wide.append(majority(bits_of(mixed ^ (mixed >> np.uint64(29))).sum(axis=0, dtype=np.int64), len(once)))
-    return int(majority(bits.sum(axis=0, dtype=np.int64), len(h))[0]), np.concatenate(wide).tobytes(), np.unique(segments.reshape(-1))
+    fp = int(majority(bits_of(h).sum(axis=0, dtype=np.int64), len(h))[0]) if len(h) else 0
+    odd = np.bincount((once % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    sets = once.tobytes()
+    return xxhash.xxh64_intdigest(sets + fp.to_bytes(8, "little"), SEED), fp, len(once), np.packbits(odd.astype(np.uint8)).tobytes(), sets
 
 
-def profiles(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp, wide, segments)``."""
+def profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, key, fp, size, bitmap, shingles)``, shingles as the bytes of their hashes."""
     small_batches(docs.sparkSession)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [profile(t or b"", shingle, words) for t in batch.column("body").to_pylist()]
-        fps = np.array([f for f, _, _ in rows], dtype=np.uint64).view(np.int64)
-        segments = pa.array([x.view(np.int64) for _, _, x in rows], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), pa.array([w for _, w, _ in rows], pa.binary()), segments], ["doc_id", "fp", "wide", "segments"])
+        keys, fps, sizes, bitmaps, sets = zip(*(profile(t or b"", shingle) for t in batch.column("body").to_pylist()), strict=True)
+        longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, fps)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "key", "fp", "size", "bitmap", "shingles"])
 
-    run, schema = arrow_map("doc_id long, fp long, wide binary, segments array<long>", one)
+    run, schema = arrow_map("doc_id long, key long, fp long, size int, bitmap binary, shingles binary", one)
     return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(run, schema)
 
 
-def similar_links(distinct: DataFrame, similarity: float, words: int, shared: float = 0.4) -> DataFrame:
-    """``distinct(id, wide, segments)`` -> spanning links ``(src, dst)`` among rows whose wide fingerprints are as near as ``similarity`` makes them.
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """How many of the hashes in ``rows(shingles)`` fall into each of ``2 ** BUCKET_BITS`` buckets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, "<i8")
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), "<u8")
+            total += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in np.split(total, 64)], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, "<i8")
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+    parts = rows.select("shingles").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary").collect()
+    out = np.zeros((64, (1 << BUCKET_BITS) // 64), np.int64)
+    for r in parts:
+        out[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+    return out.reshape(-1)
+
+
+def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
+    """``rows(key, shingles)`` -> distinct ``(id, shingle)``: of n hashes the first ``n - ceil(similarity * n) + 1`` in one order of all hashes.
 
-    Rows meet on a common segment. Segments are taken rarest first, as many as two rows that share
-    ``shared`` of their segments need for one in common, so wording that many documents hold brings few rows together.
+    Two sets of at least this similarity share ``similarity * n`` hashes, so whatever the order their prefixes
+    meet. It goes by the size of a hash's bucket, so that wording that many documents hold comes last.
     """
-    each = distinct.select("id", F.size("segments").alias("total"), F.explode("segments").alias("segment"))
-    met = with_group_sizes(each, "segment", "times")
-    rank = F.expr("row_number() OVER (PARTITION BY id ORDER BY times, segment)")
-    lone = F.col("total") - F.expr("count(*) OVER (PARTITION BY id)")
-    most = F.col("total") - F.ceil(F.col("total") * shared) + 1
-    rare = met.withColumn("rank", rank + lone).where(F.col("rank") <= most).select("id", "segment")
-    units = split_hot(rare, "segment", "id", UNIT_ROWS).select("id", "unit", "side").join(distinct.select("id", "wide"), "id")
-    limit = wide_bits(similarity, words)
+    shared = Shared(rows.sparkSession, bucket_counts(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("shingles").to_pylist()
+            sizes = np.array([len(x) // 8 for x in sets], np.int64)
+            h = np.frombuffer(b"".join(sets), "<u8")
+            if not len(h):
+                continue
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            h = h[np.lexsort((h, shared.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], owner))]
+            rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = rank <= (sizes - np.ceil(similarity * sizes).astype(np.int64))[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("key").to_numpy()[owner[kept]]), pa.array(h[kept].view(np.int64))], ["id", "shingle"])
+
+    return rows.select("key", "shingles").mapInArrow(run, "id long, shingle long").distinct()
+
+
+def may_be_similar(apart: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes, of which at least ``apart`` elements are not common, can have the similarity."""
+    both = left + right
+    fits = np.minimum(left, right) >= similarity * np.maximum(left, right)
+    return fits & (both - apart >= similarity * (both + apart) - 1e-6)
+
+
+def candidate_links(distinct: DataFrame, prefix: DataFrame, similarity: float) -> DataFrame:
+    """``distinct(id, size, bitmap)``, ``prefix(id, shingle)`` -> links ``(src, dst)`` that connect every pair of this similarity.
+
+    Rows meet on a common prefix hash; sizes and bitmaps discard only pairs that cannot be that similar.
+    """
+    units = split_hot(prefix, "shingle", "id", UNIT_ROWS).select("id", "unit").join(distinct, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, "unit"):
+            unit, ids, size = (table.column(c).to_numpy() for c in ("unit", "id", "size"))
+            size = size.astype(np.int64)
+            bitmap = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), "<u8").reshape(-1, BITMAP_WORDS)
+            starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            sizes = np.diff(np.r_[starts, len(unit)])
+            few = np.flatnonzero(np.repeat(sizes <= 32, sizes))
+            links = []
+            for gap in range(1, int(sizes[sizes <= 32].max(initial=1))):
+                a, b = few[:-gap], few[gap:]
+                same = unit[a] == unit[b]
+                a, b = a[same], b[same]
+                near = may_be_similar(np.bitwise_count(bitmap[a] ^ bitmap[b]).sum(axis=1, dtype=np.int64), size[a], size[b], similarity)
+                links.append(np.stack([ids[a[near]], ids[b[near]]]))
+            for s, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
+                near = np.zeros((n, n), bool)
+                for at in range(0, n, 128):
+                    rows = slice(s + at, s + min(at + 128, n))
+                    apart = np.zeros((rows.stop - rows.start, n), np.int64)
+                    for k in range(BITMAP_WORDS):
+                        apart += np.bitwise_count(bitmap[rows, k][:, None] ^ bitmap[s : s + n, k][None, :])
+                    near[at : at + 128] = may_be_similar(apart, size[rows][:, None], size[s : s + n][None, :], similarity)
+                a, b = group_edges(near)
+                links.append(np.stack([ids[s + a], ids[s + b]]))
+            if links:
+                src, dst = np.concatenate(links, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "src long, dst long").distinct()
+
+
+def set_edges(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (row, root) of the components that pairs of at least this Jaccard similarity form; no set is empty."""
+    sizes = np.array([len(x) for x in sets])
+    bounds = np.r_[0, np.cumsum(sizes)]
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    free, root = np.ones(len(sets), bool), np.arange(len(sets))
+    for first in range(len(sets)):
+        todo = [first] if free[first] else []
+        free[first] = False
+        while todo and free.any():
+            x = todo.pop()
+            mark = np.zeros(int(place.max()) + 1, bool)
+            mark[place[bounds[x] : bounds[x + 1]]] = True
+            common = np.add.reduceat(mark[place], bounds[:-1], dtype=np.int64)
+            found = np.flatnonzero(free & (common >= similarity * (sizes + sizes[x] - common)))
+            free[found], root[found] = False, first
+            todo.extend(found.tolist())
+    rows = np.flatnonzero(root != np.arange(len(sets)))
+    return rows, root[rows]
+
+
+def similar_links(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """``rows(key, shingles)``, ``distinct(id, size, bitmap)`` -> spanning links ``(src, dst)`` of the pairs of at least this Jaccard similarity.
+
+    Candidate links only bring documents together; inside their components the shingle sets are compared.
+    """
+    together = components_of_edges(candidate_links(distinct, prefixes(rows, similarity), similarity))
+    units = split_hot(together, "component", "id", SET_ROWS).select("id", "unit")
+    sets = rows.join(together.select(F.col("id").alias("key")), "key", "left_semi").groupBy(F.col("key").alias("id")).agg(F.first("shingles").alias("shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, "unit"):
-            unit, side, ids = (table.column(c).to_numpy() for c in ("unit", "side", "id"))
-            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), "<u8").reshape(-1, words)
+            unit, ids = (table.column(c).to_numpy() for c in ("unit", "id"))
+            hashes = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
             starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
             for s, e in zip(starts, np.r_[starts[1:], len(unit)], strict=True):
-                if e - s < 2:
-                    continue
-                far = np.zeros((e - s, e - s), np.uint16)
-                for k in range(words):
-                    far += np.bitwise_count(wide[s:e, k][:, None] ^ wide[s:e, k][None, :])
-                where = side[s:e]
-                rows, roots = group_edges((far <= limit) & ((where[:, None] == 2) | (where[:, None] != where[None, :])))
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][rows]), pa.array(ids[s:e][roots])], ["src", "dst"])
+                if e - s > 1:
+                    a, b = set_edges(hashes[s:e], similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][a]), pa.array(ids[s:e][b])], ["src", "dst"])
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "src long, dst long")
+    return units.join(sets, "id").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "src long, dst long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float = 0.8, words: int = 8) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, component_id)`` by near 64-bit fingerprints and by similarity of shingle sets.
+def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float = 0.8) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, component_id)`` by near 64-bit fingerprints and by Jaccard similarity of shingle sets.
 
-    Copies collapse first (equal wide and 64-bit fingerprints). Nulls, empty texts and texts without a
+    Copies collapse first (equal shingle sets and 64-bit fingerprints). Nulls, empty texts and texts without a
     word are copies of each other. Rows that repeat a doc_id all appear; ids are taken as not null.
     """
-    rows, _ = materialize(profiles(docs, shingle, words).withColumn("key", F.xxhash64("fp", "wide")), "profiles")
-    distinct, _ = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("segments").alias("segments")), "profiles-distinct")
+    rows, _ = materialize(profiles(docs, shingle), "profiles")
+    distinct, _ = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")), "profiles-distinct")
     by_fp = distinct.groupBy("fp").agg(F.min("key").alias("head"))
     same = distinct.join(by_fp, "fp").where("key <> head").select(F.col("key").alias("src"), F.col("head").alias("dst"))
     near = near_links(by_fp.select("fp"), max_bits)
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    similar = similar_links(distinct.select(F.col("key").alias("id"), "wide", "segments"), similarity, words)
+    similar = similar_links(rows, distinct.select(F.col("key").alias("id"), "size", "bitmap"), similarity)
     linked = components_of_edges(same.union(near).union(similar))
     member = linked.withColumnRenamed("id", "key").join(distinct.select("key", "first_id"), "key")
     lowest = member.groupBy("component").agg(F.min("first_id").alias("low"))
