@@ -121,3 +121,18 @@ def test_short_similar_texts_are_all_found(spark):
     similar = pairs_at_least(sets, 0.8)
     assert len(similar) > 300
     assert all(found[k + 1] == k for k in similar)
+
+
+def test_texts_below_the_similarity_stay_apart(spark):
+    def edit(words, rng):
+        out = list(words)
+        for at in np.linspace(10, len(out) - 10, len(out) * 7 // 240).astype(int):
+            out[at] = f"other{at}"
+        return out
+
+    rows, sets = edited(200, [240, 480, 1000], edit)
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: simhash.simhash64(t.encode(), 5) for i, t in rows}
+    unlike = [k for k in pairs_at_least(sets, 0.6, 0.8) if (prints[k] ^ prints[k + 1]).bit_count() > 4]
+    assert len(unlike) > 150
+    assert all(found[k + 1] == k + 1 for k in unlike)
