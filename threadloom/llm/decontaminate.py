@@ -4,7 +4,8 @@ Fixed masks over word windows ignore some positions, so a window with a substitu
 matches where the substitution falls on an ignored position. The benchmark is taken as a stated query
 set in blocks of bounded size: each block's mask hashes are broadcast as sorted arrays and every
 document window is looked up against them, without moving any text. Around each hit the document and
-the benchmark item are aligned word by word and the best stretch with enough equal words is kept.
+the benchmark item are aligned word by word and the best stretch with enough equal words is kept. Two
+dense masks beside the spaced ones fit every stretch that counts, however its unequal words lie.
 """
 
 from __future__ import annotations
@@ -68,8 +69,22 @@ def masked(words: np.ndarray, offsets: np.ndarray, factors: np.ndarray) -> np.nd
     return out
 
 
-def build_block(rows: list[tuple[int, str]], least_words: int) -> Block:
-    """Hash tables of benchmark rows ``(item_id, text)``; items shorter than a mask also get a contiguous mask of their length."""
+def sure_masks(similarity: float, least: int) -> list[str]:
+    """Masks of which one fits every stretch of ``least`` equal words or more whose share of equal words is ``similarity`` or more.
+
+    With m unequal words such a stretch has m + 1 runs and so one of at least a share of its equal words. Where this
+    bound is reached only by runs that are all equally long, two of them around an unequal word serve as well as a longer run.
+    """
+    if similarity >= 1:
+        return ["1" * least]
+    needs = [(m, max(least, int(np.ceil(similarity * m / (1 - similarity) - 1e-9)))) for m in range(1000)]
+    run = min(-(-n // (m + 1)) for m, n in needs)
+    tight = [n == run * (m + 1) and m for m, n in needs if -(-n // (m + 1)) == run]
+    return ["1" * (run + 1), "1" * run + "0" + "1" * run] if all(tight) else ["1" * run]
+
+
+def build_block(rows: list[tuple[int, str]], least_words: int, extra: list[str]) -> Block:
+    """Hash tables of benchmark rows ``(item_id, text)``; ``extra`` masks come on top, and items shorter than a mask also get a contiguous mask of their length."""
     cache: dict[str, int] = {}
     kept = [(i, h) for i, text in rows if len(h := word_hashes(text, cache)) >= least_words]
     sizes = np.array([len(h) for _, h in kept], dtype=np.int64)
@@ -77,7 +92,7 @@ def build_block(rows: list[tuple[int, str]], least_words: int) -> Block:
     words = np.array([x for _, h in kept for x in h], dtype=np.uint64)
     owner = np.repeat(np.arange(len(kept)), sizes)
     rng = np.random.default_rng(4)
-    shapes = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
+    shapes = [np.flatnonzero([c == "1" for c in m]) for m in dict.fromkeys((*MASKS, *extra))]
     shapes += [np.arange(n) for n in sorted({int(n) for n in sizes if n < min(map(len, MASKS))})]
     block = Block([i for i, _ in kept], starts, words, [], [], [], [])
     for offsets in shapes:
@@ -94,13 +109,16 @@ def build_block(rows: list[tuple[int, str]], least_words: int) -> Block:
     return block
 
 
-def best_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int]:
-    """Bounds of the stretch that maximises matches minus mismatches weighted so that its share of matches is at least ``similarity``."""
-    gain = np.where(equal, 1 - similarity, -similarity)
-    total = np.r_[0.0, np.cumsum(gain)]
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
+def best_stretch(equal: np.ndarray, similarity: float, least: int) -> tuple[int, int] | None:
+    """Bounds of the stretch with ``least`` equal words or more that exceeds the share ``similarity`` by most words; None where all fall short of it."""
+    count = np.r_[0, np.cumsum(equal)]
+    if count[-1] < least:
+        return None
+    total = np.round(count - similarity * np.arange(len(count)), 9)
+    last = np.searchsorted(count, count - least, side="right") - 1  # the latest start that leaves ``least`` equal words
+    gain = np.where(last >= 0, total - np.minimum.accumulate(total)[last], -1.0)
+    end = int(np.argmax(gain))
+    return (int(np.argmin(total[: last[end] + 1])), end) if gain[end] >= 0 else None
 
 
 def overlaps(block: Block, docs: list[list[int]], similarity: float, least_words: int) -> list[tuple[int, int, int, int, int]]:
@@ -133,21 +151,24 @@ def overlaps(block: Block, docs: list[list[int]], similarity: float, least_words
         shift = start - int(bounds[doc])
         a, b = max(0, shift), min(len(text), shift + len(probe))
         equal = text[a:b] == probe[a - shift : b - shift]
-        s, e = best_stretch(equal, similarity)
+        stretch = best_stretch(equal, similarity, min(least_words, len(probe)))
+        if stretch is None:
+            continue
+        s, e = stretch
         matched = int(equal[s:e].sum())
-        if matched >= min(least_words, len(probe)) and matched > best.get((doc, item), (0, 0, 0))[2]:
+        if matched > best.get((doc, item), (0, 0, 0))[2]:
             best[doc, item] = (a + s, e - s, matched)
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
-def blocks_of(benchmark: DataFrame, least_words: int) -> Iterator[Block]:
+def blocks_of(benchmark: DataFrame, similarity: float, least_words: int) -> Iterator[Block]:
     """The benchmark ``(item_id, text)`` in blocks of about ``BLOCK_WORDS`` words, dealt by the item's hash."""
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text")
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     count = 1 + int(total) // BLOCK_WORDS
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item_id", F.lit(4)), F.lit(count)) == k)
-        yield build_block(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.collect()), min(5, least_words))
+        yield build_block(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.collect()), min(5, least_words), sure_masks(similarity, least_words))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least_words: int = 10) -> DataFrame:
@@ -162,7 +183,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     small_batches(spark)
     schema = "doc_id long, item_id long, first_word int, n_words int, matched_words int, item_words int"
     found = None
-    for block in blocks_of(benchmark, least_words):
+    for block in blocks_of(benchmark, similarity, least_words):
         shared = Shared(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -186,7 +207,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float
     """Rows of ``docs``, all columns, that no benchmark item overlaps; rules as in :func:`find_overlaps`."""
     small_batches(docs.sparkSession)
     kept = docs
-    for block in blocks_of(benchmark, least_words):
+    for block in blocks_of(benchmark, similarity, least_words):
         shared = Shared(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
