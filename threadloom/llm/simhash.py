@@ -310,7 +310,8 @@ def similar_links(rows: DataFrame, distinct: DataFrame, similarity: float) -> Da
 
     Candidate links only bring documents together; inside their components the shingle sets are compared.
     """
-    together = components_of_edges(candidate_links(distinct, prefixes(rows, similarity), similarity))
+    candidates, _ = materialize(candidate_links(distinct, prefixes(rows, similarity), similarity), "candidates")
+    together, _ = materialize(components_of_edges(candidates), "together")
     units = split_hot(together, "component", "id", SET_ROWS).select("id", "unit")
     sets = rows.join(together.select(F.col("id").alias("key")), "key", "left_semi").groupBy(F.col("key").alias("id")).agg(F.first("shingles").alias("shingles"))
 
@@ -339,7 +340,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity
     same = distinct.join(by_fp, "fp").where("key <> head").select(F.col("key").alias("src"), F.col("head").alias("dst"))
     near = near_links(by_fp.select("fp"), max_bits)
     near = near.join(by_fp.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(by_fp.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    similar = similar_links(rows, distinct.select(F.col("key").alias("id"), "size", "bitmap"), similarity)
+    similar, _ = materialize(similar_links(rows, distinct.select(F.col("key").alias("id"), "size", "bitmap"), similarity), "similar")
     linked = components_of_edges(same.union(near).union(similar))
     member = linked.withColumnRenamed("id", "key").join(distinct.select("key", "first_id"), "key")
     lowest = member.groupBy("component").agg(F.min("first_id").alias("low"))
