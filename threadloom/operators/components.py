@@ -1,17 +1,36 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two joins and two partial aggregates over the edge table; the round's result is
-written to the shared folder, so lineage stays short and nothing is held by a single task.
+written to the shared folder, so lineage stays short. Values of keys that hold many rows are broadcast
+(there are few such keys), so no task reads all neighbours of a node with very many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.session import drop_path, materialize
 
 
+FEW = 1000
+
+
+def with_value(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with an aggregate ``value`` over each key's rows as ``name``; rows with a null key go.
+
+    The aggregate combines before its shuffle. A key with more than one in ``FEW`` of all rows is heavy; there
+    are fewer than ``FEW`` of these, so theirs are broadcast and their rows stay where they are. The other rows
+    meet their aggregate by a shuffle on the key.
+    """
+    found = rows.groupBy(key).agg(value.alias(name), F.count("*").alias("_rows"))
+    total = rows.agg(F.count("*").alias("_all"))
+    heavy = found.crossJoin(F.broadcast(total)).where(F.col("_rows") * FEW > F.col("_all")).select(key, F.col(name).alias("_value"))
+    marked = rows.join(F.broadcast(heavy), key, "left")
+    here = marked.where("_value IS NOT NULL").withColumnRenamed("_value", name)
+    return here.unionByName(marked.where("_value IS NULL").drop("_value").join(found.select(key, name), key))
+
+
 def _signature(edges: DataFrame) -> tuple:
     h = F.xxhash64("hi", "lo")
     return tuple(edges.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.bit_xor(h)).first())
@@ -32,11 +51,12 @@ def components_of_edges(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if before[0] == 0:
             break
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        following, new_path = materialize(moved.union(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
+        large = with_value(both, "u", F.min("v"), "m").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        held, held_path = materialize(large, "cc")
+        small = with_value(held, "hi", F.min("lo"), "m")
+        moved = small.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
+        following, new_path = materialize(moved.distinct(), "cc")
+        drop_path(edges.sparkSession, held_path)
         after = _signature(following)
         drop_path(edges.sparkSession, path)
         current, path, settled, before = following, new_path, after == before, after
