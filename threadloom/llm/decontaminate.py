@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, small_batches
+from threadloom.llm.shared import Shared, small_slices
 
 WORD = re.compile(r"\w+")
 #: Positions of a window that each mask compares.
 MASKS = ("1111101", "11011011", "1100110011", "101010101010101")
 BLOCK_WORDS = 500_000
 CACHE_WORDS = 500_000
+LONG_WORD = 64  # longer words are not kept
+SPREAD = 1 << 20
 FILTER_BITS = 20
 
 
@@ -34,7 +36,7 @@ FILTER_BITS = 20
 class Block:
     """One bounded block of the benchmark, ready for lookup."""
 
-    items: list[int]
+    items: list[int | None]
     starts: np.ndarray
     words: np.ndarray
     masks: list[tuple[np.ndarray, np.ndarray]]  # offsets and odd multipliers
@@ -54,7 +56,9 @@ def word_hashes(text: str | None, cache: dict[str, int]) -> list[int]:
             cache.clear()
         for k, w in enumerate(words):
             if out[k] is None:
-                out[k] = cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 1)
+                out[k] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 1)
+                if len(w) <= LONG_WORD:
+                    cache[w] = out[k]
     return out
 
 
@@ -83,7 +87,7 @@ def sure_masks(similarity: float, least: int) -> list[str]:
     return ["1" * (run + 1), "1" * run + "0" + "1" * run] if all(tight) else ["1" * run]
 
 
-def build_block(rows: list[tuple[int, str]], least_words: int, extra: list[str]) -> Block:
+def build_block(rows: list[tuple[int | None, str]], least_words: int, extra: list[str]) -> Block:
     """Hash tables of benchmark rows ``(item_id, text)``; ``extra`` masks come on top, and items shorter than a mask also get a contiguous mask of their length."""
     cache: dict[str, int] = {}
     kept = [(i, h) for i, text in rows if len(h := word_hashes(text, cache)) >= least_words]
@@ -140,11 +144,13 @@ def overlaps(block: Block, docs: list[list[int]], similarity: float, least_words
         if not len(at):
             continue
         first = np.searchsorted(hashes, h[at])
-        rank = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        place = places[np.repeat(first, many) + rank]
-        spot = np.repeat(at, many)
-        item = np.searchsorted(block.starts, place, side="right") - 1
-        diagonals.update(zip(owner[spot].tolist(), item.tolist(), (spot - place + block.starts[item]).tolist(), strict=True))
+        cuts = np.searchsorted(np.cumsum(many), np.arange(SPREAD, int(many.sum()), SPREAD), side="right")
+        for a, f, n in zip(*(np.split(x, cuts) for x in (at, first, many)), strict=True):  # hits are spread some at a time
+            rank = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            place, spot = places[np.repeat(f, n) + rank], np.repeat(a, n)
+            item = np.searchsorted(block.starts, place, side="right") - 1
+            met = np.unique(np.stack([owner[spot], item, spot - place + block.starts[item]]), axis=1)
+            diagonals.update(zip(*met.tolist(), strict=True))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for doc, item, start in sorted(diagonals):
         text, probe = words[bounds[doc] : bounds[doc + 1]], block.words[block.starts[item] : block.starts[item + 1]]
@@ -164,11 +170,11 @@ def overlaps(block: Block, docs: list[list[int]], similarity: float, least_words
 def blocks_of(benchmark: DataFrame, similarity: float, least_words: int) -> Iterator[Block]:
     """The benchmark ``(item_id, text)`` in blocks of about ``BLOCK_WORDS`` words, dealt by the item's hash."""
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+")))).first()[0] or 0
     count = 1 + int(total) // BLOCK_WORDS
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item_id", F.lit(4)), F.lit(count)) == k)
-        yield build_block(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.collect()), min(5, least_words), sure_masks(similarity, least_words))
+        yield build_block(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), min(5, least_words), sure_masks(similarity, least_words))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least_words: int = 10) -> DataFrame:
@@ -176,11 +182,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
 
     A pair is reported when document and item agree, word for word on one alignment, on at least
     ``similarity`` of a stretch holding ``least_words`` equal words (or on the whole item where it is
-    shorter). Items of fewer than five words, null texts and empty texts never match. Repeated rows are
+    shorter). A null item_id stays null. Items of fewer than five words, null texts and empty texts never match. Repeated rows are
     all reported; extra columns are ignored; either table may be empty.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     schema = "doc_id long, item_id long, first_word int, n_words int, matched_words int, item_words int"
     found = None
     for block in blocks_of(benchmark, similarity, least_words):
@@ -189,7 +194,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache: dict[str, int] = {}
             b = shared.value
-            for batch in batches:
+            for batch in small_slices(batches, "text"):
                 got = overlaps(b, [word_hashes(t, cache) for t in batch.column("text").to_pylist()], similarity, least_words)
                 if got:
                     ids = batch.column("doc_id").to_pylist()
@@ -205,14 +210,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, least_words: int = 10) -> DataFrame:
     """Rows of ``docs``, all columns, that no benchmark item overlaps; rules as in :func:`find_overlaps`."""
-    small_batches(docs.sparkSession)
     kept = docs
     for block in blocks_of(benchmark, similarity, least_words):
         shared = Shared(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             cache: dict[str, int] = {}
-            for batch in batches:
+            for batch in small_slices(batches, "text"):
                 texts = batch.column("text").to_pylist()
                 hit = {d for d, *_ in overlaps(shared.value, [word_hashes(t, cache) for t in texts], similarity, least_words)}
                 yield batch.filter(pa.array([k not in hit for k in range(len(texts))], pa.bool_()))

@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from threadloom.llm.shared import Shared, small_batches
+from threadloom.llm.shared import Shared, small_slices
 
 MARK = "▁"
 CACHE_WORDS = 300_000
+CACHE_LETTERS = 6_000_000
 NEVER = float("inf")
 
 
@@ -63,6 +64,7 @@ class Encoder:
         self.trees: dict[str, tuple | None] = {}
         self.borders: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.letters = 0  # of the cached words
 
     def tree(self, piece: str) -> tuple | None:
         """(rank, left part, right part) of the merge that makes ``piece``; () for one character; None if merges never make it."""
@@ -159,9 +161,11 @@ class Encoder:
         """Ids of each text; a null or empty text has none."""
         split = [self.words.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
         fresh = {w for words in split for w in words}.difference(self.cache)
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
+        self.letters += sum(map(len, fresh))
+        if len(self.cache) + len(fresh) > CACHE_WORDS or self.letters > CACHE_LETTERS:
             self.cache.clear()
             self.borders.clear()
+            self.letters = 0
             fresh = {w for words in split for w in words}
         self.learn(list(fresh))
         cache = self.cache
@@ -186,12 +190,11 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     decoding gives the text back (it doesn't where a text holds the space mark itself). Null and empty
     texts have no ids; a null counts as empty. Extra columns are ignored.
     """
-    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in small_slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             ids = encoder.encode(texts)
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
@@ -212,12 +215,11 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """``encoded(doc_id, ids)`` -> ``(doc_id, text)``; null ids give an empty text."""
-    small_batches(encoded.sparkSession)
     shared = Shared(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in small_slices(batches, "ids"):
             texts = [encoder.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

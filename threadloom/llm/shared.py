@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.operators.components import with_value
+
 
 class Shared:
     """A broadcast value pickled with its class, so executors need no copy of this package on their path."""
@@ -29,9 +32,18 @@ class Shared:
         return self.held[0]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small: rows here are whole documents."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most_bytes`` bytes of a text, binary or list column; a larger value stands alone."""
+    for batch in batches:
+        values = batch.column(column)
+        length = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + most_bytes, side="right"))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def held_out(doc_id: Column) -> Column:
@@ -80,11 +92,9 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 def with_group_sizes(df: DataFrame, key: str, name: str) -> DataFrame:
     """Rows whose ``key`` occurs at least twice, with the number of its rows as ``name``.
 
-    Sizes combine before their shuffle and are joined back, so adaptive execution may split a hot key's
-    rows over tasks; a window would read them all in one.
+    Sizes combine before their shuffle and are joined back (see :func:`with_value`); a window would read a hot key's rows in one task.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) > 1)
-    return df.join(sizes, key)
+    return with_value(df, key, F.count("*"), name).where(F.col(name) > 1)
 
 
 def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
@@ -105,12 +115,11 @@ def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
     return units.withColumn("unit", F.xxhash64(F.col(key), F.col("_p.i"), F.col("_p.j"))).withColumn("side", side).drop("_n", "_c", "_p")
 
 
-def arrow_map(schema: str, one: Callable[[pa.RecordBatch], pa.RecordBatch]) -> tuple[Callable, str]:
-    """A mapInArrow function from a function of one batch."""
+def arrow_map(schema: str, one: Callable[[pa.RecordBatch], pa.RecordBatch], column: str) -> tuple[Callable, str]:
+    """A mapInArrow function from a function of one small batch; ``column`` holds the long values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
+        for batch in small_slices(batches, column):
+            yield one(batch)
 
     return run, schema

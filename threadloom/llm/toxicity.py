@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, held_out, small_batches
+from threadloom.llm.shared import Shared, held_out, small_slices
 
 WORD = re.compile(r"\w+")
 ORDERS = (2, 3, 4, 5, 6)
 BUCKETS = 1 << 20
 CACHE_WORDS = 500_000
+LONG_WORD = 64  # longer words are not kept
 
 
 @dataclass
@@ -51,14 +52,16 @@ def document_counts(sample: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int32)
         cache: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small_slices(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 parts = []
                 for w in words_of(text):
                     if (ids := cache.get(w)) is None:
                         if len(cache) >= CACHE_WORDS:
                             cache.clear()
-                        ids = cache[w] = np.array(gram_ids(w), np.int32)
+                        ids = np.array(gram_ids(w), np.int32)
+                        if len(w) <= LONG_WORD:
+                            cache[w] = ids
                     parts.append(ids)
                 if parts:
                     counts[toxic, np.unique(np.concatenate(parts))] += 1
@@ -113,7 +116,7 @@ def train(rows: list[tuple[int, list[int]]], ratios: dict[int, float], penalty:
 def _features(batches: Iterator[pa.RecordBatch], known: frozenset) -> Iterator[tuple[pa.RecordBatch, list[set[int]]]]:
     """Kept buckets present in each text; words are hashed once per task while the cache holds them."""
     cache: dict[str, tuple] = {}
-    for batch in batches:
+    for batch in small_slices(batches, "text"):
         out = []
         for text in batch.column("text").to_pylist():
             present: set[int] = set()
@@ -121,7 +124,9 @@ def _features(batches: Iterator[pa.RecordBatch], known: frozenset) -> Iterator[t
                 if (ids := cache.get(w)) is None:
                     if len(cache) >= CACHE_WORDS:
                         cache.clear()
-                    ids = cache[w] = tuple(known.intersection(gram_ids(w)))
+                    ids = tuple(known.intersection(gram_ids(w)))
+                    if len(w) <= LONG_WORD:
+                        cache[w] = ids
                 if ids:
                     present.update(ids)
             out.append(present)
@@ -129,9 +134,12 @@ def _features(batches: Iterator[pa.RecordBatch], known: frozenset) -> Iterator[t
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000, keep: int = 4096) -> Scorer | None:
-    """Fit on about ``fit_docs`` labelled documents outside the held-out fifth; None if no label of either kind is there."""
+    """Fit on about ``fit_docs`` labelled documents outside the held-out fifth; None if no labelled text is there.
+
+    Labels other than 0 and 1 are left out; an id with both counts as toxic. Every row of ``docs`` with the id is learned
+    from, null texts left out. Extra columns of either table are ignored.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     usable = labels.where(F.col("toxic").isin(0, 1) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = usable.count()
     part = int(min(1.0, fit_docs / max(total, 1)) * (1 << 30))
@@ -164,7 +172,6 @@ def predict(docs: DataFrame, model: Scorer | None) -> DataFrame:
 
     Without any label to learn from every score is 0. Extra columns are ignored.
     """
-    small_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +183,7 @@ def predict(docs: DataFrame, model: Scorer | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Scorer | None, below: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, scored under ``below``."""
-    small_batches(docs.sparkSession)
+    """Rows of ``docs``, all columns, scored under ``below``; null and empty texts have the base score, repeated rows are judged alike."""
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

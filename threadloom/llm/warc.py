@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import small_batches
+from threadloom.llm.shared import small_slices
 from threadloom.session import materialize, scratch_path
 
 ROLL_BYTES = 64 << 20
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         system.create_dir(base, recursive=True)
         out = deflate = None
         path, written = "", 0
-        for batch in batches:
+        for batch in small_slices(batches, "html"):
             for row in batch.to_pylist():
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
@@ -192,9 +192,11 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Adds ``digest`` and ``refers_to``: of equal payloads of ``least_bytes`` or more, all but the smallest page_id refer to it."""
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    large = keyed.where(F.octet_length("html") >= least_bytes).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    columns = ["page_id", "url", "html", "digest"]
+    large, small = keyed.where(F.octet_length("html") >= least_bytes), keyed.where(F.octet_length("html") < least_bytes)
+    first = large.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marked = large.join(first, "digest", "left").select(*columns, F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    return marked.union(small.select(*columns, F.lit(None).cast("long").alias("refers_to")))
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 100) -> DataFrame:
@@ -207,7 +209,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int
     gives an empty result.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     folder = folder or scratch_path(spark, "warc")
     raw, _ = materialize(write_archives(mark_revisits(pages, least_bytes), f"{folder}/raw"), "warc-raw")
     count = max(1, raw.count())
