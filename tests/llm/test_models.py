@@ -22,7 +22,7 @@ def held(i):
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, sentence(lang), lang) for i, lang in enumerate(list(SYLLABLES) * 80)]
-    rows += [(1000, None, "aa"), (1001, "12 34 !!", "bb"), (1002, "", None), (None, sentence("cc"), "cc"), (3, sentence("aa"), None), (1003, sentence("bb", 5000), None)]
+    rows += [(1000, None, "aa"), (1001, "12 34 !!", "bb"), (1002, "", None), (None, sentence("cc"), "cc"), (3, sentence("aa"), None), (1003, sentence("bb", 100_000), None), (1004, "² ½ ①", "aa"), (1005, "_ 12", "aa")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "0.5D AS score", "'x' AS source")
 
 
@@ -50,13 +50,28 @@ def test_language_is_learned_from_text_alone(docs):
     truth = {r.doc_id: r.lang for r in docs.collect() if r.doc_id is not None and r.doc_id < 240 and r.lang}
     mine = [(truth[r.doc_id], r.lang_pred) for r in rows if r.doc_id in truth and r.doc_id != 3 and held(r.doc_id)]
     assert np.mean([a == b for a, b in mine]) > 0.95
-    und = {r.doc_id: (r.lang_pred, r.score) for r in rows if r.doc_id in (1000, 1001, 1002)}
+    und = {r.doc_id: (r.lang_pred, r.score) for r in rows if r.doc_id in (1000, 1001, 1002, 1004, 1005)}
     assert set(und.values()) == {("und", 0.0)}
     assert [r.lang_pred for r in rows if r.doc_id == 1003] == ["bb"]
     assert all(0 <= r.score <= 1 for r in rows)
     kept = language.keep_identified(docs, model)
     assert kept.columns == docs.columns
-    assert not {r.doc_id for r in kept.collect()} & {1000, 1001, 1002}
+    assert not {r.doc_id for r in kept.collect()} & {1000, 1001, 1002, 1004, 1005}
+
+
+def test_positions_equal_the_plain_recursion():
+    m = language.train([(b"the cat sat on", "a"), (b"der hund ist b", "b"), (b"th", "a")], hidden=5, steps=5, rows=4)
+    texts = ["", "a", "thé cat 12! ", "x" * language.CHUNK, "the cat sat on der hund " * 40]
+    raw = [t.encode() for t in texts]
+    got = language.pooled(language.Reader(m), raw)
+    for t, p in zip(raw, got, strict=True):
+        total = np.zeros(2)
+        for own in range(0, len(t), language.CHUNK):
+            read = max(0, own - language.CONTEXT)
+            part = np.frombuffer(t[read : own + language.CHUNK + language.CONTEXT], np.uint8)[None, :]
+            q, _, _ = language.forward(m, part)
+            total += q[own - read : own - read + language.CHUNK, 0].sum(axis=0)
+        assert np.allclose(p, total / max(len(t), 1), atol=1e-4)
 
 
 def test_language_without_labels(spark):
@@ -91,6 +106,21 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and 902 not in {r.doc_id for r in kept.collect()}
 
 
+def test_toxicity_scores_equal_plain_ones():
+    words = {"calm": 0, "scoundrel": 1, "kind": 0, "villain": 1}
+    rows = [(w, label) for w, label in words.items() for _ in range(5)]
+    known = sorted({g for w in words for g in toxicity.gram_ids(w)})
+    ratios = {g: (1.0 if k % 2 else -0.5) for k, g in enumerate(known)}
+    model = toxicity.train([(label, sorted(set(toxicity.gram_ids(w)))) for w, label in rows], ratios)
+    texts = ["Scoundrel, scoundrel!", "kind", "", None, "a villain " * 50_000]
+    import pyarrow as pa
+
+    found = [f for _, part in toxicity._features(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})]), model.known) for f in part]
+    for t, got in zip(texts, toxicity._scores(found, model), strict=True):
+        present = {zlib.crc32(w[k : k + n]) % toxicity.BUCKETS for x in set((t or "").lower().replace(",", " ").replace("!", " ").split()) for w in [f"^{x}$".encode()] for n in range(2, 7) for k in range(len(w) - n + 1)}
+        assert abs(got - 1 / (1 + np.exp(-model.bias - sum(model.weight.get(b, 0.0) for b in present)))) < 1e-9
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -98,17 +128,50 @@ def test_toxicity_without_labels(spark):
     assert toxicity.predict(docs, None).first().score == 0
 
 
+#: Public notices as they stand in files, and their families.
+NOTICES = (
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."),
+    ("GPL-3.0", "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version."),
+    ("LGPL", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", " * it under the terms of the GNU Affero General Public License as\n * published by the Free Software Foundation, either version 3 of the\n * License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."),
+    ("BSD", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"),
+    ("Apache-2.0", "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License."),
+)
+
+
 def test_license_families(spark):
     rows = [(i, "\n".join(sentence("aa") for _ in range(4)) + "\n" + text) for i, (_, text) in enumerate(licenses.TEMPLATES)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "We like the general idea of a license to redistribute software."), (104, sentence("bb", 30_000)), (0, rows[0][1])]
-    rows += [(105, "Licensed under the Apache License, Version 2.0 by thoing erwh")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS family", "1 AS paragraph")
+    rows += [(105, f"{sentence('aa', 60)[:-1]} Licensed under the Apache License, Version 2.0 by thoing erwh {sentence('bb', 60)}")]
+    rows += [(200 + 3 * k + j, lead + text + tail) for k, (_, text) in enumerate(NOTICES) for j, (lead, tail) in enumerate((("", ""), (sentence("aa", 80) + " ", " " + sentence("aa", 80)), (sentence("bb") + "\n\n", "\n\n" + sentence("cc"))))]
+    rows += [(300, "\n".join([NOTICES[4][1], "", NOTICES[8][1]])), (301, " ".join(["license"] * 5000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS family", "1 AS n_words")
     found = licenses.scan(docs, licenses.fit(docs)).collect()
-    by = {(r.doc_id, r.paragraph): r.family for r in found}
-    right = [by.get((i, 4)) == family for i, (family, _) in enumerate(licenses.TEMPLATES)]
-    assert np.mean(right) > 0.9
-    assert not {d for d, _ in by} & {100, 101, 102, 103, 104}
-    assert by[105, 0] == "Apache-2.0"
-    assert all(p == 4 for d, p in by if d < 100)
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, set()).add(r.family)
+    assert np.mean([by.get(i) == {family} for i, (family, _) in enumerate(licenses.TEMPLATES)]) > 0.9
+    assert all(by.get(200 + 3 * k + j) == {family} for k, (family, _) in enumerate(NOTICES) for j in range(3))
+    assert by[300] == {"MIT", "Apache-2.0"} and by[105] == {"Apache-2.0"}
+    assert not set(by) & {100, 101, 102, 103, 104, 301}
     assert sum(r.doc_id == 0 for r in found) == 2
+    texts = dict(rows)
+    for r in found:
+        assert r.text in texts[r.doc_id] and len(licenses.WORD.findall(r.text)) == r.n_words and 0.6 <= r.similarity <= 1 and 0.5 <= r.probability <= 1
     assert licenses.scan(docs.limit(0), licenses.train([])).collect() == []
+
+
+def test_window_scores_equal_plain_ones():
+    m = licenses.train(["some plain words here", "and others there"], variants=4, steps=10)
+    words = np.array(licenses.word_hashes(" ".join(t for _, t in licenses.TEMPLATES[:6]) + " some plain words", {}), np.uint64)
+    start = RNG.integers(0, len(words) - 2, 40)
+    end = np.minimum(start + RNG.integers(2, 40, 40), len(words))
+    number = {int(h): k for k, h in enumerate(m.vocabulary)}
+    for a, b, got in zip(start, end, licenses.logits(m, words, start, end), strict=True):
+        grams = [int(h) for part in licenses.ngram_hashes(words[a:b]) for h in part]
+        known = [number[g] for g in grams if g in number]
+        want = m.bias + 8 * m.weight[known].sum(axis=0) / len(grams) + 8 * (1 - len(known) / len(grams)) * m.weight[-1]
+        assert np.allclose(got, want / m.temperature, atol=1e-4)

@@ -1,16 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network labels every byte position of a text's letter runs; a document's probabilities are the
-mean over its positions. Hidden states restart at each run of letters (runs over ``SPAN`` bytes are
-cut into spans, all of them labelled), so a distinct run is evaluated once per task and its summed
-position probabilities are reused wherever it occurs. Training is backpropagation through time in
-numpy on a bounded sample of labelled documents.
+The network reads the lower-cased UTF-8 bytes of the whole text, every letter, digit, mark and space of
+it, and labels every position; a document's probabilities are the mean over its positions. Texts are cut
+into chunks of ``CHUNK`` positions that are evaluated side by side; ``CONTEXT`` bytes on either side of a
+chunk are read too, and only warm up the states. Training is backpropagation through time in numpy on
+windows drawn from a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, held_out, small_batches
+from threadloom.llm.shared import Shared, held_out, small_slices
 
-RUN = re.compile(r"[^\W\d_]+")
-SPAN = 40
-CACHE_RUNS = 400_000
+CHUNK = 168
+CONTEXT = 12
+ROWS = 1024
+PAD = 256
+SIZES = (4, 8, 16, 48)
+WINDOWS = 24
 
 
 @dataclass
@@ -44,35 +46,33 @@ def new_tagger(langs: list[str], hidden: int, seed: int) -> Tagger:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def forward(m: Tagger, spans: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-    """``spans[row, position]`` bytes of one length -> probabilities ``[position, row, lang]`` (and states for training)."""
+def forward(m: Tagger, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """``spans[row, position]`` bytes of one length -> probabilities ``[position, row, lang]``, states, and what training needs of each step."""
     rows, length = spans.shape
     hidden = m.recur.shape[1]
-    both, saved = np.empty((length, rows, 2 * hidden), np.float32), []
+    both, saved = np.empty((length, rows, 2 * hidden), m.table.dtype), []
     for d in range(2):
-        h = np.zeros((rows, hidden), np.float32)
+        h = np.zeros((rows, hidden), m.table.dtype)
         for t in range(length) if d == 0 else reversed(range(length)):
             x, u = m.table[d][spans[:, t]], h @ m.recur[d]
             gates = _sigmoid(x[:, : 2 * hidden] + u[:, : 2 * hidden])
             z, r = gates[:, :hidden], gates[:, hidden:]
             un = u[:, 2 * hidden :]
             n = np.tanh(x[:, 2 * hidden :] + r * un)
-            after = (1 - z) * n + z * h
-            if keep:
-                saved.append((d, t, h, z, r, n, un))
-            h = after
+            saved.append((d, t, h, z, r, n, un))
+            h = (1 - z) * n + z * h
             both[t, :, d * hidden : (d + 1) * hidden] = h
     logits = both @ m.out + m.bias
     e = np.exp(logits - logits.max(axis=2, keepdims=True))
-    return e / e.sum(axis=2, keepdims=True), [both, saved]
+    return e / e.sum(axis=2, keepdims=True), both, saved
 
 
 def gradients(m: Tagger, spans: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean position cross-entropy and its gradients by backpropagation through time."""
-    p, (both, saved) = forward(m, spans, keep=True)
+    p, both, saved = forward(m, spans)
     length, rows, _ = p.shape
     hidden = m.recur.shape[1]
     loss = float(-np.log(p[:, np.arange(rows), labels] + 1e-9).mean())
@@ -81,52 +81,45 @@ def gradients(m: Tagger, spans: np.ndarray, labels: np.ndarray) -> tuple[float,
     g_table, g_recur = np.zeros_like(m.table), np.zeros_like(m.recur)
     g_out, g_bias = np.tensordot(both, p, axes=([0, 1], [0, 1])), p.sum(axis=(0, 1))
     g_both = p @ m.out.T
-    carry, direction = None, None
+    carry, direction, steps = None, None, np.empty((rows, length, 3 * hidden), m.table.dtype)
     for d, t, h, z, r, n, un in reversed(saved):
         if d != direction:
-            carry, direction = np.zeros((rows, hidden), np.float32), d
+            carry, direction = np.zeros((rows, hidden), m.table.dtype), d
         g = g_both[t, :, d * hidden : (d + 1) * hidden] + carry
         gn = g * (1 - z) * (1 - n * n)
         gz = g * (h - n) * z * (1 - z)
         gr = gn * un * r * (1 - r)
-        step = np.concatenate([gz, gr, gn], axis=1)
+        steps[:, t] = np.concatenate([gz, gr, gn], axis=1)
         through = np.concatenate([gz, gr, gn * r], axis=1)
         carry = g * z + through @ m.recur[d].T
         g_recur[d] += h.T @ through
-        np.add.at(g_table[d], spans[:, t], step)
+        if t == (length - 1 if d else 0):  # the direction's last step: sum its table gradients by byte
+            order = np.argsort(spans, axis=None, kind="stable")
+            found, starts = np.unique(spans.reshape(-1)[order], return_index=True)
+            g_table[d][found] = np.add.reduceat(steps.reshape(-1, 3 * hidden)[order], starts, axis=0)
     return loss, [g_table, g_recur, g_out, g_bias]
 
 
-def spans_of(run: str) -> list[bytes]:
-    raw = b" " + run.encode("utf-8", "replace") + b" "
-    return [raw[k : k + SPAN] for k in range(0, len(raw), SPAN)]
-
-
-def train(texts: list[tuple[str, str]], hidden: int = 16, steps: int = 700, rows: int = 768, seed: int = 8) -> Tagger:
-    """Fit on ``(text, lang)`` pairs; minibatches hold spans of one length, drawn by the root of their counts."""
-    langs = sorted({lang for _, lang in texts})
+def train(windows: list[tuple[bytes, str]], hidden: int = 16, steps: int = 600, rows: int = 256, seed: int = 8) -> Tagger:
+    """Fit on ``(bytes, lang)`` windows; a minibatch holds windows of one length, lengths drawn by the root of their counts."""
+    langs = sorted({lang for _, lang in windows})
     m = new_tagger(langs, hidden, seed)
-    counts: Counter = Counter()
-    for text, lang in texts:
-        counts.update((s, langs.index(lang)) for run in RUN.findall(text.lower()) for s in spans_of(run))
-    if not counts or len(langs) < 2:
+    by_length: dict[int, list[tuple[bytes, int]]] = {}
+    for raw, lang in sorted(windows):
+        by_length.setdefault(len(raw), []).append((raw, langs.index(lang)))
+    if not by_length or len(langs) < 2:
         return m
-    by_length: dict[int, list] = {}
-    for (span, lang), n in sorted(counts.items()):
-        by_length.setdefault(len(span), []).append((span, lang, n**0.5))
     lengths = sorted(by_length)
-    pools = {k: (np.frombuffer(b"".join(s for s, _, _ in v), np.uint8).reshape(-1, k), np.array([x for _, x, _ in v]), np.array([w for _, _, w in v])) for k, v in by_length.items()}
-    mass = np.array([pools[k][2].sum() for k in lengths])
+    pools = {k: (np.frombuffer(b"".join(raw for raw, _ in v), np.uint8).reshape(-1, k), np.array([lang for _, lang in v])) for k, v in by_length.items()}
+    share = np.array([len(by_length[k]) ** 0.5 for k in lengths])
     rng = np.random.default_rng(seed)
     params = [m.table, m.recur, m.out, m.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    cumulative = {k: np.cumsum(pools[k][2]) for k in lengths}
     for step in range(1, steps + 1):
-        k = lengths[int(np.searchsorted(np.cumsum(mass), rng.random() * mass.sum()).clip(0, len(lengths) - 1))]
-        spans, labels, _ = pools[k]
-        at = np.searchsorted(cumulative[k], rng.random(rows) * cumulative[k][-1]).clip(0, len(labels) - 1)
+        spans, labels = pools[lengths[int(rng.choice(len(lengths), p=share / share.sum()))]]
+        at = rng.integers(0, len(labels), rows)
         _, grads = gradients(m, spans[at], labels[at])
-        rate = 0.02 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
+        rate = 0.03 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for p, g, a, b in zip(params, grads, first, second, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -134,73 +127,118 @@ def train(texts: list[tuple[str, str]], hidden: int = 16, steps: int = 700, rows
     return m
 
 
-def run_sums(m: Tagger, runs: list[str]) -> np.ndarray:
-    """Per run: summed position probabilities, and in the last column the number of positions."""
-    out = np.zeros((len(runs), len(m.langs) + 1))
-    by_length: dict[int, tuple[list, list]] = {}
-    for k, run in enumerate(runs):
-        for span in spans_of(run):
-            owners, spans = by_length.setdefault(len(span), ([], []))
-            owners.append(k)
-            spans.append(span)
-    for length, (owners, spans) in by_length.items():
-        grid = np.frombuffer(b"".join(spans), np.uint8).reshape(-1, length)
-        for s in range(0, len(grid), 4096):
-            p, _ = forward(m, grid[s : s + 4096])
-            part = np.concatenate([p.sum(axis=0), np.full((p.shape[1], 1), length)], axis=1)
-            np.add.at(out, owners[s : s + 4096], part)
+class Reader:
+    """A tagger's weights laid out for evaluation; the padding byte leaves a zero state as it is."""
+
+    def __init__(self, m: Tagger):
+        k = m.recur.shape[1]
+        half = np.r_[np.full(2 * k, 0.5), np.ones(k)].astype(np.float32)  # a gate's sigmoid is 0.5 + 0.5 tanh(x / 2)
+        pad = np.r_[np.full(k, 30.0), np.zeros(2 * k)].astype(np.float32)
+        tables = np.concatenate([m.table * half, np.tile(pad, (2, 1, 1))], axis=1)
+        self.gates, self.states = np.ascontiguousarray(tables[:, :, : 2 * k]), np.ascontiguousarray(tables[:, :, 2 * k :])
+        recur = m.recur * half
+        self.to_gates, self.to_states = np.ascontiguousarray(recur[:, :, : 2 * k]), np.ascontiguousarray(recur[:, :, 2 * k :])
+        self.out, self.bias, self.hidden = m.out.reshape(2, k, -1), m.bias, k
+
+    def probabilities(self, grid: np.ndarray) -> np.ndarray:
+        """``grid[row, position]`` bytes or ``PAD`` -> probabilities ``[position, row, lang]``."""
+        rows, length = grid.shape
+        k, columns = self.hidden, np.ascontiguousarray(grid.T)
+        logits = np.tile(self.bias, (length, rows, 1))
+        for d in range(2):
+            h = np.zeros((rows, k), np.float32)
+            for t in range(length) if d == 0 else range(length - 1, -1, -1):
+                g = h @ self.to_gates[d]
+                g += self.gates[d][columns[t]]
+                np.tanh(g, out=g)
+                g *= 0.5
+                g += 0.5
+                n = h @ self.to_states[d]
+                n *= g[:, k:]
+                n += self.states[d][columns[t]]
+                np.tanh(n, out=n)
+                h -= n
+                h *= g[:, :k]
+                h += n
+                logits[t] += h @ self.out[d]
+        logits -= logits.max(axis=2, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=2, keepdims=True)
+        return logits
+
+
+def chunks_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per chunk of texts of these byte sizes: its text, where it starts to read, where it starts to count, and its end of reading."""
+    count = -(-sizes // CHUNK)
+    text = np.repeat(np.arange(len(sizes)), count)
+    own = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * CHUNK
+    return text, np.maximum(own - CONTEXT, 0), own, np.minimum(own + CHUNK + CONTEXT, sizes[text])
+
+
+def pooled(reader: Reader, texts: list[bytes]) -> np.ndarray:
+    """Mean probabilities over all positions of each text; zeros for an empty one."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    total = np.zeros((len(texts), len(reader.bias)))
+    if not sizes.sum():
+        return total
+    flat, base = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
+    text, read, own, end = chunks_of(sizes)
+    order = np.argsort(read - end, kind="stable")  # longest first, so that a group is padded little
+    for s in range(0, len(order), ROWS):
+        at = order[s : s + ROWS]
+        width = int((end[at] - read[at]).max())
+        place = read[at][:, None] + np.arange(width)[None, :]
+        inside = place < end[at][:, None]
+        grid = np.where(inside, flat[np.where(inside, base[text[at]][:, None] + place, 0)].astype(np.int32), PAD)
+        counted = inside & (place >= own[at][:, None]) & (place < own[at][:, None] + CHUNK)
+        p = reader.probabilities(grid)
+        np.add.at(total, text[at], np.einsum("trl,rt->rl", p, counted.astype(np.float32)))
+    return total / np.maximum(sizes, 1)[:, None]
+
+
+def windows_of(text: str) -> list[bytes]:
+    """Windows of ``SIZES`` bytes at places that the text's checksum draws: up to ``WINDOWS`` of the longest, one of each other size it fills."""
+    raw = text.lower().encode("utf-8", "replace")
+    rng, out = np.random.default_rng(zlib.crc32(raw)), []
+    for size in SIZES:
+        if len(raw) >= size:
+            count = min(WINDOWS, 1 + len(raw) // size) if size == SIZES[-1] else 1
+            out += [raw[k : k + size] for k in rng.integers(0, len(raw) - size + 1, count).tolist()]
     return out
 
 
-def pooled(m: Tagger, texts: list[str | None], cache: dict[str, int], sums: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
-    """Predicted language and its mean position probability per text."""
-    found = [RUN.findall(t.lower()) if t else [] for t in texts]
-    fresh = sorted({r for runs in found for r in runs}.difference(cache))
-    if fresh:
-        if len(cache) + len(fresh) > CACHE_RUNS and cache:
-            cache.clear()
-            sums.clear()
-            fresh = sorted({r for runs in found for r in runs})
-        base = len(cache)
-        cache.update((r, base + k) for k, r in enumerate(fresh))
-        sums[:] = [np.concatenate([*sums, run_sums(m, fresh)])]
-    sizes = np.array([len(runs) for runs in found])
-    total = np.zeros((len(texts), len(m.langs) + 1))
-    at = np.fromiter((cache[r] for runs in found for r in runs), np.int64, int(sizes.sum()))
-    if len(at):
-        full = np.flatnonzero(sizes)
-        for s in range(0, len(full), 64):  # documents' rows at a time, to bound memory
-            own = full[s : s + 64]
-            a, b = int(sizes[: own[0]].sum()), int(sizes[: own[-1] + 1].sum())
-            total[own] = np.add.reduceat(sums[0][at[a:b]], np.r_[0, np.cumsum(sizes[own])[:-1]], axis=0)
-    mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-    best = mean.argmax(axis=1)
-    none = sizes == 0
-    return ["und" if e else m.langs[b] for e, b in zip(none, best, strict=True)], np.where(none, 0.0, np.clip(mean.max(axis=1), 0, 1))
-
-
 def fit(docs: DataFrame, fit_docs: int = 1500, **options) -> Tagger | None:
-    """Train on about ``fit_docs`` labelled documents outside the held-out fifth, chosen by the hash of their ids."""
-    small_batches(docs.sparkSession)
+    """Train on windows of about ``fit_docs`` labelled documents outside the held-out fifth, chosen by the hash of their ids.
+
+    Every such row counts, rows that repeat an id too, whatever their languages. None if no row can be learned from.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und") & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
     total = usable.count()
     part = int(min(1.0, fit_docs / max(total, 1)) * (1 << 30))
-    rows = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < part).select("doc_id", "text", "lang").limit(2 * fit_docs).collect()
-    return train([(r.text, r.lang) for r in sorted(rows)], **options) if rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_slices(batches, "text"):
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                if own := windows_of(text):
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([lang] * len(own), pa.string())], ["window", "lang"])
+
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < part).select("text", "lang")
+    rows = chosen.mapInArrow(run, "window binary, lang string").limit(2 * fit_docs * (WINDOWS + len(SIZES))).collect()
+    return train([(bytes(r.window), r.lang) for r in rows], **options) if rows else None
 
 
 def _scorer(docs: DataFrame, model: Tagger | None):
     shared = Shared(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-        cache: dict[str, int] = {}
-        sums: list[np.ndarray] = []
-        for batch in batches:
+        m = shared.value
+        reader = Reader(m) if m else None
+        for batch in small_slices(batches, "text", most_bytes=4 << 20):
             texts = batch.column("text").to_pylist()
-            if shared.value is None:
-                yield batch, ["und"] * len(texts), np.zeros(len(texts))
-            else:
-                yield batch, *pooled(shared.value, texts, cache, sums)
+            lettered = np.array([bool(m and t and any(map(str.isalpha, t))) for t in texts], bool)
+            p = pooled(reader, [t.lower().encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, lettered, strict=True)]) if m else np.zeros((len(texts), 1))
+            langs = [m.langs[k] if ok else "und" for k, ok in zip(p.argmax(axis=1), lettered, strict=True)]
+            yield batch, langs, np.where(lettered, np.clip(p.max(axis=1), 0, 1), 0.0)
 
     return score
 
@@ -208,10 +246,9 @@ def _scorer(docs: DataFrame, model: Tagger | None):
 def predict(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, lang_pred, score)``, one row per input row.
 
-    Null texts and texts without a letter give ``und`` with score 0, as does everything when nothing
-    could be learned. Extra columns are ignored; repeated rows are all scored.
+    Null texts and texts without a letter (Unicode category L) give ``und`` with score 0, as does everything
+    when nothing could be learned. Extra columns are ignored; repeated rows are all scored.
     """
-    small_batches(docs.sparkSession)
     score = _scorer(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +259,10 @@ def predict(docs: DataFrame, model: Tagger | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Tagger | None, min_score: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a letter and whose language is clear (mean probability of ``min_score`` or more)."""
-    small_batches(docs.sparkSession)
+    """Rows of ``docs``, all columns, whose text has a letter and whose language is clear (mean probability of ``min_score`` or more).
+
+    Null and letterless texts go; repeated rows are judged alike; an empty table stays empty.
+    """
     score = _scorer(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
