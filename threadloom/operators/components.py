@@ -16,16 +16,16 @@ from threadloom.session import drop_path, materialize
 FEW = 1000
 
 
-def with_value(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+def with_value(rows: DataFrame, key: str, value: Column, name: str, total: int | None = None) -> DataFrame:
     """``rows`` with an aggregate ``value`` over each key's rows as ``name``; rows with a null key go.
 
-    The aggregate combines before its shuffle. A key with more than one in ``FEW`` of all rows is heavy; there
-    are fewer than ``FEW`` of these, so theirs are broadcast and their rows stay where they are. The other rows
-    meet their aggregate by a shuffle on the key.
+    The aggregate combines before its shuffle. A key with more than one in ``FEW`` of ``total`` rows (by default
+    those there are) is heavy; there are few of these, so theirs are broadcast and their rows stay where they are.
+    The other rows meet their aggregate by a shuffle on the key.
     """
     found = rows.groupBy(key).agg(value.alias(name), F.count("*").alias("_rows"))
-    total = rows.agg(F.count("*").alias("_all"))
-    heavy = found.crossJoin(F.broadcast(total)).where(F.col("_rows") * FEW > F.col("_all")).select(key, F.col(name).alias("_value"))
+    counted = found.withColumn("_all", F.lit(total)) if total is not None else found.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_all"))))
+    heavy = counted.where(F.col("_rows") * FEW > F.col("_all")).select(key, F.col(name).alias("_value"))
     marked = rows.join(F.broadcast(heavy), key, "left")
     here = marked.where("_value IS NOT NULL").withColumnRenamed("_value", name)
     return here.unionByName(marked.where("_value IS NULL").drop("_value").join(found.select(key, name), key))
@@ -51,9 +51,9 @@ def components_of_edges(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if before[0] == 0:
             break
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select("lo", "hi"))
-        large = with_value(both, "u", F.min("v"), "m").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        large = with_value(both, "u", F.min("v"), "m", 2 * before[0]).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
         held, held_path = materialize(large, "cc")
-        small = with_value(held, "hi", F.min("lo"), "m")
+        small = with_value(held, "hi", F.min("lo"), "m", before[0])
         moved = small.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
         following, new_path = materialize(moved.distinct(), "cc")
         drop_path(edges.sparkSession, held_path)
