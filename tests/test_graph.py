@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import components, degrees, partitions, paths, removal, weighted
+from threadloom.operators import components, degrees, partitions, paths, ranks, removal, weighted
 
 
 def nodes(spark, ids):
@@ -78,7 +78,7 @@ def all_pairs(spark, n, e):
 )
 def test_betweenness(spark, ids, pairs, want):
     n, e = nodes(spark, ids), arcs(spark, pairs)
-    got = {r.id: r.betweenness for r in paths.pair_dependencies(all_pairs(spark, n, e), n).collect()}
+    got = {r.id: r.betweenness for r in paths.pair_dependencies(all_pairs(spark, n, e), degrees.both_ways(degrees.undirected(e)), n).collect()}
     assert got == pytest.approx(want)
 
 
@@ -178,6 +178,11 @@ def test_disparity_and_backbone(spark):
     assert got[0.2] == (0, 0, 0, 4) and got[0.3] == (2, 1, 2, 3) and got[1.0] == (4, 3, 4, 1) and got[0.25] == (0, 0, 0, 4)
     events = {r.event: r for r in weighted.breakpoints(nodes(spark, "ABCD"), weighted.disparity(t)).collect()}
     assert events["first_fragmentation"].giant_looser == 4 and events["half_giant"].alpha == pytest.approx(0.25)
+    assert events["half_giant"].joining_ties == 1 and events["first_fragmentation"].removed_ties == 2 and events["first_fragmentation"].joining_ties == 2
+    t = spark.createDataFrame([(1, 2, 0.1), (3, 4, 0.1), (2, 3, 0.2), (1, 3, 0.2), (1, 4, 0.3)], "a long, b long, alpha double")
+    n = spark.range(1, 5)
+    joins = sorted(tuple(r) for r in weighted.critical_ties(n, t).collect() if r.event == "first_fragmentation")
+    assert joins == [("first_fragmentation", 1, 1, 3, 2, 2), ("first_fragmentation", 2, 2, 3, 2, 2)]
 
 
 def test_louvain_finds_two_groups(spark):
@@ -190,6 +195,42 @@ def test_louvain_finds_two_groups(spark):
     assert label[1] == label[2] and label[5] == label[6] and label[1] != label[6]
 
 
+def test_runs_of_the_search_agree_on_two_groups(spark):
+    rows = [(1, 2, 2.0), (2, 3, 2.0), (1, 3, 2.0), (4, 5, 2.0), (5, 6, 2.0), (4, 6, 2.0), (3, 4, 0.1)]
+    t = spark.createDataFrame(rows, "a long, b long, weight double")
+    got = sorted(partitions.stability(t, runs=3).collect())
+    best = partitions.modularity(t, partitions.louvain(t)).first()[0]
+    assert [r.run for r in got] == [0, 1, 2] and got[0].rand == 1.0
+    assert all(r.communities == 2 and r.largest == 3 and r.rand == 1.0 and abs(r.modularity - best) < 1e-9 for r in got)
+
+
+def test_neighbors_in_order(spark):
+    t = ties(spark, [("A", "B", 1.0), ("A", "C", 3.0), ("A", "D", 3.0), ("B", "C", 1.0)])
+    got = {(r.id, r.label): (r.neighbors, r.weight, r.members) for r in partitions.neighbor_communities(t, partition(spark, A=0, B=1, C=1, D=1)).collect()}
+    assert got["A", 1] == (3, 7.0, ["C", "D", "B"])
+
+
+def test_places_over_many_partitions(spark):
+    rows = [((k * 7919) % 1000, k) for k in range(1000)]
+    t = spark.createDataFrame(rows, "x long, id long").repartition(7)
+    got = {r.id: r.place for r in ranks.placed(t, "place", F.desc("x"), F.col("id")).collect()}
+    want = {i: k for k, (_, i) in enumerate(sorted((-x, i) for x, i in rows), 1)}
+    assert got == want
+    assert ranks.placed(t.limit(0), "place", "id").collect() == []
+
+
+def test_values_of_heavy_keys(spark, monkeypatch):
+    rows = [(k % 3 if k % 2 else k, k) for k in range(300)] + [(None, 5)]
+    t = spark.createDataFrame(rows, "u long, v long")
+    want = sorted((u, v, min(y for x, y in rows if x == u)) for u, v in rows if u is not None)
+    for few in (3, 1000):
+        monkeypatch.setattr(components, "FEW", few)
+        assert sorted(tuple(r) for r in components.with_value(t, "u", F.min("v"), "m").select("u", "v", "m").collect()) == want
+    star = arcs(spark, [("z", f"n{k:03}") for k in range(400)] + [("n399", "a")])
+    monkeypatch.setattr(components, "FEW", 3)
+    assert {r.component for r in components.components_of_edges(star).collect()} == {"a"}
+
+
 def test_null_model_keeps_degrees(spark):
     rows = [(a, b) for a, b in itertools.combinations(range(30), 2) if (a * 7 + b * 3) % 5 == 0]
     pairs = spark.createDataFrame(rows, "a long, b long")
@@ -197,6 +238,8 @@ def test_null_model_keeps_degrees(spark):
     count = lambda es: sorted(x for e in es for x in e)
     assert count(null) == count(rows) and len(set(null)) == len(rows) and all(a < b for a, b in null)
     assert len(set(null) - set(rows)) > len(rows) / 4
+    parts = lambda es: components.components_of_edges(spark.createDataFrame(es, "src long, dst long")).select("component").distinct().count()
+    assert parts(null) <= parts(rows)
 
 
 def test_versus_counts(spark):

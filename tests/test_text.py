@@ -239,3 +239,23 @@ def test_passages_are_the_runs(spark):
     d = docs(spark, a=f"Start.\n\nSome {run} end.", b=f"{run.upper()} other")
     got = evidence.passages(d, texts.shared_runs(texts.paragraphs(d), 5), context=5).first()
     assert (got.a, got.b, got.passage, got.before, got.after) == ("a", "b", run, "Some ", " end.")
+
+
+def test_every_pair_has_a_score_and_a_place(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["red blue", "red blue", "green", "blue green", None])], "id long, text string")
+    scores = texts.pair_scores(texts.unit_bags(texts.term_counts(texts.words(docs))))
+    every = texts.all_pair_scores(docs, scores)
+    got = {(r.a, r.b): r.score for r in every.collect()}
+    assert len(got) == 10 and got[0, 2] == 0 and got[0, 4] == 0 and abs(got[0, 1] - 1) < 1e-12
+    dist = spark.createDataFrame([(0, 1, 1), (1, 0, 1), (0, 3, 2)], "src long, node long, dist int")
+    pairs = cross.pair_distances(docs, scores, dist)
+    lone = cross.top_placed(pairs, pairs.where("dist IS NULL"), 2).collect()
+    order = sorted((-round(s, 9), a, b) for (a, b), s in got.items())
+    assert {(r.a, r.b, r.place) for r in lone} == {(a, b, k) for k, (_, a, b) in enumerate(order, 1) if (a, b) in [(r.a, r.b) for r in lone]}
+    assert len(lone) == 2 and all(r.dist is None for r in lone)
+
+
+def test_medians_of_an_ablation(spark):
+    rows = [(1, 0.5, 0.25, True, 3), (2, 0.9, 0.9, False, 1), (3, 0.1, 0.0, True, 0)]
+    report = spark.createDataFrame(rows, "id long, before_score double, same_pair_after double, changed boolean, removed long")
+    assert tuple(texts.ablation_summary(report).first()) == (2, 1, 4, 0.5, 0.25)

@@ -7,7 +7,7 @@ written to the shared folder, so lineage stays short. Values of keys that hold m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadloom.session import drop_path, materialize
@@ -31,9 +31,12 @@ def with_value(rows: DataFrame, key: str, value: Column, name: str, total: int |
     return here.unionByName(marked.where("_value IS NULL").drop("_value").join(found.select(key, name), key))
 
 
-def _signature(edges: DataFrame) -> tuple:
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """Write ``edges(hi, lo)`` and read them back, with their number and two checksums measured on the way."""
     h = F.xxhash64("hi", "lo")
-    return tuple(edges.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.bit_xor(h)).first())
+    seen = Observation()
+    found, path = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("s"), F.bit_xor(h).alias("x")), "cc")
+    return found, path, (seen.get["n"], seen.get["s"], seen.get["x"])
 
 
 def components_of_edges(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -45,19 +48,15 @@ def components_of_edges(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     ends = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     loops = ends.where("src = dst").select(F.col("src").alias("id"))
     pairs = ends.where("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct()
-    current, path = materialize(pairs, "cc")
-    before = _signature(current)
+    current, path, before = _written(pairs)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select("lo", "hi"))
         large = with_value(both, "u", F.min("v"), "m", 2 * before[0]).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
-        held, held_path = materialize(large, "cc")
-        small = with_value(held, "hi", F.min("lo"), "m", before[0])
+        small = with_value(large, "hi", F.min("lo"), "m", before[0])
         moved = small.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
-        following, new_path = materialize(moved.distinct(), "cc")
-        drop_path(edges.sparkSession, held_path)
-        after = _signature(following)
+        following, new_path, after = _written(moved.distinct())
         drop_path(edges.sparkSession, path)
         current, path, settled, before = following, new_path, after == before, after
         if settled:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.words import LETTER, STOPWORDS, title_words, tokens, without_possessive
+from threadloom.session import materialize
 
 BLANK_LINE = r"\n\s*\n"
 
@@ -42,9 +43,23 @@ def ngrams(paras: DataFrame, n: int) -> DataFrame:
     return paras.where(F.size("words") >= n).select("id", "para", F.posexplode(grams).alias("pos", "gram"))
 
 
+def gram_hashes(paras: DataFrame, n: int) -> DataFrame:
+    """``(id, para, pos, h, g)``: every run of ``n`` words inside a paragraph as two 64-bit hashes."""
+    each = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.struct(F.xxhash64(F.slice("words", i, n)).alias("h"), F.xxhash64(F.lit(1), F.slice("words", i, n)).alias("g")))
+    return paras.where(F.size("words") >= n).select("id", "para", F.posexplode(each).alias("pos", "x")).select("id", "para", "pos", "x.h", "x.g")
+
+
 def ngram_documents(paras: DataFrame, n: int, k: int) -> DataFrame:
-    """The ``k`` runs found in most documents: ``(gram, documents, pairs)``."""
-    by = ngrams(paras, n).select("gram", "id").distinct().groupBy("gram").agg(F.count("*").alias("documents"))
+    """The ``k`` runs found in most documents, ties by wording: ``(gram, documents, pairs)``.
+
+    Runs are counted by their hashes; only those with at least the k-th largest count get their wording back.
+    """
+    counts, _ = materialize(gram_hashes(paras, n).select("h", "g", "id").distinct().groupBy("h", "g").agg(F.count("*").alias("documents")), "grams")
+    least = counts.select("documents").orderBy(F.desc("documents")).limit(k).agg(F.min("documents").alias("least"))
+    top = counts.crossJoin(F.broadcast(least)).where("documents >= least")
+    met = gram_hashes(paras, n).join(top, ["h", "g"]).select("id", "para", "pos", "h", "g", "documents").groupBy("h", "g").agg(F.first("documents").alias("documents"), F.min(F.struct("id", "para", "pos")).alias("at"))
+    worded = met.select(F.col("at.id").alias("id"), F.col("at.para").alias("para"), F.col("at.pos").alias("pos"), "documents").join(paras, ["id", "para"])
+    by = worded.select(F.array_join(F.slice("words", F.col("pos") + 1, n), " ").alias("gram"), "documents")
     return by.orderBy(F.desc("documents"), "gram").limit(k).select("gram", "documents", F.floor(F.col("documents") * (F.col("documents") - 1) / 2).cast("long").alias("pairs"))
 
 
@@ -57,14 +72,14 @@ def phrase_presence(paras: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
 def shared_runs(paras: DataFrame, least: int = 8) -> DataFrame:
     """``(a, b, length, para_a, pos_a, para_b, pos_b)``: the longest common run of each document pair with one of ``least`` words.
 
-    Seeds of ``least`` words meet on their text; seeds that follow each other on one diagonal are one run.
+    Seeds of ``least`` words meet on their two 64-bit hashes; seeds that follow each other on one diagonal are one run.
     Ties go to the earliest position in a, then in b.
     """
-    seeds = ngrams(paras, least).select("id", "para", "pos", F.xxhash64("gram").alias("h"), "gram")
-    common = seeds.select("h", "gram", "id").distinct().groupBy("h", "gram").agg(F.count("*").alias("docs")).where("docs > 1").select("h", "gram")
-    kept = seeds.join(common, ["h", "gram"])
-    side = lambda c: kept.select("h", "gram", F.col("id").alias(c), F.col("para").alias(f"para_{c}"), F.col("pos").alias(f"pos_{c}"))
-    met = side("a").join(side("b"), ["h", "gram"]).where("a < b").withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
+    seeds, _ = materialize(gram_hashes(paras, least), "seeds")
+    common = seeds.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h", "g")
+    kept = seeds.join(common, ["h", "g"])
+    side = lambda c: kept.select("h", "g", F.col("id").alias(c), F.col("para").alias(f"para_{c}"), F.col("pos").alias(f"pos_{c}"))
+    met = side("a").join(side("b"), ["h", "g"]).where("a < b").withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
     line = ["a", "para_a", "b", "para_b", "diagonal"]
     island = F.col("pos_a") - F.row_number().over(Window.partitionBy(*line).orderBy("pos_a"))
     runs = met.withColumn("island", island).groupBy(*line, "island").agg((F.count("*") + least - 1).alias("length"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
@@ -120,6 +135,13 @@ def pair_scores(vectors: DataFrame) -> DataFrame:
     return left.join(right, "word").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
+def all_pair_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """``(a, b, score)`` of every unordered pair of documents, 0 where the two share no term; as large as its answer, n squared."""
+    ids = docs.select("id").distinct()
+    every = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    return every.join(scores, ["a", "b"], "left").select("a", "b", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def nearest(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """``(id, neighbor, score)``: the best-scored other document, smallest id among ties; scores are compared at 9 places.
 
@@ -184,6 +206,14 @@ def ablation(docs: DataFrame, counts: DataFrame, mask: DataFrame) -> DataFrame:
     )
 
 
+def ablation_summary(report: DataFrame) -> DataFrame:
+    """One row over an :func:`ablation` report: documents changed, tokens removed, medians of the scores before and of the same pairs after."""
+    return report.agg(
+        F.count(F.when(F.col("changed"), 1)).alias("changed"), F.count(F.when(~F.col("changed"), 1)).alias("unchanged"), F.sum("removed").alias("removed"),
+        F.median("before_score").alias("median_before"), F.median("same_pair_after").alias("median_after"),
+    )
+
+
 def literal_excerpts(docs: DataFrame, needle: str, context: int = 60) -> DataFrame:
     """First occurrence of ``needle`` per document that has it: 0-based ``start``, ``end``, and text around."""
     at = F.instr("text", needle)
@@ -198,7 +228,7 @@ def literal_excerpts(docs: DataFrame, needle: str, context: int = 60) -> DataFra
 
 def pair_category(runs: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """Category of each pair from reviewed ``rules(a, b, category)``; pairs that share their first paragraphs take ``default``; others raise when read."""
-    judged = runs.join(F.broadcast(rules), ["a", "b"], "left")
+    judged = runs.join(rules, ["a", "b"], "left")
     lead = (F.col("para_a") == 0) & (F.col("para_b") == 0)
     missing = F.raise_error(F.concat(F.lit("pair not reviewed: "), F.col("a").cast("string"), F.lit(", "), F.col("b").cast("string"))).cast("string")
     return judged.select("a", "b", "length", F.coalesce("category", F.when(lead, F.lit(default)).otherwise(missing)).alias("category"))

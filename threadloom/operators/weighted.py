@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.components import components_of_edges, weak_components
 from threadloom.operators.degrees import both_ways
-from threadloom.operators.removal import component_sizes
+from threadloom.operators.ranks import placed
+from threadloom.session import materialize
+
+#: Levels of an interval that one component job measures.
+PROBES = 12
 
 
 def projection(edges: DataFrame) -> DataFrame:
@@ -51,8 +56,6 @@ def backbone_metrics(nodes: DataFrame, tails: DataFrame, alphas: list[float]) ->
     ends = kept.select("level", F.explode(F.array("a", "b")).alias("id")).distinct()
     touched = ends.groupBy("level").agg(F.count("*").alias("nodes"))
     state = kept.select(F.struct("level", F.col("a").alias("id")).alias("src"), F.struct("level", F.col("b").alias("id")).alias("dst"))
-    from threadloom.operators.components import components_of_edges
-
     sizes = components_of_edges(state).groupBy("component").agg(F.count("*").alias("size"))
     parts = sizes.groupBy("component.level").agg(F.max("size").alias("giant"), F.count("*").alias("parts"))
     total = nodes.agg(F.count("*").alias("n")).crossJoin(tails.agg(F.count("*").alias("m")))
@@ -68,32 +71,57 @@ def backbone_metrics(nodes: DataFrame, tails: DataFrame, alphas: list[float]) ->
 def breakpoints(nodes: DataFrame, tails: DataFrame) -> DataFrame:
     """Where tightening alpha first splits the graph and where the giant falls below half of the nodes.
 
-    One row per event ``(event, alpha, giant_looser, giant_stricter, removed_ties)``. Found by bisection over
-    the distinct tails: component sizes are monotone in alpha, so each probe is one component job.
+    One row per event ``(event, alpha, giant_looser, giant_stricter, removed_ties, joining_ties)``; joining ties are
+    the removed ones whose ends the stricter graph holds apart. Component sizes are monotone in alpha, so the events
+    are found by narrowing intervals of the distinct tails, some levels of both in one component job.
     """
     spark = nodes.sparkSession
     n = nodes.count()
-    distinct = tails.select("alpha").distinct()
-    count = distinct.count()
-    place = distinct.select("alpha", F.row_number().over(Window.orderBy("alpha")).alias("place"))
-    cached: dict[int, tuple[float, int]] = {0: (float("-inf"), 1 if n else 0)}
-
-    def giant(k: int) -> tuple[float, int]:
-        if k not in cached:
-            alpha = place.where(F.col("place") == k).first()["alpha"]
-            kept = tails.where(F.col("alpha") <= alpha).select("a", "b")
-            sizes = component_sizes(nodes.select(F.lit(0).alias("state"), "id"), kept)
-            cached[k] = (alpha, sizes.agg(F.max("size")).first()[0] or 0)
-        return cached[k]
+    place, _ = materialize(placed(tails.select("alpha").distinct(), "place", "alpha"), "breakpoints")
+    count = place.count()
+    leveled, _ = materialize(tails.join(place, "alpha").select("a", "b", "place"), "breakpoints")
+    giants = {0: 1 if n else 0}
+
+    def probe(levels: set[int]) -> None:
+        new = sorted(levels.difference(giants))
+        states = spark.createDataFrame([(k,) for k in new], "state int")
+        kept = leveled.join(F.broadcast(states), F.col("place") <= F.col("state"))
+        linked = components_of_edges(kept.select(F.struct("state", F.col("a").alias("id")).alias("src"), F.struct("state", F.col("b").alias("id")).alias("dst")))
+        sizes = linked.groupBy("component").agg(F.count("*").alias("size")).groupBy("component.state").agg(F.max("size").alias("giant"))
+        giants.update((r["state"], r["giant"]) for r in sizes.collect())  # a row per level
 
     rows = []
-    for event, need in (("first_fragmentation", n), ("half_giant", n / 2)):
-        if not count or giant(count)[1] < need or giant(0)[1] >= need:
-            continue
-        low, high = 0, count
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (low, middle) if giant(middle)[1] >= need else (middle, high)
-        alpha, looser = giant(high)
-        rows.append((event, float(alpha), int(looser), int(giant(low)[1]), tails.where(F.col("alpha") == alpha).count()))
-    return spark.createDataFrame(rows, "event string, alpha double, giant_looser long, giant_stricter long, removed_ties long")
+    if count:
+        probe({count})
+    open_ = {event: [0, count, need] for event, need in (("first_fragmentation", n), ("half_giant", n / 2)) if count and giants[0] < need <= giants[count]}
+    while narrow := {k for low, high, _ in open_.values() if high - low > 1 for k in range(low + 1, high, max(1, (high - low) // PROBES))}:
+        probe(narrow)
+        for bounds in open_.values():
+            low, high, need = bounds
+            inside = [k for k in sorted(giants) if low < k < high]
+            bounds[0] = max([low, *(k for k in inside if giants[k] < need)])
+            bounds[1] = min([high, *(k for k in inside if giants[k] >= need)])
+    for event, (low, high, _) in open_.items():
+        alpha = place.where(F.col("place") == high).first()["alpha"]
+        removed = tails.where(F.col("alpha") == alpha).count()
+        rows.append((event, float(alpha), giants[high], giants[low], removed, joining_ties(nodes, tails, alpha).count()))
+    return spark.createDataFrame(rows, "event string, alpha double, giant_looser long, giant_stricter long, removed_ties long, joining_ties long")
+
+
+def joining_ties(nodes: DataFrame, tails: DataFrame, alpha: float) -> DataFrame:
+    """``(a, b, size_a, size_b)``: ties of tail ``alpha`` between components of the graph of smaller tails, with their sizes."""
+    stricter = tails.where(F.col("alpha") < alpha).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    member, _ = materialize(weak_components(nodes, stricter), "joining")
+    sized = member.join(member.groupBy("component").agg(F.count("*").alias("size")), "component")
+    end = lambda c: sized.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"), F.col("size").alias(f"size_{c}"))
+    return tails.where(F.col("alpha") == alpha).join(end("a"), "a").join(end("b"), "b").where("c_a <> c_b").select("a", "b", "size_a", "size_b")
+
+
+def critical_ties(nodes: DataFrame, tails: DataFrame, most: int = 20) -> DataFrame:
+    """``(event, place, a, b, size_a, size_b)``: the first ``most`` joining ties of each event, by the smaller side's size descending, then ids."""
+    out = nodes.sparkSession.createDataFrame([], "event string, place int, a long, b long, size_a long, size_b long")
+    for r in breakpoints(nodes, tails).collect():
+        top = joining_ties(nodes, tails, r["alpha"]).orderBy(F.desc(F.least("size_a", "size_b")), "a", "b").limit(most)
+        place = F.row_number().over(Window.orderBy(F.desc(F.least("size_a", "size_b")), "a", "b"))
+        out = out.union(top.select(F.lit(r["event"]).alias("event"), place.alias("place"), "a", "b", "size_a", "size_b"))
+    return out

@@ -5,33 +5,48 @@ from __future__ import annotations
 from threadloom.plans.graph_queries import HUB_STEPS, PRESETS, TRIALS
 
 
-def _graph(key: str, roster: str) -> str:
-    return f"""WITH RECURSIVE edges AS (SELECT src, dst, count(*) AS weight FROM (SELECT {key} AS src,
- lead({key}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R')
+LINE_ORDER = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey"
+#: Ties that weigh over two deviations more than the mean, and the arcs of such ties.
+STRONG = """und AS (SELECT a, b FROM ties WHERE weight > (SELECT avg(weight) + 2 * stddev_pop(weight) FROM ties)),
+edges AS (SELECT * FROM arcs WHERE (least(src, dst), greatest(src, dst)) IN (SELECT (a, b) FROM und))"""
+WHOLE = "und AS (SELECT a, b FROM ties), edges AS (SELECT * FROM arcs)"
+
+
+def _graph(key: str, roster: str, links: str = WHOLE, order: str = LINE_ORDER) -> str:
+    return f"""WITH RECURSIVE arcs AS (SELECT src, dst, count(*) AS weight FROM (SELECT {key} AS src, lead({key}) OVER ({order}) AS dst FROM lineitem)
  WHERE dst IS NOT NULL GROUP BY 1, 2), nodes AS ({roster}),
-und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst),
-near AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und),
+ties AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight)::BIGINT AS weight FROM arcs WHERE src <> dst GROUP BY 1, 2), {links},
+adj AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und),
 deg AS (SELECT n.id, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS total_degree, coalesce(u.c, 0) AS degree
  FROM nodes n LEFT JOIN (SELECT dst, count(*) c FROM edges GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) c FROM edges GROUP BY 1) o ON o.src = n.id
- LEFT JOIN (SELECT id, count(*) c FROM near GROUP BY 1) u ON u.id = n.id),
-ties AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight)::BIGINT AS weight FROM edges WHERE src <> dst GROUP BY 1, 2),
+ LEFT JOIN (SELECT id, count(*) c FROM adj GROUP BY 1) u ON u.id = n.id),
 ends AS (SELECT a AS id, b AS nbr, weight FROM ties UNION ALL SELECT b, a, weight FROM ties),
 stren AS (SELECT id, sum(weight)::BIGINT AS strength, count(*) AS k FROM ends GROUP BY 1),
 tails AS (SELECT a, b, t.weight, round(least(CASE WHEN sa.k = 1 THEN 1.0 ELSE pow(1 - t.weight / sa.strength, sa.k - 1) END,
  CASE WHEN sb.k = 1 THEN 1.0 ELSE pow(1 - t.weight / sb.strength, sb.k - 1) END)::DOUBLE, 9) AS alpha FROM ties t JOIN stren sa ON sa.id = a JOIN stren sb ON sb.id = b)"""
 
 
+_SUPPLIERS = "SELECT s_suppkey AS id, s_name AS name FROM supplier"
 LINK = _graph("l_partkey", "SELECT p_partkey AS id, p_name AS name FROM part")
-SUPP = _graph("l_suppkey", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
+SUPP = _graph("l_suppkey", _SUPPLIERS)
+STRG = _graph("l_suppkey", _SUPPLIERS, STRONG)
+ORDS = _graph("l_orderkey", "SELECT o_orderkey AS id FROM orders", order="PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber")
 PARTS = ", pa AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS label FROM supplier), pb AS (SELECT s_suppkey AS id, s_suppkey % 5 AS label FROM supplier)"
 CONT = PARTS + ", cont AS (SELECT pa.label AS x, pb.label AS y, count(*) AS n FROM pa JOIN pb USING (id) GROUP BY 1, 2)"
-WCC = ", reach AS (SELECT id, id AS r FROM nodes UNION SELECT n.nbr, reach.r FROM reach JOIN near n ON n.id = reach.id), comp AS (SELECT id, min(r) AS component FROM reach GROUP BY 1)"
+WCC = """, comp(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
+ SELECT n.nbr, min(c.component) FROM comp c JOIN adj n ON n.id = c.id JOIN recurring.comp r ON r.id = n.nbr WHERE c.component < r.component GROUP BY n.nbr)"""
+#: The smallest alpha at which two nodes hang together, and the events of the filter's tightening.
+MINIMAX = """, mm(src, node, best) USING KEY (src, node) AS (SELECT id, id, -1.0::DOUBLE FROM stren UNION
+ SELECT m.src, x.nbr, min(greatest(m.best, t.alpha)) FROM mm m JOIN ends x ON x.id = m.node JOIN tails t ON t.a = least(x.id, x.nbr) AND t.b = greatest(x.id, x.nbr)
+ LEFT JOIN recurring.mm k ON k.src = m.src AND k.node = x.nbr WHERE greatest(m.best, t.alpha) < coalesce(k.best, 2) GROUP BY 1, 2),
+ nn AS (SELECT count(*) AS n FROM stren), ord AS (SELECT src, best, row_number() OVER (PARTITION BY src ORDER BY best) AS rn FROM mm),
+ ev AS (SELECT 'first_fragmentation' AS event, min(best) AS alpha FROM ord, nn WHERE rn = n AND n > 1 HAVING count(*) > 0 UNION ALL SELECT 'half_giant', min(best) FROM ord, nn WHERE rn = ceil(n / 2) AND n > 2 HAVING count(*) > 0)"""
 FRIENDS = """, prof AS (SELECT n.id, d.degree, coalesce(avg(f.degree), 0.0) AS mean_friend, coalesce(max(f.degree), 0) AS max_friend, arg_min(f.id, (-f.degree, f.id)) AS top_friend
- FROM nodes n JOIN deg d ON d.id = n.id LEFT JOIN near ON near.id = n.id LEFT JOIN deg f ON f.id = near.nbr GROUP BY n.id, d.degree)"""
-BFS = """, walk AS (SELECT id AS src, id AS node, 0 AS dist FROM nodes UNION SELECT w.src, n.nbr, w.dist + 1 FROM walk w JOIN near n ON n.id = w.node WHERE w.dist < 12),
+ FROM nodes n JOIN deg d ON d.id = n.id LEFT JOIN adj ON adj.id = n.id LEFT JOIN deg f ON f.id = adj.nbr GROUP BY n.id, d.degree)"""
+BFS = """, walk AS (SELECT id AS src, id AS node, 0 AS dist FROM nodes UNION SELECT w.src, n.nbr, w.dist + 1 FROM walk w JOIN adj n ON n.id = w.node WHERE w.dist < 12),
 dists AS (SELECT src, node, min(dist) AS dist FROM walk GROUP BY 1, 2)"""
 SIGMA = """, sig AS (SELECT id AS src, id AS node, 0 AS dist, 1.0::DOUBLE AS paths FROM nodes UNION ALL
- SELECT s.src, d.node, s.dist + 1, sum(s.paths)::DOUBLE FROM sig s JOIN near n ON n.id = s.node JOIN dists d ON d.src = s.src AND d.node = n.nbr AND d.dist = s.dist + 1 GROUP BY 1, 2, 3),
+ SELECT s.src, d.node, s.dist + 1, sum(s.paths)::DOUBLE FROM sig s JOIN adj n ON n.id = s.node JOIN dists d ON d.src = s.src AND d.node = n.nbr AND d.dist = s.dist + 1 GROUP BY 1, 2, 3),
 bet AS (SELECT v.id, CASE WHEN (SELECT count(*) FROM nodes) <= 2 THEN 0.0 ELSE coalesce(raw, 0) / (((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2)) END AS betweenness
  FROM nodes v LEFT JOIN (SELECT x.node AS id, sum(x.paths * y.paths / w.paths) AS raw FROM sig x JOIN sig y ON y.src = x.node JOIN sig w ON w.src = x.src AND w.node = y.node AND w.dist = x.dist + y.dist
  WHERE x.dist > 0 AND y.dist > 0 AND x.src <> y.node GROUP BY 1) r ON r.id = v.id)"""
@@ -41,7 +56,8 @@ ORDER = ", ord AS (SELECT 0 AS trial, id, row_number() OVER (ORDER BY degree DES
 def _states(steps: str, order: str = "ord") -> str:
     return f""", st AS (SELECT trial, n, k AS removed FROM (SELECT trial, count(*) AS n FROM {order} GROUP BY 1), (SELECT unnest({steps}) AS k)),
 kept AS (SELECT s.trial, s.removed, o.id FROM st s JOIN {order} o ON o.trial = s.trial AND o.place > s.removed),
-sreach AS (SELECT trial, removed, id, id AS r FROM kept UNION SELECT x.trial, x.removed, n.nbr, x.r FROM sreach x JOIN near n ON n.id = x.id JOIN kept k ON k.trial = x.trial AND k.removed = x.removed AND k.id = n.nbr),
+sreach(trial, removed, id, r) USING KEY (trial, removed, id) AS (SELECT trial, removed, id, id FROM kept UNION
+ SELECT x.trial, x.removed, n.nbr, min(x.r) FROM sreach x JOIN adj n ON n.id = x.id JOIN recurring.sreach k ON k.trial = x.trial AND k.removed = x.removed AND k.id = n.nbr WHERE x.r < k.r GROUP BY 1, 2, 3),
 sgiant AS (SELECT trial, removed, max(c) AS giant FROM (SELECT trial, removed, r, count(*) AS c FROM sreach GROUP BY 1, 2, 3) GROUP BY 1, 2),
 curve AS (SELECT s.trial, s.removed, s.n, coalesce(giant, 0) AS giant, s.n - s.removed AS remaining FROM st s LEFT JOIN sgiant g USING (trial, removed))"""
 
@@ -49,29 +65,29 @@ curve AS (SELECT s.trial, s.removed, s.n, coalesce(giant, 0) AS giant, s.n - s.r
 def _levels(levels: list[float]) -> str:
     return f""", lev AS (SELECT unnest([{", ".join(f"{x:.2f}::DOUBLE" for x in levels)}]) AS level),
 bk AS (SELECT level, a, b FROM tails, lev WHERE level >= 1 OR alpha < level), bn AS (SELECT level, a AS id, b AS nbr FROM bk UNION ALL SELECT level, b, a FROM bk),
-br AS (SELECT DISTINCT level, id, id AS r FROM bn UNION SELECT br.level, bn.nbr, br.r FROM br JOIN bn ON bn.level = br.level AND bn.id = br.id),
-bs AS (SELECT level, max(c) AS giant FROM (SELECT level, r, count(*) AS c FROM br GROUP BY 1, 2) GROUP BY 1),
-bp AS (SELECT level, count(*) AS parts FROM (SELECT DISTINCT level, m FROM (SELECT level, id, min(r) AS m FROM br GROUP BY 1, 2)) GROUP BY 1),
+br(level, id, r) USING KEY (level, id) AS (SELECT DISTINCT level, id, id FROM bn UNION
+ SELECT x.level, bn.nbr, min(x.r) FROM br x JOIN bn ON bn.level = x.level AND bn.id = x.id JOIN recurring.br k ON k.level = x.level AND k.id = bn.nbr WHERE x.r < k.r GROUP BY 1, 2),
+bs AS (SELECT level, max(c) AS giant, count(*) AS parts FROM (SELECT level, r, count(*) AS c FROM br GROUP BY 1, 2) GROUP BY 1),
 bt AS (SELECT level, count(*) AS ties FROM bk GROUP BY 1), bu AS (SELECT level, count(DISTINCT id) AS touched FROM bn GROUP BY 1)
 SELECT level AS alpha, coalesce(ties, 0) AS ties, coalesce(touched, 0) AS nodes, coalesce(giant, 0) AS giant, (SELECT count(*) FROM nodes) - coalesce(touched, 0) + coalesce(parts, 0) AS components,
  round(coalesce(ties, 0) / (SELECT count(*) FROM ties)::DOUBLE, 9) AS tie_share, round(coalesce(touched, 0) / (SELECT count(*) FROM nodes)::DOUBLE, 9) AS node_share,
- round(coalesce(giant, 0) / (SELECT count(*) FROM nodes)::DOUBLE, 9) AS giant_share FROM lev LEFT JOIN bt USING (level) LEFT JOIN bu USING (level) LEFT JOIN bs USING (level) LEFT JOIN bp USING (level)"""
+ round(coalesce(giant, 0) / (SELECT count(*) FROM nodes)::DOUBLE, 9) AS giant_share FROM lev LEFT JOIN bt USING (level) LEFT JOIN bu USING (level) LEFT JOIN bs USING (level)"""
 
 
 _ROUTES = """, target AS (SELECT id FROM deg ORDER BY in_degree DESC, id LIMIT 1)"""
 _MODES = (
     _ROUTES
-    + """, arcs AS (SELECT 'directed' AS mode, dst AS id, src AS nbr FROM edges UNION ALL SELECT 'undirected', id, nbr FROM near),
-w AS (SELECT m AS mode, id AS node, 0 AS dist FROM target, (SELECT unnest(['directed', 'undirected']) AS m) UNION SELECT w.mode, a.nbr, w.dist + 1 FROM w JOIN arcs a ON a.mode = w.mode AND a.id = w.node WHERE w.dist < 40),
+    + """, ways AS (SELECT 'directed' AS mode, dst AS id, src AS nbr FROM edges UNION ALL SELECT 'undirected', id, nbr FROM adj),
+w AS (SELECT m AS mode, id AS node, 0 AS dist FROM target, (SELECT unnest(['directed', 'undirected']) AS m) UNION SELECT w.mode, a.nbr, w.dist + 1 FROM w JOIN ways a ON a.mode = w.mode AND a.id = w.node WHERE w.dist < 40),
 dd AS (SELECT mode, node, min(dist) AS dist FROM w GROUP BY 1, 2)
 SELECT mode, count(*) AS reachable, (SELECT count(*) FROM nodes) - count(*) AS unreachable, max(dist)::BIGINT AS max_distance, count(*) FILTER (dist = m) AS farthest
 FROM (SELECT *, max(dist) OVER (PARTITION BY mode) AS m FROM dd) GROUP BY mode"""
 )
 _TEXT = (
     _ROUTES
-    + """, w AS (SELECT id AS node, 0 AS dist FROM target UNION SELECT n.nbr, w.dist + 1 FROM w JOIN near n ON n.id = w.node WHERE w.dist < 40),
+    + """, w AS (SELECT id AS node, 0 AS dist FROM target UNION SELECT n.nbr, w.dist + 1 FROM w JOIN adj n ON n.id = w.node WHERE w.dist < 40),
 dd AS (SELECT node, min(dist) AS dist FROM w GROUP BY 1),
-p AS (SELECT id AS node, 0 AS dist, [id] AS route FROM target UNION ALL SELECT d.node, d.dist, min(list_append(p.route, d.node)) FROM p JOIN near n ON n.id = p.node JOIN dd d ON d.node = n.nbr AND d.dist = p.dist + 1 GROUP BY 1, 2)
+p AS (SELECT id AS node, 0 AS dist, [id] AS route FROM target UNION ALL SELECT d.node, d.dist, min(list_append(p.route, d.node)) FROM p JOIN adj n ON n.id = p.node JOIN dd d ON d.node = n.nbr AND d.dist = p.dist + 1 GROUP BY 1, 2)
 SELECT node, dist::BIGINT AS dist, array_to_string(list_transform(route, lambda x: x::VARCHAR), '>') AS route FROM p"""
 )
 _RECIP = """, loopless AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), rc AS (SELECT count(*) AS arcs, count(b.src) AS reciprocal_arcs FROM loopless a LEFT JOIN loopless b ON a.src = b.dst AND a.dst = b.src)"""
@@ -107,40 +123,44 @@ ORACLES = {
     + """, pool AS (SELECT id, round(mean_friend, 6) AS m FROM prof WHERE degree >= 2), lv AS (SELECT m, count(*) AS n FROM pool GROUP BY 1),
  op AS (SELECT x.m, coalesce(sum(y.n), 0)::BIGINT AS opponents FROM lv x LEFT JOIN lv y ON y.m <= round(x.m - 0.8, 6) OR y.m >= round(x.m + 0.8, 6) GROUP BY 1)
  SELECT id, m AS mean_friend, opponents FROM pool JOIN op USING (m)""",
-    "isolates": LINK + " SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
-    "local_degrees": LINK + " SELECT id, in_degree, out_degree FROM deg WHERE in_degree <= 5 AND out_degree <= 5",
-    "weak_components": LINK + WCC + " SELECT id, component FROM comp",
-    "giant_subgraph": LINK + WCC + ", top AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT a, b FROM und JOIN comp ON comp.id = a JOIN top USING (component)",
-    "strong_components": LINK
+    "isolates": ORDS + " SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
+    "local_degrees": LINK + " SELECT id, in_degree, out_degree FROM deg WHERE in_degree <= 20 AND out_degree <= 20",
+    "weak_components": ORDS + WCC + " SELECT id, component FROM comp",
+    "giant_subgraph": ORDS + WCC + ", top AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) SELECT a, b FROM und JOIN comp ON comp.id = a JOIN top USING (component)",
+    "strong_components": ORDS
     + """, dr AS (SELECT id AS s, id AS v FROM nodes UNION SELECT dr.s, e.dst FROM dr JOIN edges e ON e.src = dr.v)
  SELECT x.s AS id, min(x.v) AS component FROM dr x JOIN dr y ON y.s = x.v AND y.v = x.s GROUP BY 1""",
-    "distances": SUPP + BFS + " SELECT src, node, dist::BIGINT AS dist FROM dists",
+    "distances": STRG + BFS + " SELECT src, node, dist::BIGINT AS dist FROM dists",
     "routes_to_target": LINK + _MODES,
     "route_text": LINK + _TEXT,
-    "distance_census": SUPP
+    "distance_census": STRG
     + BFS
     + """, allp AS (SELECT (count(*) * (count(*) - 1) // 2)::BIGINT AS n FROM nodes), bk AS (SELECT unnest(['1', '2', '3', '4+', 'disconnected']) AS bucket),
  c AS (SELECT CASE WHEN dist >= 4 THEN '4+' ELSE dist::VARCHAR END AS bucket, count(*) AS pairs FROM dists WHERE src < node GROUP BY 1 UNION ALL SELECT 'disconnected', (SELECT n FROM allp) - (SELECT count(*) FROM dists WHERE src < node))
  SELECT bucket, coalesce(pairs, 0) AS pairs, round(coalesce(pairs, 0) / nullif((SELECT n FROM allp), 0)::DOUBLE, 9) AS share FROM bk LEFT JOIN c USING (bucket)""",
-    "betweenness": SUPP + BFS + SIGMA + " SELECT id, round(betweenness, 9) AS betweenness FROM bet",
-    "rank_gap": SUPP
+    "betweenness": STRG + BFS + SIGMA + " SELECT id, round(betweenness, 9) AS betweenness FROM bet",
+    "rank_gap": STRG
     + BFS
     + SIGMA
     + """ SELECT id, degree_rank, betweenness_rank, degree_rank - betweenness_rank AS gap FROM (SELECT deg.id, row_number() OVER (ORDER BY degree DESC, deg.id) AS degree_rank,
  row_number() OVER (ORDER BY round(betweenness, 9) DESC, deg.id) AS betweenness_rank FROM deg JOIN bet ON bet.id = deg.id)""",
-    "hub_removal": SUPP
+    "hub_removal": STRG
     + ORDER
     + _states(str(HUB_STEPS))
     + " SELECT removed::BIGINT AS removed, giant, round(giant / n::DOUBLE, 9) AS share_of_original, round(giant / remaining::DOUBLE, 9) AS share_of_remaining FROM curve WHERE removed < n",
-    "single_removal": SUPP
+    "single_removal": STRG
     + WCC
+    + BFS
+    + SIGMA
     + """, top AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), kp AS (SELECT g.id AS gone, n.id FROM nodes g, nodes n WHERE g.id <> n.id),
- gr AS (SELECT gone, id, id AS r FROM kp UNION SELECT gr.gone, n.nbr, gr.r FROM gr JOIN near n ON n.id = gr.id WHERE n.nbr <> gr.gone), gc AS (SELECT gone, id, min(r) AS c FROM gr GROUP BY 1, 2),
+ gr AS (SELECT gone, id, id AS r FROM kp UNION SELECT gr.gone, n.nbr, gr.r FROM gr JOIN adj n ON n.id = gr.id WHERE n.nbr <> gr.gone), gc AS (SELECT gone, id, min(r) AS c FROM gr GROUP BY 1, 2),
  pt AS (SELECT gone, c, count(*) AS size, count(*) FILTER (comp.component = (SELECT component FROM top)) AS held FROM gc JOIN comp ON comp.id = gc.id GROUP BY 1, 2),
- af AS (SELECT gone, max(size) AS giant_after, count(*) AS components, sum(held) - max(held) AS detached FROM pt GROUP BY 1)
- SELECT n.id, coalesce(giant_after, 0) AS giant_after, coalesce(components, 0) AS components, coalesce(components, 0) - (SELECT count(DISTINCT component) FROM comp) AS extra_components, coalesce(detached, 0)::BIGINT AS detached FROM nodes n LEFT JOIN af ON af.gone = n.id""",
-    "removal_curve": SUPP + ORDER + _states("range((SELECT count(*) + 1 FROM nodes))") + " SELECT removed::BIGINT AS removed, giant FROM curve",
-    "random_band": SUPP
+ af AS (SELECT gone, max(size) AS giant_after, count(*) AS components, sum(held) - max(held) AS detached FROM pt GROUP BY 1),
+ rk AS (SELECT deg.id, row_number() OVER (ORDER BY degree DESC, deg.id) AS degree_rank, row_number() OVER (ORDER BY round(betweenness, 9) DESC, deg.id) AS betweenness_rank FROM deg JOIN bet ON bet.id = deg.id)
+ SELECT n.id, coalesce(giant_after, 0) AS giant_after, coalesce(components, 0) AS components, coalesce(components, 0) - (SELECT count(DISTINCT component) FROM comp) AS extra_components, coalesce(detached, 0)::BIGINT AS detached, degree_rank, betweenness_rank
+ FROM nodes n JOIN rk USING (id) LEFT JOIN af ON af.gone = n.id""",
+    "removal_curve": STRG + ORDER + _states("range((SELECT count(*) + 1 FROM nodes))") + " SELECT removed::BIGINT AS removed, giant FROM curve",
+    "random_band": STRG
     + f", ord AS (SELECT trial, id, row_number() OVER (PARTITION BY trial ORDER BY md5(trial::VARCHAR || '-' || id::VARCHAR), id) AS place FROM nodes, (SELECT unnest(range({TRIALS})) AS trial))"
     + _states(str(HUB_STEPS))
     + """, lst AS (SELECT removed, avg(giant) AS mean, list_sort(list(giant)) AS g FROM curve WHERE removed < n GROUP BY 1)
@@ -148,7 +168,7 @@ ORACLES = {
     "projection": SUPP + " SELECT a, b, weight FROM ties",
     "strength": SUPP + " SELECT id, strength, k AS degree FROM stren",
     "weight_histogram": SUPP + " SELECT weight, count(*) AS ties FROM ties GROUP BY 1",
-    "weight_threshold": SUPP + " SELECT (SELECT count(*) FROM ties WHERE weight >= 3) AS ties, (SELECT count(DISTINCT id) FROM ends WHERE weight >= 3) AS nodes",
+    "weight_threshold": SUPP + " SELECT (SELECT count(*) FROM ties WHERE weight >= 12) AS ties, (SELECT count(DISTINCT id) FROM ends WHERE weight >= 12) AS nodes",
     "disparity_edges": SUPP + " SELECT a, b, weight, alpha FROM tails",
     "backbone_presets": SUPP + _levels(PRESETS),
     "backbone_curve": SUPP + _levels([k / 100 for k in range(101)]),
@@ -167,13 +187,23 @@ ORACLES = {
     + CONT
     + """, q AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM cont) AS b, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT sum(n) AS c FROM cont GROUP BY x)) AS px, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT sum(n) AS c FROM cont GROUP BY y)) AS py,
  (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM cont) AS e) SELECT CASE WHEN e > 0 THEN round(((e + 2 * b - px - py) / e)::DOUBLE, 9) ELSE 1.0 END AS rand FROM q""",
-    "movers": SUPP + PARTS + " SELECT pa.id, pa.label AS before, pb.label AS after, coalesce(degree, 0) AS degree FROM pa JOIN pb USING (id) LEFT JOIN deg USING (id) WHERE pa.label <> pb.label",
+    "movers": STRG + PARTS + " SELECT pa.id, pa.label AS before, pb.label AS after, coalesce(degree, 0) AS degree FROM pa JOIN pb USING (id) LEFT JOIN deg USING (id) WHERE pa.label <> pb.label",
     "community_sizes": SUPP
     + PARTS
     + " SELECT row_number() OVER (ORDER BY size DESC, first) - 1 AS label, size FROM (SELECT label, count(*) AS size, min(id) AS first FROM pa GROUP BY 1)",
-    "community_leaders": SUPP
+    "community_leaders": STRG
     + PARTS
     + """, rk AS (SELECT pa.label, pa.id, name, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY label ORDER BY degree DESC, name, id) AS place, count(*) OVER (PARTITION BY label) AS size FROM pa JOIN nodes USING (id) LEFT JOIN deg USING (id))
  SELECT label, size, place, id, name, degree, (SELECT string_agg(name, ' · ' ORDER BY place) FROM rk y WHERE y.label = rk.label AND y.place <= 2) AS title FROM rk WHERE place <= 5""",
-    "neighbor_communities": SUPP + PARTS + " SELECT ends.id, pa.label, count(*) AS neighbors, sum(weight)::BIGINT AS weight FROM ends JOIN pa ON pa.id = nbr GROUP BY 1, 2",
+    "neighbor_communities": SUPP + PARTS + " SELECT ends.id, pa.label, count(*) AS neighbors, sum(weight)::BIGINT AS weight, string_agg(nbr::VARCHAR, ' ' ORDER BY weight DESC, nbr) AS members FROM ends JOIN pa ON pa.id = nbr GROUP BY 1, 2",
+    "backbone_breakpoints": SUPP
+    + MINIMAX
+    + """, j AS (SELECT ev.event, count(*) AS c FROM ev JOIN tails t ON t.alpha = ev.alpha JOIN mm ON mm.src = t.a AND mm.node = t.b WHERE mm.best >= ev.alpha GROUP BY 1)
+ SELECT event, alpha, (SELECT max(c) FROM (SELECT count(*) AS c FROM mm WHERE best <= alpha GROUP BY src)) AS giant_looser, (SELECT max(c) FROM (SELECT count(*) AS c FROM mm WHERE best < alpha GROUP BY src)) AS giant_stricter,
+ (SELECT count(*) FROM tails t WHERE t.alpha = ev.alpha) AS removed_ties, c AS joining_ties FROM ev JOIN j USING (event)""",
+    "backbone_joins": SUPP
+    + MINIMAX
+    + """, sz AS (SELECT event, src, count(*) FILTER (best < alpha) AS c FROM ev, mm GROUP BY 1, 2),
+ j AS (SELECT ev.event, t.a, t.b, x.c AS size_a, y.c AS size_b FROM ev JOIN tails t ON t.alpha = ev.alpha JOIN mm ON mm.src = t.a AND mm.node = t.b JOIN sz x ON x.event = ev.event AND x.src = t.a JOIN sz y ON y.event = ev.event AND y.src = t.b WHERE mm.best >= ev.alpha)
+ SELECT event, place, a, b, size_a, size_b FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY least(size_a, size_b) DESC, a, b) AS place FROM j) WHERE place <= 20""",
 }

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import components, degrees, partitions, paths, removal, weighted
+from threadloom.session import materialize
 from threadloom.sources import graphs, tables
 
 HUB_STEPS = [0, 1, 3, 5, 10, 20, 40, 80]
 PRESETS = [0.05, 0.1, 0.2, 0.3, 0.5, 1.0]
-TRIALS = 8
+TRIALS = 100
 
 
 def _und(edges: DataFrame) -> DataFrame:
@@ -79,34 +80,35 @@ def versus_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def isolates(s: SparkSession, d: str) -> DataFrame:
-    return degrees.isolates(*tables.part_graph(s, d))
+    return degrees.isolates(*tables.order_graph(s, d))
 
 
 def local_degrees(s: SparkSession, d: str) -> DataFrame:
-    return degree_table(s, d).where("in_degree <= 5 AND out_degree <= 5").select("id", "in_degree", "out_degree")
+    return degree_table(s, d).where("in_degree <= 20 AND out_degree <= 20").select("id", "in_degree", "out_degree")
 
 
 def weak_components(s: SparkSession, d: str) -> DataFrame:
-    return components.weak_components(*tables.part_graph(s, d))
+    return components.weak_components(*tables.order_graph(s, d))
 
 
 def giant_subgraph(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.part_graph(s, d)
+    nodes, edges = tables.order_graph(s, d)
     ids = components.giant(nodes, components.weak_components(nodes, edges))
     return _und(edges).join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
 
 def strong_components(s: SparkSession, d: str) -> DataFrame:
-    return components.strong_components(*tables.part_graph(s, d))
+    return components.strong_components(*tables.order_graph(s, d))
 
 
-def _all_pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = tables.supplier_graph(s, d)
-    return nodes, paths.distances(nodes.select(F.col("id").alias("src")), degrees.both_ways(_und(edges)))
+def _all_pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = tables.supplier_links(s, d)
+    arcs, _ = materialize(degrees.both_ways(_und(edges)), "arcs")
+    return nodes, arcs, paths.distances(nodes.select(F.col("id").alias("src")), arcs)
 
 
 def distances(s: SparkSession, d: str) -> DataFrame:
-    return _all_pairs(s, d)[1].select("src", "node", "dist")
+    return _all_pairs(s, d)[2].select("src", "node", "dist")
 
 
 def _target(nodes: DataFrame, edges: DataFrame) -> int:
@@ -134,16 +136,17 @@ def route_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def distance_census(s: SparkSession, d: str) -> DataFrame:
-    return paths.distance_census(*_all_pairs(s, d))
+    nodes, _, dist = _all_pairs(s, d)
+    return paths.distance_census(nodes, dist)
 
 
 def betweenness(s: SparkSession, d: str) -> DataFrame:
-    nodes, dist = _all_pairs(s, d)
-    return paths.pair_dependencies(dist, nodes)
+    nodes, arcs, dist = _all_pairs(s, d)
+    return paths.pair_dependencies(dist, arcs, nodes)
 
 
 def rank_gap(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     b = betweenness(s, d).select("id", F.round("betweenness", 9).alias("betweenness"))
     both = degrees.degree_table(nodes, edges).select("id", "degree").join(b, "id")
     ranked = paths.ranked(paths.ranked(both, "degree", "degree_rank"), "betweenness", "betweenness_rank")
@@ -151,22 +154,23 @@ def rank_gap(s: SparkSession, d: str) -> DataFrame:
 
 
 def hub_removal(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     return removal.hub_removal(_order(nodes, edges), _und(edges), HUB_STEPS)
 
 
 def single_removal(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
-    return removal.single_removal(nodes, _und(edges))
+    nodes, edges = tables.supplier_links(s, d)
+    ranks = rank_gap(s, d).drop("gap")
+    return removal.single_removal(nodes, _und(edges)).join(ranks, "id")
 
 
 def removal_curve(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     return removal.removal_curve(_order(nodes, edges).withColumn("trial", F.lit(0)), _und(edges)).select("removed", "giant")
 
 
 def random_band(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     return removal.trial_band(removal.removal_curve(removal.hashed_orders(nodes, TRIALS), _und(edges), HUB_STEPS))
 
 
@@ -187,7 +191,7 @@ def weight_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def weight_threshold(s: SparkSession, d: str) -> DataFrame:
-    return weighted.weight_threshold(_ties(s, d), 3)
+    return weighted.weight_threshold(_ties(s, d), 12)
 
 
 def disparity_edges(s: SparkSession, d: str) -> DataFrame:
@@ -207,10 +211,13 @@ def backbone_curve(s: SparkSession, d: str) -> DataFrame:
 
 
 def backbone_breakpoints(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
     tails = _tails(s, d)
-    touched = degrees.both_ways(tails).select("id").distinct()
-    return weighted.breakpoints(touched, tails)
+    return weighted.breakpoints(degrees.both_ways(tails).select("id").distinct(), tails)
+
+
+def backbone_joins(s: SparkSession, d: str) -> DataFrame:
+    tails = _tails(s, d)
+    return weighted.critical_ties(degrees.both_ways(tails).select("id").distinct(), tails)
 
 
 def modularity(s: SparkSession, d: str) -> DataFrame:
@@ -234,7 +241,7 @@ def rand_index(s: SparkSession, d: str) -> DataFrame:
 
 
 def movers(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     a, b = tables.supplier_partitions(s, d)
     return partitions.movers(a, b, degrees.degree_table(nodes, edges))
 
@@ -244,20 +251,26 @@ def community_sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def community_leaders(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     return partitions.community_leaders(tables.supplier_partitions(s, d)[0], degrees.degree_table(nodes, edges), nodes)
 
 
 def neighbor_communities(s: SparkSession, d: str) -> DataFrame:
-    return partitions.neighbor_communities(_ties(s, d), tables.supplier_partitions(s, d)[0])
+    found = partitions.neighbor_communities(_ties(s, d), tables.supplier_partitions(s, d)[0])
+    return found.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), " "))
 
 
 def louvain(s: SparkSession, d: str) -> DataFrame:
     return partitions.louvain(_ties(s, d))
 
 
+def stability(s: SparkSession, d: str) -> DataFrame:
+    """Ten runs of the community search on the strong links."""
+    return partitions.stability(_und(tables.supplier_links(s, d)[1]).withColumn("weight", F.lit(1.0)))
+
+
 def null_model(s: SparkSession, d: str) -> DataFrame:
-    return partitions.degree_preserving_null(_ties(s, d), seed=2026, rounds=4)
+    return partitions.degree_preserving_null(_ties(s, d), seed=2026)
 
 
 def alignment(s: SparkSession, d: str) -> DataFrame:
@@ -271,7 +284,7 @@ QUERIES = {
         same_coordinates, friendship_profile, friendship_summary, versus_pairs, isolates, local_degrees, weak_components, giant_subgraph,
         strong_components, distances, routes_to_target, route_text, distance_census, betweenness, rank_gap, hub_removal, single_removal,
         removal_curve, random_band, projection, strength, weight_histogram, weight_threshold, disparity_edges, backbone_presets, backbone_curve,
-        backbone_breakpoints, modularity, super_graph, contingency, nmi, rand_index, movers, community_sizes, community_leaders,
-        neighbor_communities, louvain, null_model, alignment,
+        backbone_breakpoints, backbone_joins, modularity, super_graph, contingency, nmi, rand_index, movers, community_sizes, community_leaders,
+        neighbor_communities, louvain, stability, null_model, alignment,
     )
 }

@@ -17,11 +17,11 @@ RATE = 5.88
 
 
 def evidence_filter(s: SparkSession, d: str) -> DataFrame:
-    """Shared runs of 20 words or more between documents that follow each other in a source."""
+    """Shared runs between documents that follow each other in a source."""
     order = Window.partitionBy("source").orderBy("doc_id")
     links = tables.table(s, d, "documents").select(F.col("doc_id").alias("x"), F.lead("doc_id").over(order).alias("y")).where("y IS NOT NULL")
     tied = links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return text_queries.shared_runs(s, d).where("length >= 20").join(tied, ["a", "b"], "left_semi").select("a", "b", "length")
+    return text_queries.shared_runs(s, d).join(tied, ["a", "b"], "left_semi").select("a", "b", "length")
 
 
 def shared_passages(s: SparkSession, d: str) -> DataFrame:
@@ -64,8 +64,8 @@ def mask_vocabulary(s: SparkSession, d: str) -> DataFrame:
 
 
 def roster_difference(s: SparkSession, d: str) -> DataFrame:
-    """Customers without an order, and customers of orders that the roster lacks."""
-    roster, used = tables.table(s, d, "customer").select(F.col("c_custkey").alias("id")), tables.table(s, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    """Orders without a line, and orders of lines that the roster lacks."""
+    roster, used = tables.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), tables.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()
     return roster.exceptAll(used).withColumn("side", F.lit("unused")).union(used.exceptAll(roster).withColumn("side", F.lit("unknown")))
 
 
@@ -79,7 +79,7 @@ def connectivity(s: SparkSession, d: str) -> DataFrame:
 
 def takeaway(s: SparkSession, d: str) -> DataFrame:
     """Targeted removal by degree and by betweenness against hashed random orders."""
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     scores = degrees.degree_table(nodes, edges).select("id", "degree").join(betweenness(s, d).select("id", F.round("betweenness", 9).alias("betweenness")), "id")
     orders = [paths.ranked(scores, m, "place").select(F.lit(m).alias("trial"), "id", "place") for m in ("degree", "betweenness")]
     curve = removal.removal_curve(orders[0].union(orders[1]), degrees.undirected(edges), HUB_STEPS)
@@ -119,7 +119,7 @@ _J = text_oracles._JOINED
 _TOK = text_oracles._tokens
 ORACLES = {
     "evidence_filter": f"""WITH {text_oracles._paras()}, {text_oracles._runs()}, l AS (SELECT doc_id AS x, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS y FROM documents)
- SELECT a, b, length FROM runs WHERE length >= 20 AND (a, b) IN (SELECT least(x, y), greatest(x, y) FROM l WHERE y IS NOT NULL)""",
+ SELECT a, b, length FROM runs WHERE (a, b) IN (SELECT least(x, y), greatest(x, y) FROM l WHERE y IS NOT NULL)""",
     "nearest_filter": _J
     + f""", {text_oracles._nearest("sc", "SELECT s_suppkey AS id FROM supplier")} SELECT n.id, neighbor, score FROM near n JOIN dists ON src = n.id AND node = neighbor JOIN supplier x ON x.s_suppkey = n.id JOIN supplier y ON y.s_suppkey = neighbor
  WHERE dist = 1 AND (contains(x.s_name, '7') OR contains(y.s_name, '7'))""",
@@ -129,10 +129,16 @@ ORACLES = {
     "contingency_fold": """WITH l AS (SELECT s_nationkey::BIGINT AS label FROM supplier GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) SELECT CASE WHEN s_nationkey IN (SELECT label FROM l) THEN s_nationkey ELSE -1 END::BIGINT AS x, s_suppkey % 5 AS y, count(*) AS n FROM supplier GROUP BY 1, 2""",
     "mask_vocabulary": f"""WITH m AS (SELECT DISTINCT regexp_replace(w, '''s$', '') AS word FROM (SELECT unnest({_TOK("p_name || ' ' || p_type")}) AS w FROM part)), v AS (SELECT DISTINCT unnest({_TOK("p_type")}) AS word FROM part)
  SELECT word FROM m WHERE length(word) >= 2 AND word NOT IN ('and', 'of', 'the', 'for', 'in') INTERSECT SELECT word FROM v""",
-    "roster_difference": """SELECT c_custkey AS id, 'unused' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unknown' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    "roster_difference": """SELECT o_orderkey AS id, 'unused' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'unknown' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""",
     "connectivity": f"""WITH RECURSIVE {view_queries._W}, e AS (SELECT board, a AS id, b AS nbr FROM w UNION SELECT board, b, a FROM w), r AS (SELECT DISTINCT board, id, id AS x FROM e UNION SELECT r.board, e.nbr, r.x FROM r JOIN e ON e.board = r.board AND e.id = r.id)
  SELECT board, count(DISTINCT c) AS parts, count(DISTINCT c) = 1 AS connected FROM (SELECT board, id, min(x) AS c FROM r GROUP BY 1, 2) GROUP BY 1""",
-    "takeaway": graph_oracles.SUPP
+    "shared_passages": f"""WITH {text_oracles._paras()}, {text_oracles._runs()}, r AS (SELECT a, b, length, list_sum(list_transform(ps[1 : para_a], lambda t: len(t)))::BIGINT AS skipped, para_a, pos_a FROM runs JOIN para_s ON id = a WHERE length >= 20),
+ k AS (SELECT a, b, length, (coalesce(skipped, 0) + pos_a)::BIGINT AS g, text, regexp_extract_all(text, {text_oracles._q(text_oracles.word_pattern(text_oracles.LETTER))}) AS ws, string_split_regex(text, {text_oracles._q(text_oracles.word_pattern(text_oracles.LETTER))}) AS gs FROM r JOIN documents ON doc_id = a),
+ o AS (SELECT a, b, text, (list_sum(list_transform(gs[1 : g + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1 : g], lambda x: length(x))), 0))::BIGINT AS start,
+ (list_sum(list_transform(gs[1 : g + length], lambda x: length(x))) + list_sum(list_transform(ws[1 : g + length], lambda x: length(x))))::BIGINT AS stop FROM k)
+ SELECT a, b, start, stop AS "end", sha256(substring(text, start + 1, stop - start)) AS passage FROM o""",
+    "url_round_trip": """WITH n AS (SELECT p_partkey AS id, p_name || '+%/é ' || p_type AS name FROM part) SELECT id, url_encode(name) AS coded, url_decode(url_encode(name)) = name AS same FROM n""",
+    "takeaway": graph_oracles.STRG
     + graph_oracles.BFS
     + graph_oracles.SIGMA
     + """, ord AS (SELECT 'degree' AS trial, id, row_number() OVER (ORDER BY degree DESC, id) AS place FROM deg UNION ALL SELECT 'betweenness', id, row_number() OVER (ORDER BY round(betweenness, 9) DESC, id) FROM bet

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from threadloom.functions.words import LETTER, LETTER_OR_DIGIT, STOPWORDS, TITLE_FUNCTION_WORDS, word_pattern
+from threadloom.plans import graph_oracles
 from threadloom.plans.text_queries import FAR, HEADINGS, NEEDLE
 
 
@@ -49,17 +50,18 @@ best{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
 near{tag} AS (SELECT i.id, coalesce(nb, (SELECT min(id) FROM ids{tag} o WHERE o.id <> i.id)) AS neighbor, coalesce(score, 0.0) AS score FROM ids{tag} i LEFT JOIN best{tag} USING (id))"""
 
 
-_SUPP = """WITH RECURSIVE edges AS (SELECT src, dst, count(*) AS weight FROM (SELECT l_suppkey AS src,
- lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R') WHERE dst IS NOT NULL GROUP BY 1, 2),
-und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst GROUP BY 1, 2 HAVING sum(weight) >= 3), nb AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und),
-walk AS (SELECT s_suppkey AS src, s_suppkey AS node, 0 AS dist FROM supplier UNION SELECT w.src, n.nbr, w.dist + 1 FROM walk w JOIN nb n ON n.id = w.node WHERE w.dist < 12),
+_SUPP = (
+    graph_oracles.STRG
+    + """, walk AS (SELECT id AS src, id AS node, 0 AS dist FROM nodes UNION SELECT w.src, n.nbr, w.dist + 1 FROM walk w JOIN adj n ON n.id = w.node WHERE w.dist < 40),
 dists AS (SELECT src, node, min(dist) AS dist FROM walk GROUP BY 1, 2),"""
+)
 _JOINED = (
     _SUPP
     + f""" words AS (SELECT l_suppkey AS id, unnest({_tokens("p_name")}) AS word FROM lineitem JOIN part ON l_partkey = p_partkey), counts AS (SELECT id, word, count(*) AS tf FROM words GROUP BY 1, 2),
 nm AS (SELECT id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM counts GROUP BY 1), vec AS (SELECT id, word, tf / norm AS w FROM counts JOIN nm USING (id)),
 sc AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 9) AS score FROM vec x JOIN vec y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2),
-rk AS (SELECT a, b, score, dist, row_number() OVER (ORDER BY score DESC, a, b) AS place FROM sc LEFT JOIN dists ON src = a AND node = b)"""
+allp AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id < y.id),
+rk AS (SELECT a, b, coalesce(score, 0.0) AS score, dist, row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, a, b) AS place FROM allp LEFT JOIN sc USING (a, b) LEFT JOIN dists ON src = a AND node = b)"""
 )
 _LIST = ", ".join(_q(w) for w in STOPWORDS)
 _HEADS = "[" + ", ".join(_q(h) for h in HEADINGS) + "]"
@@ -101,16 +103,22 @@ ORACLES = {
  sz AS (SELECT id, sum(tf)::BIGINT AS a, coalesce(sum(tf) FILTER (word IN (SELECT word FROM mask)), 0)::BIGINT AS r FROM counts GROUP BY 1)
  SELECT x.id, x.neighbor AS before, x.score AS before_score, y.neighbor AS after, y.score AS after_score, x.neighbor <> y.neighbor AS changed, coalesce(s.score, 0.0) AS same_pair_after, coalesce(r, 0) AS removed, round(coalesce(r / sz.a::DOUBLE, 0), 9) AS removed_share
  FROM near x JOIN near2 y USING (id) LEFT JOIN sc2 s ON s.a = least(x.id, x.neighbor) AND s.b = greatest(x.id, x.neighbor) LEFT JOIN sz ON sz.id = x.id""",
+    "ablation_summary": COUNTS
+    + f""", {_tfidf()}, mask AS (SELECT word FROM counts GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50), kept AS (SELECT * FROM counts WHERE word NOT IN (SELECT word FROM mask)), {_tfidf("kept", "2")}
+ SELECT count(*) FILTER (x.neighbor <> y.neighbor) AS changed, count(*) FILTER (x.neighbor = y.neighbor) AS unchanged, (SELECT sum(tf)::BIGINT FROM counts WHERE word IN (SELECT word FROM mask)) AS removed,
+ round(median(x.score), 9) AS median_before, round(median(coalesce(s.score, 0.0)), 9) AS median_after FROM near x JOIN near2 y USING (id) LEFT JOIN sc2 s ON s.a = least(x.id, x.neighbor) AND s.b = greatest(x.id, x.neighbor)""",
+    "word_spans": f"""WITH w AS (SELECT doc_id AS id, text, regexp_extract_all(text, {_q(word_pattern(LETTER))}) AS ws FROM documents)
+ SELECT id, len(ws) AS words, len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: regexp_matches(p, '\\p{{L}}'))) - 1 AS last_para, length(regexp_replace(text, '\\P{{L}}+$', '')) AS last_end, list_sum(list_transform(ws, lambda x: length(x)))::BIGINT AS letters FROM w WHERE len(ws) > 0""",
     "literal_excerpt": f"""WITH f AS (SELECT doc_id AS id, text, instr(text, {_q(NEEDLE)}) AS p FROM documents WHERE instr(text, {_q(NEEDLE)}) > 0)
  SELECT id, p - 1 AS start, p - 1 + {len(NEEDLE)} AS "end", substring(text, greatest(1, p - 60), p - greatest(1, p - 60)) AS before, substring(text, p + {len(NEEDLE)}, 60) AS after FROM f""",
     "tfidf_terms": COUNTS + f", {_tfidf()}, w9 AS (SELECT id, word, round(w, 9) AS w FROM vec) SELECT id, arg_min(word, (-w, word)) AS term FROM w9 GROUP BY 1",
     "pair_category": f"WITH {_paras()}, {_runs()} SELECT a, b, length, CASE WHEN para_a = 0 AND para_b = 0 THEN 'lead' WHEN length >= 20 THEN 'copied' ELSE 'formula' END AS category FROM runs",
-    "pair_rank": COUNTS + f", {_tfidf()} SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a, b) AS place FROM sc WHERE score >= 0.5",
+    "pair_rank": COUNTS + f", {_tfidf()} SELECT x.id AS a, y.id AS b, coalesce(score, 0.0) AS score, row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, x.id, y.id) AS place FROM ids x JOIN ids y ON x.id < y.id LEFT JOIN sc ON a = x.id AND b = y.id",
     "lexical_vs_distance": _JOINED
-    + f""", {_nearest("sc", "SELECT s_suppkey AS id FROM supplier")}, allp AS (SELECT (count(*) * (count(*) - 1) // 2)::BIGINT AS n FROM supplier), bk AS (SELECT unnest(['1', '2', '3', '4+', 'disconnected']) AS bucket),
- c AS (SELECT CASE WHEN dist >= 4 THEN '4+' ELSE dist::VARCHAR END AS bucket, count(*) AS pairs FROM dists WHERE src < node GROUP BY 1 UNION ALL SELECT 'disconnected', (SELECT n FROM allp) - (SELECT count(*) FROM dists WHERE src < node)),
+    + f""", {_nearest("sc", "SELECT s_suppkey AS id FROM supplier")}, alln AS (SELECT (count(*) * (count(*) - 1) // 2)::BIGINT AS n FROM supplier), bk AS (SELECT unnest(['1', '2', '3', '4+', 'disconnected']) AS bucket),
+ c AS (SELECT CASE WHEN dist >= 4 THEN '4+' ELSE dist::VARCHAR END AS bucket, count(*) AS pairs FROM dists WHERE src < node GROUP BY 1 UNION ALL SELECT 'disconnected', (SELECT n FROM alln) - (SELECT count(*) FROM dists WHERE src < node)),
  m AS (SELECT CASE WHEN dist IS NULL THEN 'disconnected' WHEN dist >= 4 THEN '4+' ELSE dist::VARCHAR END AS bucket, count(*) AS nearest FROM near LEFT JOIN dists ON src = id AND node = neighbor WHERE neighbor IS NOT NULL GROUP BY 1)
- SELECT bucket, coalesce(nearest, 0) AS nearest, round(coalesce(nearest / nullif((SELECT count(neighbor) FROM near), 0)::DOUBLE, 0), 9) AS nearest_share, 2 * coalesce(pairs, 0) AS all_pairs, round(coalesce(pairs, 0) / nullif((SELECT n FROM allp), 0)::DOUBLE, 9) AS all_share
+ SELECT bucket, coalesce(nearest, 0) AS nearest, round(coalesce(nearest / nullif((SELECT count(neighbor) FROM near), 0)::DOUBLE, 0), 9) AS nearest_share, 2 * coalesce(pairs, 0) AS all_pairs, round(coalesce(pairs, 0) / nullif((SELECT n FROM alln), 0)::DOUBLE, 9) AS all_share
  FROM bk LEFT JOIN c USING (bucket) LEFT JOIN m USING (bucket)""",
     "far_pairs": _JOINED + f" SELECT a, b, score, dist::BIGINT AS dist, place FROM rk WHERE dist >= {FAR} ORDER BY place LIMIT 20",
     "disconnected_pair": _JOINED + " SELECT a, b, score, place FROM rk WHERE dist IS NULL ORDER BY place LIMIT 1",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.words import LETTER_OR_DIGIT, title_words
-from threadloom.operators import degrees, evidence, paths, texts, weighted
+from threadloom.operators import degrees, evidence, paths, texts
+from threadloom.operators.ranks import placed
 from threadloom.plans import cross
+from threadloom.session import materialize
 from threadloom.sources import tables
 
 LINE = "\n"
@@ -120,6 +122,10 @@ def ablation_report(s: SparkSession, d: str) -> DataFrame:
     return texts.ablation(_docs(s, d), counts, _mask(counts))
 
 
+def ablation_summary(s: SparkSession, d: str) -> DataFrame:
+    return texts.ablation_summary(ablation_report(s, d))
+
+
 def literal_excerpt(s: SparkSession, d: str) -> DataFrame:
     return texts.literal_excerpts(_docs(s, d), NEEDLE)
 
@@ -147,8 +153,8 @@ def pair_category(s: SparkSession, d: str) -> DataFrame:
 
 
 def pair_rank(s: SparkSession, d: str) -> DataFrame:
-    w = F.row_number().over(Window.orderBy(F.desc("score"), "a", "b"))
-    return _scores(s, d).select("a", "b", F.round("score", 9).alias("score")).where("score >= 0.5").withColumn("place", w)
+    every = texts.all_pair_scores(_docs(s, d), _scores(s, d)).withColumn("score", F.round("score", 9))
+    return placed(every, "place", F.desc("score"), F.col("a"), F.col("b"))
 
 
 def _supplier_texts(s: SparkSession, d: str) -> DataFrame:
@@ -159,8 +165,8 @@ def _supplier_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _joined(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    nodes, edges = tables.supplier_graph(s, d)
-    strong = weighted.projection(edges).where("weight >= 3").select("a", "b")
+    nodes, edges = tables.supplier_links(s, d)
+    strong = degrees.undirected(edges)
     docs = nodes.select("id").join(_supplier_texts(s, d), "id", "left")
     counts = texts.term_counts(texts.words(docs))
     bags = counts.join(counts.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm")), "id").select("id", "word", (F.col("tf") / F.col("norm")).alias("w"))
@@ -172,21 +178,26 @@ def lexical_vs_distance(s: SparkSession, d: str) -> DataFrame:
     return cross.nearest_by_distance(nodes, texts.nearest(docs, scores), dist)
 
 
+def _placed_pairs(s: SparkSession, d: str) -> DataFrame:
+    _, docs, scores, dist = _joined(s, d)
+    return materialize(cross.pair_distances(docs, scores, dist), "pairs")[0]
+
+
 def far_pairs(s: SparkSession, d: str) -> DataFrame:
-    _, _, scores, dist = _joined(s, d)
-    return cross.ranked_pairs(scores, dist).where(F.col("dist") >= FAR).orderBy("place").limit(20)
+    pairs = _placed_pairs(s, d)
+    return cross.top_placed(pairs, pairs.where(F.col("dist") >= FAR), 20)
 
 
 def disconnected_pair(s: SparkSession, d: str) -> DataFrame:
-    _, _, scores, dist = _joined(s, d)
-    return cross.ranked_pairs(scores, dist).where("dist IS NULL").orderBy("place").limit(1).select("a", "b", "score", "place")
+    pairs = _placed_pairs(s, d)
+    return cross.top_placed(pairs, pairs.where("dist IS NULL"), 1).select("a", "b", "score", "place")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_stats, paragraph_stats, possessive_terms, ngram_df, phrase_presence, shared_runs, run_threshold_curve, run_sensitivity, section_labels,
-        bag_cosine_top, spearman_length_degree, tfidf_weights, tfidf_nearest, top_terms, title_mask, ablation_report, literal_excerpt, word_spans,
+        bag_cosine_top, spearman_length_degree, tfidf_weights, tfidf_nearest, top_terms, title_mask, ablation_report, ablation_summary, literal_excerpt, word_spans,
         term_excerpt, tfidf_terms, pair_category, pair_rank, lexical_vs_distance, far_pairs, disconnected_pair,
     )
 }

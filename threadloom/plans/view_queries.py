@@ -31,7 +31,7 @@ def display_names(s: SparkSession, d: str) -> DataFrame:
 
 
 def node_search(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_graph(s, d)
+    nodes, edges = tables.supplier_links(s, d)
     return views.search(nodes.join(degrees.degree_table(nodes, edges).select("id", "in_degree"), "id"), _terms(s, TERMS))
 
 
@@ -104,8 +104,8 @@ def board_score(s: SparkSession, d: str) -> DataFrame:
 
 
 def _wires(s: SparkSession, d: str) -> DataFrame:
-    """Boards: the distinct successive parts among an order's returned lines, loops left out."""
-    lines = tables.table(s, d, "lineitem").where("l_returnflag = 'R'")
+    """Boards: the distinct successive parts among an order's lines, loops left out."""
+    lines = tables.table(s, d, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     steps = lines.select(F.col("l_orderkey").alias("board"), F.col("l_partkey").alias("source"), F.lead("l_partkey").over(order).alias("target")).where("source <> target").distinct()
     return steps.select("board", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "source", "target")
@@ -152,13 +152,13 @@ _NORM = "regexp_replace(lower(trim({})), '\\s+', ' ', 'g')"
 _KEYED = f"""terms AS (SELECT * FROM (VALUES {_values(NAMES)}) t(term)), pn AS (SELECT p_partkey AS id, p_name || ' (' || p_brand || ')' AS name FROM part),
 keyed AS (SELECT id, id::VARCHAR AS i, {_NORM.format("name")} AS n, {_NORM.format("regexp_replace(name, '\\s+\\([^()]*\\)$', '')")} AS l FROM pn), q AS (SELECT term, {_NORM.format("replace(term, '_', ' ')")} AS q FROM terms)"""
 _W = """w AS (SELECT DISTINCT board, source, target, least(source, target) AS a, greatest(source, target) AS b FROM (SELECT l_orderkey AS board, l_partkey AS source,
- lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target FROM lineitem WHERE l_returnflag = 'R') WHERE source <> target),
+ lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target FROM lineitem) WHERE source <> target),
 tg AS (SELECT board, id, sum(i)::BIGINT AS in_target, sum(o)::BIGINT AS out_target FROM (SELECT board, target AS id, 1 AS i, 0 AS o FROM w UNION ALL SELECT board, source, 0, 1 FROM w) GROUP BY 1, 2)"""
 
 ORACLES = {
     "display_names": """WITH p AS (SELECT p_partkey AS id, p_name || ' (' || p_type || ') (' || p_brand || ')' AS name FROM part), x AS (SELECT id, name, regexp_replace(name, '\\s+\\([^()]*\\)$', '') AS label, trim(regexp_replace(name, '\\s*\\([^()]*\\)', '', 'g')) AS short FROM p)
  SELECT id, label, short, CASE WHEN count(*) OVER (PARTITION BY short) > 1 THEN name ELSE short END AS display FROM x""",
-    "node_search": graph_oracles.SUPP
+    "node_search": graph_oracles.STRG
     + f""", terms AS (SELECT * FROM (VALUES {_values(TERMS)}) t(term)), m AS (SELECT term, n.id, name, in_degree, CASE WHEN n.id::VARCHAR = {_T} THEN 1 WHEN lower(name) = {_T} THEN 2 WHEN {_T} <> '' AND contains(lower(name), {_T}) THEN 3 END AS tier
  FROM nodes n JOIN deg ON deg.id = n.id, terms) SELECT term, id, name, tier::BIGINT AS tier FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tier, in_degree DESC, id) AS rn FROM m WHERE tier IS NOT NULL) WHERE rn = 1""",
     "strict_resolve": f"""WITH {_KEYED}, r AS (SELECT term, min(id) FILTER (i = q OR n = q) AS exact, count(*) FILTER (l = q) AS labels, min(id) FILTER (l = q) AS by_label FROM q JOIN keyed ON i = q OR n = q OR l = q GROUP BY 1)

@@ -10,12 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _arcs(steps: DataFrame) -> DataFrame:
+    return steps.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
 def successions(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    """``(src, dst, weight)``: how often ``key`` follows itself within an order's returned lines."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    """``(src, dst, weight)``: how often ``key`` follows itself within an order's lines."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    steps = lines.select(F.col(key).alias("src"), F.lead(key).over(order).alias("dst")).where("dst IS NOT NULL")
-    return steps.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return _arcs(table(spark, sf_dir, "lineitem").select(F.col(key).alias("src"), F.lead(key).over(order).alias("dst")))
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -28,6 +30,22 @@ def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return nodes, successions(spark, sf_dir, "l_suppkey")
 
 
+def supplier_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The supplier graph's strong links: arcs of the ties that weigh over two deviations more than the mean."""
+    nodes, arcs = supplier_graph(spark, sf_dir)
+    ties = arcs.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
+    level = ties.agg((F.avg("w") + 2 * F.stddev_pop("w")).alias("level"))
+    strong = ties.crossJoin(F.broadcast(level)).where("w > level").select("a", "b")
+    return nodes, arcs.join(strong, (F.least("src", "dst") == F.col("a")) & (F.greatest("src", "dst") == F.col("b")), "left_semi")
+
+
+def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and an arc from each to the next order of the same part from the same supplier."""
+    order = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.lead("l_orderkey").over(order).alias("dst"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), _arcs(steps)
+
+
 def supplier_partitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = table(spark, sf_dir, "supplier")
     return s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("label")), s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 5).alias("label"))
