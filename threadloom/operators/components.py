@@ -20,15 +20,17 @@ def with_value(rows: DataFrame, key: str, value: Column, name: str, total: int |
     """``rows`` with an aggregate ``value`` over each key's rows as ``name``; rows with a null key go.
 
     The aggregate combines before its shuffle. A key with more than one in ``FEW`` of ``total`` rows (by default
-    those there are) is heavy; there are few of these, so theirs are broadcast and their rows stay where they are.
-    The other rows meet their aggregate by a shuffle on the key.
+    those there are) is heavy; there are few of these, so theirs are broadcast, and their rows are dealt evenly. The
+    other rows meet their aggregate by a shuffle on the key.
     """
-    found = rows.groupBy(key).agg(value.alias(name), F.count("*").alias("_rows"))
-    counted = found.withColumn("_all", F.lit(total)) if total is not None else found.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_all"))))
-    heavy = counted.where(F.col("_rows") * FEW > F.col("_all")).select(key, F.col(name).alias("_value"))
-    marked = rows.join(F.broadcast(heavy), key, "left")
-    here = marked.where("_value IS NOT NULL").withColumnRenamed("_value", name)
-    return here.unionByName(marked.where("_value IS NULL").drop("_value").join(found.select(key, name), key))
+    keyed = rows.where(F.col(key).isNotNull())
+    found = keyed.groupBy(key).agg(value.alias(name), F.count("*").alias("_rows"))
+    counted = found.withColumn("_all", F.lit(total)) if total is not None else found.crossJoin(F.broadcast(keyed.agg(F.count("*").alias("_all"))))
+    heavy = counted.where(F.col("_rows") * FEW > F.col("_all")).select(key, F.col(name).alias("_value"), F.lit(True).alias("_heavy"))
+    part = F.when(F.col("_heavy"), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(FEW))).otherwise(0)
+    marked = keyed.join(F.broadcast(heavy), key, "left").withColumn("_part", part)
+    met = marked.join(found.select(key, name, F.lit(0).cast("long").alias("_part")), [key, "_part"], "left")
+    return met.select(*rows.columns, F.coalesce("_value", name).alias(name))
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
