@@ -16,18 +16,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from threadloom.llm.shared import Shared, by_group, group_edges, split_hot
+from threadloom.llm.shared import Shared, by_group, group_edges, small_slices, split_hot
 from threadloom.operators.components import components_of_edges
 from threadloom.session import materialize
 
 UNIT_ROWS = 1024
-MAX_DEPTH = 20
+MAX_DEPTH = 31
+LEAST_SAMPLE = 32
+#: Chance that a level of a tree parts two vectors at the least cosine, with spill of half their distance (measured about 0.02).
+PARTED = 0.021
 
 
 @dataclass(frozen=True)
 class Forest:
-    """directions[dim][tree, level] and cuts[dim][tree][level][node]; at most ``trees * 2**MAX_DEPTH`` cuts."""
+    """directions[dim][tree, level], cuts[dim][tree][level][node]; the cuts of a level are as many as the sample can tell apart."""
 
     directions: dict
     cuts: dict
@@ -40,27 +44,36 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_forest(samples: dict, rows: int, min_cos: float, trees: int, leaf_rows: int, spill: float, seed: int) -> Forest:
-    """``samples[dim]``: unit vectors. Nodes with under 32 sample rows take the cut of their parent's rows."""
+def trees_for(depth: int, missed: float = 0.01) -> int:
+    """Trees after which a pair at the least cosine is parted in all of them with chance ``missed`` or less; 4 at least."""
+    kept = (1 - PARTED) ** depth
+    return max(4, int(np.ceil(np.log(missed) / np.log(1 - kept)))) if kept < 1 else 4
+
+
+def fit_forest(samples: dict, rows: int, min_cos: float, trees: int | None, leaf_rows: int, spill: float, seed: int) -> Forest:
+    """``samples[dim]``: unit vectors. Nodes with under ``LEAST_SAMPLE`` sample rows take the cut of their parent's rows.
+
+    Below the level at which the sample runs out, the nodes under one ancestor share the median of the ancestor's rows
+    on the level's direction, so the cuts stay few however deep the trees are.
+    """
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(rows, 1) / leaf_rows)))))
+    trees = trees or trees_for(depth)
     directions, cuts, widths = {}, {}, {}
     for dim, x in samples.items():
         rng = np.random.default_rng([seed, dim])
         d = rng.standard_normal((trees, depth, dim))
         d /= np.linalg.norm(d, axis=2, keepdims=True)
+        told = max(0, int(np.log2(max(len(x) / LEAST_SAMPLE, 1))))
         per_tree = []
         for t in range(trees):
             levels, groups = [], [np.arange(len(x))]
             for level in range(depth):
-                p, cut, following = x @ d[t, level], [], []
-                for own in groups:
-                    c = float(np.median(p[own])) if len(own) else 0.0
-                    cut.append(c)
-                    left = own[p[own] < c]
-                    right = own[p[own] >= c]
-                    following += [g if len(g) >= 32 else own for g in (left, right)]
-                levels.append(np.array(cut))
-                groups = following
+                p = x @ d[t, level]
+                cut = np.array([float(np.median(p[own])) if len(own) else 0.0 for own in groups])
+                levels.append(cut)
+                if level < told:
+                    halves = [(own, half) for own, c in zip(groups, cut, strict=True) for half in (own[p[own] < c], own[p[own] >= c])]
+                    groups = [half if len(half) >= LEAST_SAMPLE else own for own, half in halves]
             per_tree.append(levels)
         directions[dim], cuts[dim] = d, per_tree
         widths[dim] = spill * np.sqrt(2 - 2 * min_cos) / np.sqrt(dim)
@@ -68,13 +81,19 @@ def fit_forest(samples: dict, rows: int, min_cos: float, trees: int, leaf_rows:
 
 
 def route(forest: Forest, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and leaves of unit vectors: row ``rows[k]`` lies in leaf ``leaves[k]``; leaf numbers rise with the tree."""
+    """Rows and leaves of unit vectors: row ``rows[k]`` lies in leaf ``leaves[k]``; leaf numbers rise with the tree.
+
+    Vectors of a length that the sample lacks lie in one leaf of their own.
+    """
     dim, rows, leaves = x.shape[1], [], []
+    if dim not in forest.directions:
+        return np.arange(len(x)), np.full(len(x), np.int64(dim) << 40)
     d, width = forest.directions[dim], forest.spill[dim]
     for t in range(len(d)):
         at, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
         for level in range(d.shape[1]):
-            gap = (x @ d[t, level])[at] - forest.cuts[dim][t][level][node]
+            cut = forest.cuts[dim][t][level]
+            gap = (x @ d[t, level])[at] - cut[node >> (level - (len(cut).bit_length() - 1))]
             left, right = gap < width, gap >= -width
             at, node = np.r_[at[left], at[right]], np.r_[2 * node[left], 2 * node[right] + 1]
         rows.append(at)
@@ -102,7 +121,7 @@ def _compare(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, leaves: list, l
     return {"id": ids[at], "links": fresh.astype(np.int64) @ copies[at], "root": ids[at][root]}
 
 
-def link_counts(vectors: DataFrame, min_cos: float, trees: int = 4, leaf_rows: int = 512, spill: float = 0.5, fit_rows: int = 20_000, seed: int = 5) -> DataFrame:
+def link_counts(vectors: DataFrame, min_cos: float, trees: int | None = None, leaf_rows: int = 512, spill: float = 0.5, fit_rows: int = 20_000, seed: int = 5) -> DataFrame:
     """``vectors(id, copies, embedding)``, distinct and finite -> partial rows ``(id, links, root)``."""
     spark = vectors.sparkSession
     total = vectors.count()
@@ -111,14 +130,12 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int = 4, leaf_rows: i
     by_dim: dict = {}
     for (v,) in picked:
         by_dim.setdefault(len(v), []).append(v)
-    dims = [r[0] for r in vectors.select(F.size("embedding")).distinct().limit(1000).collect()]
-    samples = {dim: unit_rows(by_dim[dim]) if dim in by_dim else np.zeros((0, dim)) for dim in dims}
+    samples = {dim: unit_rows(own) for dim, own in by_dim.items()}
+    packed = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
     forest = Shared(spark, fit_forest(samples, total, min_cos, trees, leaf_rows, spill, seed))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small_slices(batches, "embedding", 10_000):
             lists = batch.column("embedding")
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -131,7 +148,7 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int = 4, leaf_rows: i
                 rows, leaves = rows[order], leaves[order]
                 bounds = np.searchsorted(rows, np.arange(len(own) + 1))
                 lists_of = [leaves[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                blobs = [v.astype("<f8").tobytes() for v in raw]
+                blobs = [v.astype(packed).tobytes() for v in raw]
                 for s in range(0, len(rows), 4096):
                     part = rows[s : s + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -154,7 +171,7 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int = 4, leaf_rows: i
             starts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (leaf[1:] != leaf[:-1])])
             vecs, lists = table.column("vec"), table.column("leaves")
             for s, e in zip(starts, np.r_[starts[1:], len(unit)], strict=True):
-                x = unit_rows(np.stack([np.frombuffer(v, "<f8") for v in vecs.slice(s, e - s).to_pylist()]))
+                x = unit_rows(np.stack([np.frombuffer(v, packed) for v in vecs.slice(s, e - s).to_pylist()]))
                 got = _compare(ids[s:e], copies[s:e], x, lists.slice(s, e - s).to_pylist(), int(leaf[s]), side[s:e], min_cos)
                 if got:
                     yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in got.items()})

@@ -83,4 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: Trained models, XXH64, CRC-32 and file formats are beyond SQL; these two operators are not.
+ORACLES: dict[str, str] = {
+    "op5_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ sound AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ links AS (SELECT x.vec_id AS id, y.vec_id AS nbr FROM sound x JOIN sound y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.95),
+ comp(id, c) USING KEY (id) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.nbr, min(x.c) FROM comp x JOIN links l ON l.id = x.id JOIN recurring.comp r ON r.id = l.nbr WHERE x.c < r.c GROUP BY l.nbr)
+ SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN comp ON comp.id = vec_id LEFT JOIN (SELECT id, count(*) AS n FROM links GROUP BY 1) k ON k.id = vec_id""",
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+ f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY 1)
+ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM p LEFT JOIN f ON f.digest = p.digest AND n >= 100""",
+}

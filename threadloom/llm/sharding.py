@@ -1,6 +1,6 @@
 """Reproducible shuffling and sharding by a Feistel permutation of global row numbers.
 
-Rows are numbered by (bucket of the id's hash, id); a Feistel network over the smallest even-bit
+Rows are numbered by (bucket of a hash of id, checksum and size; these three); a Feistel network over the smallest even-bit
 domain, with cycle walking, permutes the numbers ``0..n-1``. The permuted number gives shard (its
 remainder) and slot (its quotient), and the inverse gives the row number back, so both are computable
 without looking at other rows. Shard sizes differ by one row at most (law ``rows``).
@@ -72,12 +72,12 @@ def restore(places: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def number_rows(rows: DataFrame, order: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """Adds ``row`` (gapless from 0) by (bucket of the first order column's hash, order columns); also the count.
+    """Adds ``row`` (gapless from 0) by (bucket of the order columns' hash, order columns); also the count.
 
     Only bucket sizes, at most ``buckets`` numbers, pass through the driver.
     """
     spark = rows.sparkSession
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(order[0]), F.lit(buckets)).cast("int"))
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = sorted((r["_bucket"], r["n"]) for r in dealt.groupBy("_bucket").agg(F.count("*").alias("n")).collect())
     before = np.r_[0, np.cumsum([n for _, n in sizes])]
     offsets = spark.createDataFrame([(b, int(o)) for (b, _), o in zip(sizes, before, strict=False)], "_bucket int, _offset long")

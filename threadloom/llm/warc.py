@@ -32,21 +32,21 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def write_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def write_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """One WARC record: a response with its payload, or a revisit that names the record holding it."""
-    target = "".join(c for c in url or "about:blank" if c not in "\r\n")
+    uri = lambda u: "".join(c for c in u or "about:blank" if c not in "\r\n")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Target-URI: {target}",
+        f"WARC-Target-URI: {uri(url)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http;msgtype=response",
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Target-URI: {uri(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-Id: {refers_to}"]
         payload = b""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode("utf-8", "replace") + block + b"\r\n\r\n"
@@ -107,7 +107,7 @@ def gzip_member(record: bytes, level: int = 6) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """``pages(page_id, url, html, digest, refers_to)`` -> ``(archive)``, one row per monolithic archive written.
+    """``pages(page_id, url, html, digest, refers_to, refers_url)`` -> ``(archive)``, one row per monolithic archive written.
 
     A retried task writes under new names, so only files of tasks that succeeded are listed.
     """
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
                     out, deflate, written = system.open_output_stream(path, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31), 0
-                record = write_record(row["page_id"], row["url"], (row["html"] or "").encode(), row["digest"], row["refers_to"])
+                record = write_record(row["page_id"], row["url"], (row["html"] or "").encode(), row["digest"], row["refers_to"], row["refers_url"])
                 out.write(deflate.compress(record))
                 written += len(record)
                 if written >= ROLL_BYTES:
@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"archive": [path]})
 
-    return pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "archive string")
+    return pages.select("page_id", "url", "html", "digest", "refers_to", "refers_url").mapInArrow(run, "archive string")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -190,13 +190,14 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """Adds ``digest`` and ``refers_to``: of equal payloads of ``least_bytes`` or more, all but the smallest page_id refer to it."""
+    """Adds ``digest``, ``refers_to`` and ``refers_url``: of equal payloads of ``least_bytes`` or more, all but the smallest page_id refer to it."""
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     columns = ["page_id", "url", "html", "digest"]
     large, small = keyed.where(F.octet_length("html") >= least_bytes), keyed.where(F.octet_length("html") < least_bytes)
-    first = large.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = large.join(first, "digest", "left").select(*columns, F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
-    return marked.union(small.select(*columns, F.lit(None).cast("long").alias("refers_to")))
+    first = large.select("page_id", "url", "digest").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = F.col("page_id") != F.col("first_id")
+    marked = large.join(first, "digest", "left").select(*columns, F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
+    return marked.union(small.select(*columns, F.lit(None).cast("long"), F.lit(None).cast("string")))
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 100) -> DataFrame:
