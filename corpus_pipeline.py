@@ -1,58 +1,5 @@
-"""The corpus pipeline: five stages, each written as Parquet to the shared folder and read again.
+"""The corpus pipeline, whose stages live in the subpackage of the training-data operators."""
 
-Documents that the language stage can't place or that the toxicity stage rejects go, one document
-stays of each near-duplicate group, documents that overlap the benchmark go, and what is left is encoded.
-"""
+from threadloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from threadloom.llm import decontaminate, language, sentencepiece, simhash, toxicity
-from threadloom.session import drop_path, materialize
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.keep_identified(docs, language.fit(docs), min_score=0.4)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs, shingle=5, max_bits=4, similarity=0.8)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return sentencepiece.encode(docs, sentencepiece.load(public_tokenizers.path("piece_bpe_32k.model")))
-
-
-STAGES = [
-    ("language", identify_language),
-    ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("encoding", encode),
-]
-
-#: Trained models and a merge-order segmentation are beyond SQL; tests compare with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; only the last stage's table is left in the shared folder."""
-    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        docs, written = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if path:
-            drop_path(spark, path)
-        path = written
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
