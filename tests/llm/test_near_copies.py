@@ -93,9 +93,43 @@ def test_hot_units_are_split_without_loss(spark, monkeypatch):
 
 
 def test_one_document_stays_of_each_group(spark):
-    kept = simhash.keep_first(frame(spark, DOCS, extra=False).selectExpr("*", "'s' AS source"), shingle=5)
-    assert kept.columns == ["doc_id", "text", "source"]
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 6), (False, 7), (True, 0)]
+    rows = [*DOCS, (None, "word " * 40), (None, "word " * 40), (77, "word " * 39), (2, "quite another text under an id that is there already")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source", "7 AS _key", "1 AS copies", "2 AS row", "3 AS name", "4 AS k", "5 AS _rows", "named_struct('a', 1) AS extra", "map('a', 1) AS m")
+    kept = simhash.keep_first(df, shingle=5)
+    assert kept.dtypes == df.dtypes
+    got = kept.collect()
+    assert all(r._key == 7 and r.source == "s" and r.k == 4 and r.extra.a == 1 for r in got)
+    texts = sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "")[:9]) for r in got))
+    assert texts == [(False, 1, "w w w w w"), (False, 2, "one two"), (False, 2, "quite ano"), (False, 3, "ALPHA bet"), (False, 4, "Äpfel und"), (False, 6, "äpfel und"), (False, 7, " \n "), (False, 77, "word word"), (True, 0, "no id her")]
+    lone = spark.createDataFrame([(None, "x y z"), (None, "x y z"), (None, None)], "doc_id long, text string")
+    assert sorted(r.text or "" for r in simhash.keep_first(lone).collect()) == ["", "x y z"]
+    assert simhash.keep_first(lone.limit(0)).collect() == []
+
+
+def test_rows_equal_in_id_and_text_leave_one(spark):
+    df = spark.createDataFrame([(1, "same text", k) for k in (3, 1, 2)], "doc_id long, text string, n int")
+    first = simhash.keep_first(df).collect()
+    assert len(first) == 1 and first == simhash.keep_first(df.orderBy("n").repartition(3)).collect()
+
+
+def test_hot_hashes_meet_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "UNIT_ROWS", 8)
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+    rows = [(k, " ".join([*base, *(f"x{k}y{j}" for j in range(4))])) for k in range(120)]
+    rows += [(1000 + k, " ".join(f"v{x}" for x in rng.integers(0, 10**6, 60))) for k in range(30)]
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {found[k] for k in range(120)} == {0} and all(found[1000 + k] == 1000 + k for k in range(30))
+
+
+def test_long_texts_take_bounded_memory():
+    text = b" ".join(b"w%d" % (k % 700_000) for k in range(1_000_000))
+    assert len(text) > 6 << 20
+    h = simhash.shingle_hashes(text, 4)
+    ones = np.zeros(64, np.int64)
+    for b in range(64):
+        ones[b] = int(((h >> np.uint64(b)) & np.uint64(1)).sum())
+    assert simhash.simhash64(text, 4) == sum(1 << b for b in range(64) if ones[b] * 2 > len(h))
 
 
 def test_empty_tables(spark):
@@ -143,6 +177,23 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert sorted(got) == sorted(brute_vectors(rows, 0.95))
 
 
+def test_deep_trees_keep_their_pairs():
+    rng = np.random.default_rng(7)
+    x = embeddings.unit_rows(rng.standard_normal((4000, 16)))
+    other = rng.standard_normal((4000, 16))
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    y = 0.955 * x + np.sqrt(1 - 0.955**2) * embeddings.unit_rows(other)
+    forest = embeddings.fit_forest({16: x[:2000]}, 4000 << 14, 0.95, None, 512, 0.5, 5)
+    assert len(forest.cuts[16]) == embeddings.trees_for(17) and len(forest.cuts[16][0]) == 17 and max(len(c) for c in forest.cuts[16][0]) <= 64
+    sides = [{} for _ in range(2)]
+    for held, v in zip(sides, (x, y), strict=True):
+        for row, leaf in zip(*embeddings.route(forest, v), strict=True):
+            held.setdefault(int(row), set()).add(int(leaf))
+    assert np.mean([bool(sides[0][k] & sides[1][k]) for k in range(4000)]) > 0.97
+    rows, leaves = embeddings.route(forest, np.ones((3, 7)))
+    assert rows.tolist() == [0, 1, 2] and len(set(leaves.tolist())) == 1
+
+
 def test_group_edges_span_components():
     near = np.zeros((6, 6), bool)
     for a, b in ((0, 3), (3, 5), (1, 2)):

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate, embeddings, language, licenses, rans, sentencepiece, sharding, simhash, toxicity, warc
-from threadloom.llm.shared import held_out
+from threadloom.llm.shared import held_out, small_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

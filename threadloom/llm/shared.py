@@ -32,6 +32,14 @@ class Shared:
         return self.held[0]
 
 
+def small_rows(spark: SparkSession) -> None:
+    """Session setting of the registered queries and the pipeline: rows are whole documents, so the JVM sends 1,000 at a time.
+
+    The operators do not depend on it; they cut batches by bytes themselves.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def small_slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``most_bytes`` bytes of a text, binary or list column; a larger value stands alone."""
     for batch in batches:
@@ -89,22 +97,15 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def with_group_sizes(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows whose ``key`` occurs at least twice, with the number of its rows as ``name``.
-
-    Sizes combine before their shuffle and are joined back (see :func:`with_value`); a window would read a hot key's rows in one task.
-    """
-    return with_value(df, key, F.count("*"), name).where(F.col(name) > 1)
-
-
-def split_hot(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
+def split_hot(df: DataFrame, key: str, item: str, most: int, weight: str | None = None) -> DataFrame:
     """Rows whose ``key`` occurs at least twice, with ``unit`` (the comparison unit's number) and ``side``.
 
-    Groups of more than ``most`` rows are cut into chunks by the item's hash; each pair of chunks is
-    a unit of its own, so all pairs of a group are still met while no task holds the whole group.
+    Groups of more than ``most`` rows (or of more ``weight`` in all) are cut into chunks by the item's hash; each pair of chunks is
+    a unit of its own, so all pairs of a group are still met while no task holds the whole group. Sizes combine
+    before their shuffle, and those of hot keys are broadcast, so no task reads a hot key's rows either.
     ``side`` is 0 and 1 for the two chunks of a pair, 2 where the unit is compared with itself.
     """
-    sized = with_group_sizes(df, key, "_n")
+    sized = with_value(df, key, F.when(F.count("*") > 1, F.sum(weight) if weight else F.count("*")), "_n").where("_n IS NOT NULL")
     parts = F.ceil(F.col("_n") / F.lit(most)).cast("int")
     mine = F.pmod(F.xxhash64(F.col(item), F.lit(7)), parts).cast("int")
     pair = F.when(parts <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
