@@ -19,16 +19,24 @@ FEW = 1000
 def with_value(rows: DataFrame, key: str, value: Column, name: str, total: int | None = None) -> DataFrame:
     """``rows`` with an aggregate ``value`` over each key's rows as ``name``; rows with a null key go.
 
-    The aggregate combines before its shuffle. A key with more than one in ``FEW`` of ``total`` rows (by default
-    those there are) is heavy; there are few of these, so theirs are broadcast, and their rows are dealt evenly. The
-    other rows meet their aggregate by a shuffle on the key.
+    The aggregate combines before its shuffle. Rows are read once for it and once to meet it; callers whose rows are
+    dear to compute write them first.
     """
     keyed = rows.where(F.col(key).isNotNull())
-    found = keyed.groupBy(key).agg(value.alias(name), F.count("*").alias("_rows"))
-    counted = found.withColumn("_all", F.lit(total)) if total is not None else found.crossJoin(F.broadcast(keyed.agg(F.count("*").alias("_all"))))
+    return with_found(keyed, keyed.groupBy(key).agg(value.alias(name), F.count("*").alias("_rows")), key, name, total)
+
+
+def with_found(rows: DataFrame, found: DataFrame, key: str, name: str, total: int | None = None) -> DataFrame:
+    """``rows`` with the column ``name`` of ``found(key, name, _rows)``, null where ``found`` lacks the key; no key is null.
+
+    ``_rows`` tells how many of the rows hold a key. One with more than one in ``FEW`` of ``total`` (by default the sum
+    over ``found``) is heavy; there are few of these, so theirs are broadcast, and their rows are dealt evenly. The
+    other rows meet their value by a shuffle on the key.
+    """
+    counted = found.withColumn("_all", F.lit(total)) if total is not None else found.crossJoin(F.broadcast(found.agg(F.sum("_rows").alias("_all"))))
     heavy = counted.where(F.col("_rows") * FEW > F.col("_all")).select(key, F.col(name).alias("_value"), F.lit(True).alias("_heavy"))
     part = F.when(F.col("_heavy"), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(FEW))).otherwise(0)
-    marked = keyed.join(F.broadcast(heavy), key, "left").withColumn("_part", part)
+    marked = rows.join(F.broadcast(heavy), key, "left").withColumn("_part", part)
     met = marked.join(found.select(key, name, F.lit(0).cast("long").alias("_part")), [key, "_part"], "left")
     return met.select(*rows.columns, F.coalesce("_value", name).alias(name))
 
