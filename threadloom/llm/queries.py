@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, embeddings, language, licenses, rans, sentencepiece, sharding, simhash, toxicity, warc
+from threadloom.llm import decontaminate, divergence, embeddings, language, licenses, mixing, oracles, rans, search, sentencepiece, sharding, simhash, toxicity, warc
 from threadloom.llm.shared import held_out, small_rows
 
 
@@ -71,6 +71,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), least_docs=10, most_terms=10)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), share=1.5, weights=(5, 2, 1), most_epochs=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
@@ -82,9 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_rans": op9_rans,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_search": op12_search,
+    "op13_mixing": op13_mixing,
 }
 
-#: Trained models, XXH64, CRC-32 and file formats are beyond SQL; these two operators are not.
+#: Trained models, XXH64, CRC-32 and file formats are beyond SQL; these operators are not.
 ORACLES: dict[str, str] = {
     "op5_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
  sound AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -94,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
  f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY 1)
  SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM p LEFT JOIN f ON f.digest = p.digest AND n >= 100""",
+    "op11_divergence": oracles.DIVERGENCE,
+    "op12_search": oracles.SEARCH,
+    "op13_mixing": oracles.MIXING,
 }
