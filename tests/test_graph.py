@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import components, degrees, partitions, paths, ranks, removal, weighted
+from threadloom.operators import components, cuts, degrees, partitions, paths, ranks, removal, weighted
 
 
 def nodes(spark, ids):
@@ -78,7 +78,7 @@ def all_pairs(spark, n, e):
 )
 def test_betweenness(spark, ids, pairs, want):
     n, e = nodes(spark, ids), arcs(spark, pairs)
-    got = {r.id: r.betweenness for r in paths.pair_dependencies(all_pairs(spark, n, e), degrees.both_ways(degrees.undirected(e)), n).collect()}
+    got = {r.id: r.betweenness for r in paths.betweenness(n, degrees.both_ways(degrees.undirected(e))).collect()}
     assert got == pytest.approx(want)
 
 
@@ -120,7 +120,7 @@ def test_every_removal_order(spark):
 
 def test_single_removal(spark):
     n, e = nodes(spark, "ABCDE"), arcs(spark, ["AB", "BC", "BD"])
-    got = {r.id: r for r in removal.single_removal(n, degrees.undirected(e)).collect()}
+    got = {r.id: r for r in cuts.single_removal(n, degrees.undirected(e)).collect()}
     assert (got["B"].giant_after, got["B"].detached, got["B"].extra_components) == (1, 2, 2)
     assert got["E"].detached == 0 and got["A"].giant_after == 3
 

@@ -1,36 +1,35 @@
-"""Resilience: the largest component after removing nodes, for many removal sets in one job.
+"""Resilience: the largest component while nodes go, for whole orders of removal at once.
 
-A removal state is an extra key on nodes and edges, so all states' components settle together.
+Read backwards, an order adds nodes, and a tie enters with the earlier of its two ends. So a spanning forest of the
+ties by that place holds the whole curve: at most one edge a node, whatever the number of states.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.components import components_of_edges
-
-
-def component_sizes(kept: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``kept(state, id)``, ``pairs(a, b)`` -> ``(state, component, size)`` of the graphs that the states induce."""
-    ends = pairs.join(kept.select("state", F.col("id").alias("a")), "a").join(kept.select("state", F.col("id").alias("b")), ["state", "b"])
-    linked = components_of_edges(ends.select(F.struct("state", F.col("a").alias("id")).alias("src"), F.struct("state", F.col("b").alias("id")).alias("dst")))
-    member = linked.select("id.state", "id.id", F.col("component.id").alias("component"))
-    whole = kept.join(member, ["state", "id"], "left").select("state", "id", F.coalesce("component", "id").alias("component"))
-    return whole.groupBy("state", "component").agg(F.count("*").alias("size"))
+from threadloom.operators.forest import merge_sizes, spanning_forest
+from threadloom.operators.ranks import placed, running_max
 
 
 def removal_curve(order: DataFrame, pairs: DataFrame, steps: list[int] | None = None) -> DataFrame:
     """``order(trial, id, place)`` (places from 1, a permutation per trial) -> ``(trial, removed, giant, left)``.
 
-    The state after ``removed`` nodes keeps those of later places; without ``steps`` every count from 0 to n is taken.
+    The state after ``removed`` nodes keeps those of later places; without ``steps`` every count from 0 to n is returned, else
+    those that leave a node. Ties with an end outside the order are ignored.
     """
-    sizes = order.groupBy("trial").agg(F.count("*").alias("n"))
-    wanted = F.sequence(F.lit(0), F.col("n").cast("int")) if steps is None else F.array(*(F.lit(k) for k in steps))
-    states = sizes.select("trial", "n", F.explode(wanted).alias("removed")).where("removed < n" if steps is not None else "removed <= n")
-    kept = order.join(states, "trial").where("place > removed").select(F.struct("trial", "removed").alias("state"), "id")
-    giants = component_sizes(kept, pairs).groupBy("state.trial", "state.removed").agg(F.max("size").alias("giant"))
-    return states.join(giants, ["trial", "removed"], "left").select("trial", "removed", F.coalesce("giant", F.lit(0)).alias("giant"), (F.col("n") - F.col("removed")).alias("left"))
+    at = lambda c: order.select("trial", F.col("id").alias(c), F.col("place").alias(f"place_{c}"))
+    met = pairs.select("a", "b").join(at("a"), "a").join(at("b"), ["trial", "b"])
+    edges = met.select(F.col("trial").alias("graph"), "a", "b", (-F.least("place_a", "place_b")).cast("long").alias("rank"))
+    sizes = merge_sizes(spanning_forest(edges)).groupBy(F.col("graph").alias("trial"), (-F.col("rank")).alias("place")).agg(F.max("size").alias("size"))
+    states = order.select("trial", F.col("place").cast("long").alias("place")).join(sizes, ["trial", "place"], "left").select("trial", "place", F.coalesce("size", F.lit(1)).alias("size"))
+    curve = running_max(states, "trial", "size", "giant", F.desc("place"))
+    counts = order.groupBy("trial").agg(F.count("*").alias("n"))
+    kept = curve.join(F.broadcast(counts), "trial").select("trial", (F.col("place") - 1).alias("removed"), "giant", (F.col("n") - F.col("place") + 1).alias("left"))
+    if steps is not None:
+        return kept.where(F.col("removed").isin(steps))
+    return kept.union(counts.select("trial", "n", F.lit(0), F.lit(0)))
 
 
 def hub_removal(order: DataFrame, pairs: DataFrame, steps: list[int]) -> DataFrame:
@@ -51,30 +50,9 @@ def trial_band(curve: DataFrame) -> DataFrame:
 
 
 def hashed_orders(nodes: DataFrame, trials: int) -> DataFrame:
-    """Reproducible pseudo-random permutations ``(trial, id, place)``: ids by the MD5 of trial and id."""
+    """Reproducible pseudo-random permutations ``(trial, id, place)`` of distinct ids: by the MD5 of trial and id."""
     numbered = nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     key = F.md5(F.concat_ws("-", F.col("trial").cast("string"), F.col("id").cast("string")))
-    return numbered.select("trial", "id", F.row_number().over(Window.partitionBy("trial").orderBy(key, "id")).alias("place"))
-
-
-def single_removal(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per node: giant and component count without it, components gained, and members cut off from the original giant."""
-    states = nodes.select(F.col("id").alias("gone"))
-    kept = states.crossJoin(nodes.select("id")).where("gone <> id").select(F.struct("gone").alias("state"), "id")
-    ends = pairs.join(kept.select("state", F.col("id").alias("a")), "a").join(kept.select("state", F.col("id").alias("b")), ["state", "b"])
-    linked = components_of_edges(ends.select(F.struct("state", F.col("a").alias("id")).alias("src"), F.struct("state", F.col("b").alias("id")).alias("dst")))
-    member = kept.join(linked.select("id.state", "id.id", F.col("component.id").alias("component")), ["state", "id"], "left")
-    member = member.select("state.gone", "id", F.coalesce("component", "id").alias("component"))
-    before = components_of_edges(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    roster = nodes.select("id").join(before, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    sizes = roster.groupBy("component").agg(F.count("*").alias("size"))
-    giant = roster.join(sizes.orderBy(F.desc("size"), "component").limit(1), "component").select("id", F.lit(1).alias("in_giant"))
-    parts = member.join(giant, "id", "left").groupBy("gone", "component").agg(F.count("*").alias("size"), F.count("in_giant").alias("from_giant"))
-    after = parts.groupBy("gone").agg(F.max("size").alias("giant_after"), F.count("*").alias("components"), F.max("from_giant").alias("largest_rest"), F.sum("from_giant").alias("rest"))
-    count = sizes.agg(F.count("*").alias("components_before"))
-    out = states.join(after, "gone", "left").crossJoin(F.broadcast(count))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
-        F.col("gone").alias("id"), zero("giant_after").alias("giant_after"), zero("components").alias("components"),
-        (zero("components") - F.col("components_before")).alias("extra_components"), (zero("rest") - zero("largest_rest")).alias("detached"),
-    )
+    every = placed(numbered.select("trial", "id", key.alias("key")), "place", F.col("trial"), F.col("key"), F.col("id"))
+    n = F.broadcast(nodes.agg(F.count("*").alias("n")))
+    return every.crossJoin(n).select("trial", "id", (F.col("place") - F.col("trial") * F.col("n")).alias("place"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.components import components_of_edges, weak_components
 from threadloom.operators.degrees import both_ways
+from threadloom.operators.forest import merge_sizes, spanning_forest
 from threadloom.operators.ranks import placed
 from threadloom.session import materialize
 
@@ -47,24 +48,26 @@ def disparity(pairs: DataFrame) -> DataFrame:
 def backbone_metrics(nodes: DataFrame, tails: DataFrame, alphas: list[float]) -> DataFrame:
     """Per alpha: ties with a smaller tail (all of them from alpha 1 on), nodes they touch, giant, components, shares.
 
-    ``giant`` is 0 without ties; ``components`` counts isolates.
+    ``giant`` is 0 without ties; ``components`` counts isolates. One spanning forest by tail holds all levels: each of its
+    edges joins two components from its tail on.
     """
     spark = nodes.sparkSession
-    levels = F.broadcast(spark.createDataFrame([(float(a),) for a in alphas], "level double"))
-    kept = tails.crossJoin(levels).where((F.col("level") >= 1) | (F.col("alpha") < F.col("level")))
-    ties = kept.groupBy("level").agg(F.count("*").alias("ties"))
-    ends = kept.select("level", F.explode(F.array("a", "b")).alias("id")).distinct()
-    touched = ends.groupBy("level").agg(F.count("*").alias("nodes"))
-    state = kept.select(F.struct("level", F.col("a").alias("id")).alias("src"), F.struct("level", F.col("b").alias("id")).alias("dst"))
-    sizes = components_of_edges(state).groupBy("component").agg(F.count("*").alias("size"))
-    parts = sizes.groupBy("component.level").agg(F.max("size").alias("giant"), F.count("*").alias("parts"))
+    levels = sorted({float(a) for a in alphas})
+    given = F.array(*(F.lit(x) for x in levels))
+    enters = lambda alpha: F.array_min(F.filter(given, lambda x: (x >= 1) | (alpha < x)))
+    ends = tails.select(F.col("a").alias("id"), "alpha").union(tails.select("b", "alpha")).groupBy("id").agg(F.min("alpha").alias("alpha"))
+    grown = merge_sizes(spanning_forest(tails.select(F.lit(0).alias("graph"), "a", "b", F.col("alpha").cast("double").alias("rank"))))
+    zero = F.lit(0).cast("long")
+    rows = tails.select(enters(F.col("alpha")).alias("at"), F.lit(1).alias("tie"), zero.alias("node"), zero.alias("join"), zero.alias("size"))
+    rows = rows.union(ends.select(enters(F.col("alpha")), zero, F.lit(1), zero, zero)).union(grown.select(enters(F.col("rank")), zero, zero, F.lit(1), "size"))
+    counts = rows.where("at IS NOT NULL").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("tie", "node", "join")), F.max("size").alias("size"))  # a row per level at most
+    asked = spark.createDataFrame([(float(a),) for a in alphas], "level double")
+    upto = F.broadcast(asked).join(F.broadcast(counts), F.col("at") <= F.col("level"), "left").groupBy("level")
+    held = upto.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tie", "node", "join")), F.coalesce(F.max("size"), F.lit(0)).alias("giant"))
     total = nodes.agg(F.count("*").alias("n")).crossJoin(tails.agg(F.count("*").alias("m")))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = levels.join(ties, "level", "left").join(touched, "level", "left").join(parts, "level", "left").crossJoin(total)
-    out = out.select("level", zero("ties").alias("ties"), zero("nodes").alias("nodes"), zero("giant").alias("giant"), (F.col("n") - zero("nodes") + zero("parts")).alias("components"), "n", "m")
-    return out.select(
-        F.col("level").alias("alpha"), "ties", "nodes", "giant", "components",
-        (F.col("ties") / F.nullif(F.col("m"), F.lit(0))).alias("tie_share"), (F.col("nodes") / F.col("n")).alias("node_share"), (F.col("giant") / F.col("n")).alias("giant_share"),
+    return held.crossJoin(F.broadcast(total)).select(
+        F.col("level").alias("alpha"), F.col("tie").alias("ties"), F.col("node").alias("nodes"), "giant", (F.col("n") - F.col("join")).alias("components"),
+        (F.col("tie") / F.nullif(F.col("m"), F.lit(0))).alias("tie_share"), (F.col("node") / F.col("n")).alias("node_share"), (F.col("giant") / F.col("n")).alias("giant_share"),
     )
 
 

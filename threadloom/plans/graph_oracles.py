@@ -6,16 +6,15 @@ from threadloom.plans.graph_queries import HUB_STEPS, PRESETS, TRIALS
 
 
 LINE_ORDER = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey"
-#: Ties that weigh over two deviations more than the mean, and the arcs of such ties.
-STRONG = """und AS (SELECT a, b FROM ties WHERE weight > (SELECT avg(weight) + 2 * stddev_pop(weight) FROM ties)),
-edges AS (SELECT * FROM arcs WHERE (least(src, dst), greatest(src, dst)) IN (SELECT (a, b) FROM und))"""
-WHOLE = "und AS (SELECT a, b FROM ties), edges AS (SELECT * FROM arcs)"
 
 
-def _graph(key: str, roster: str, links: str = WHOLE, order: str = LINE_ORDER) -> str:
-    return f"""WITH RECURSIVE arcs AS (SELECT src, dst, count(*) AS weight FROM (SELECT {key} AS src, lead({key}) OVER ({order}) AS dst FROM lineitem)
- WHERE dst IS NOT NULL GROUP BY 1, 2), nodes AS ({roster}),
-ties AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight)::BIGINT AS weight FROM arcs WHERE src <> dst GROUP BY 1, 2), {links},
+def _successions(key: str, order: str = LINE_ORDER) -> str:
+    return f"SELECT {key} AS src, lead({key}) OVER ({order}) AS dst FROM lineitem"
+
+
+def _graph(steps: str, roster: str) -> str:
+    return f"""WITH RECURSIVE edges AS (SELECT src, dst, count(*) AS weight FROM ({steps}) WHERE dst IS NOT NULL GROUP BY 1, 2), nodes AS ({roster}),
+ties AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight)::BIGINT AS weight FROM edges WHERE src <> dst GROUP BY 1, 2), und AS (SELECT a, b FROM ties),
 adj AS (SELECT a AS id, b AS nbr FROM und UNION ALL SELECT b, a FROM und),
 deg AS (SELECT n.id, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS total_degree, coalesce(u.c, 0) AS degree
  FROM nodes n LEFT JOIN (SELECT dst, count(*) c FROM edges GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) c FROM edges GROUP BY 1) o ON o.src = n.id
@@ -27,10 +26,13 @@ tails AS (SELECT a, b, t.weight, round(least(CASE WHEN sa.k = 1 THEN 1.0 ELSE po
 
 
 _SUPPLIERS = "SELECT s_suppkey AS id, s_name AS name FROM supplier"
-LINK = _graph("l_partkey", "SELECT p_partkey AS id, p_name AS name FROM part")
-SUPP = _graph("l_suppkey", _SUPPLIERS)
-STRG = _graph("l_suppkey", _SUPPLIERS, STRONG)
-ORDS = _graph("l_orderkey", "SELECT o_orderkey AS id FROM orders", order="PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber")
+LINK = _graph(_successions("l_partkey"), "SELECT p_partkey AS id, p_name AS name FROM part")
+SUPP = _graph(_successions("l_suppkey"), _SUPPLIERS)
+ORDS = _graph(_successions("l_orderkey", "PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber"), "SELECT o_orderkey AS id FROM orders")
+PLAC = _graph(
+    "SELECT s_suppkey AS src, (-1000 - s_nationkey)::BIGINT AS dst FROM supplier UNION ALL SELECT (-1000 - n_nationkey)::BIGINT, (-1 - n_regionkey)::BIGINT FROM nation",
+    _SUPPLIERS + " UNION ALL SELECT (-1000 - n_nationkey)::BIGINT, n_name FROM nation UNION ALL SELECT (-1 - r_regionkey)::BIGINT, r_name FROM region",
+)
 PARTS = ", pa AS (SELECT s_suppkey AS id, s_nationkey::BIGINT AS label FROM supplier), pb AS (SELECT s_suppkey AS id, s_suppkey % 5 AS label FROM supplier)"
 CONT = PARTS + ", cont AS (SELECT pa.label AS x, pb.label AS y, count(*) AS n FROM pa JOIN pb USING (id) GROUP BY 1, 2)"
 WCC = """, comp(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
@@ -130,40 +132,40 @@ ORACLES = {
     "strong_components": ORDS
     + """, dr AS (SELECT id AS s, id AS v FROM nodes UNION SELECT dr.s, e.dst FROM dr JOIN edges e ON e.src = dr.v)
  SELECT x.s AS id, min(x.v) AS component FROM dr x JOIN dr y ON y.s = x.v AND y.v = x.s GROUP BY 1""",
-    "distances": STRG + BFS + " SELECT src, node, dist::BIGINT AS dist FROM dists",
+    "distances": SUPP + BFS + " SELECT src, node, dist::BIGINT AS dist FROM dists",
     "routes_to_target": LINK + _MODES,
     "route_text": LINK + _TEXT,
-    "distance_census": STRG
+    "distance_census": SUPP
     + BFS
     + """, allp AS (SELECT (count(*) * (count(*) - 1) // 2)::BIGINT AS n FROM nodes), bk AS (SELECT unnest(['1', '2', '3', '4+', 'disconnected']) AS bucket),
  c AS (SELECT CASE WHEN dist >= 4 THEN '4+' ELSE dist::VARCHAR END AS bucket, count(*) AS pairs FROM dists WHERE src < node GROUP BY 1 UNION ALL SELECT 'disconnected', (SELECT n FROM allp) - (SELECT count(*) FROM dists WHERE src < node))
  SELECT bucket, coalesce(pairs, 0) AS pairs, round(coalesce(pairs, 0) / nullif((SELECT n FROM allp), 0)::DOUBLE, 9) AS share FROM bk LEFT JOIN c USING (bucket)""",
-    "betweenness": STRG + BFS + SIGMA + " SELECT id, round(betweenness, 9) AS betweenness FROM bet",
-    "rank_gap": STRG
+    "betweenness": SUPP + BFS + SIGMA + " SELECT id, round(betweenness, 9) AS betweenness FROM bet",
+    "rank_gap": SUPP
     + BFS
     + SIGMA
     + """ SELECT id, degree_rank, betweenness_rank, degree_rank - betweenness_rank AS gap FROM (SELECT deg.id, row_number() OVER (ORDER BY degree DESC, deg.id) AS degree_rank,
  row_number() OVER (ORDER BY round(betweenness, 9) DESC, deg.id) AS betweenness_rank FROM deg JOIN bet ON bet.id = deg.id)""",
-    "hub_removal": STRG
+    "hub_removal": ORDS
     + ORDER
     + _states(str(HUB_STEPS))
     + " SELECT removed::BIGINT AS removed, giant, round(giant / n::DOUBLE, 9) AS share_of_original, round(giant / remaining::DOUBLE, 9) AS share_of_remaining FROM curve WHERE removed < n",
-    "single_removal": STRG
+    "single_removal": PLAC
     + WCC
     + BFS
     + SIGMA
     + """, top AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), kp AS (SELECT g.id AS gone, n.id FROM nodes g, nodes n WHERE g.id <> n.id),
- gr AS (SELECT gone, id, id AS r FROM kp UNION SELECT gr.gone, n.nbr, gr.r FROM gr JOIN adj n ON n.id = gr.id WHERE n.nbr <> gr.gone), gc AS (SELECT gone, id, min(r) AS c FROM gr GROUP BY 1, 2),
+ gr(gone, id, c) USING KEY (gone, id) AS (SELECT gone, id, id FROM kp UNION SELECT x.gone, n.nbr, min(x.c) FROM gr x JOIN adj n ON n.id = x.id JOIN recurring.gr k ON k.gone = x.gone AND k.id = n.nbr WHERE x.c < k.c GROUP BY 1, 2), gc AS (SELECT gone, id, c FROM gr),
  pt AS (SELECT gone, c, count(*) AS size, count(*) FILTER (comp.component = (SELECT component FROM top)) AS held FROM gc JOIN comp ON comp.id = gc.id GROUP BY 1, 2),
  af AS (SELECT gone, max(size) AS giant_after, count(*) AS components, sum(held) - max(held) AS detached FROM pt GROUP BY 1),
  rk AS (SELECT deg.id, row_number() OVER (ORDER BY degree DESC, deg.id) AS degree_rank, row_number() OVER (ORDER BY round(betweenness, 9) DESC, deg.id) AS betweenness_rank FROM deg JOIN bet ON bet.id = deg.id)
  SELECT n.id, coalesce(giant_after, 0) AS giant_after, coalesce(components, 0) AS components, coalesce(components, 0) - (SELECT count(DISTINCT component) FROM comp) AS extra_components, coalesce(detached, 0)::BIGINT AS detached, degree_rank, betweenness_rank
  FROM nodes n JOIN rk USING (id) LEFT JOIN af ON af.gone = n.id""",
-    "removal_curve": STRG + ORDER + _states("range((SELECT count(*) + 1 FROM nodes))") + " SELECT removed::BIGINT AS removed, giant FROM curve",
-    "random_band": STRG
+    "removal_curve": PLAC + ORDER + _states("range((SELECT count(*) + 1 FROM nodes))") + " SELECT removed::BIGINT AS removed, giant FROM curve",
+    "random_band": PLAC
     + f", ord AS (SELECT trial, id, row_number() OVER (PARTITION BY trial ORDER BY md5(trial::VARCHAR || '-' || id::VARCHAR), id) AS place FROM nodes, (SELECT unnest(range({TRIALS})) AS trial))"
-    + _states(str(HUB_STEPS))
-    + """, lst AS (SELECT removed, avg(giant) AS mean, list_sort(list(giant)) AS g FROM curve WHERE removed < n GROUP BY 1)
+    + _states("range((SELECT count(*) + 1 FROM nodes))")
+    + """, lst AS (SELECT removed, avg(giant) AS mean, list_sort(list(giant)) AS g FROM curve GROUP BY 1)
  SELECT removed::BIGINT AS removed, round(mean, 9) AS mean, g[1 + floor((len(g) - 1) * 0.05)::BIGINT] AS p05, g[1 + ceil((len(g) - 1) * 0.95)::BIGINT] AS p95 FROM lst""",
     "projection": SUPP + " SELECT a, b, weight FROM ties",
     "strength": SUPP + " SELECT id, strength, k AS degree FROM stren",
@@ -187,11 +189,11 @@ ORACLES = {
     + CONT
     + """, q AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM cont) AS b, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT sum(n) AS c FROM cont GROUP BY x)) AS px, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT sum(n) AS c FROM cont GROUP BY y)) AS py,
  (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM cont) AS e) SELECT CASE WHEN e > 0 THEN round(((e + 2 * b - px - py) / e)::DOUBLE, 9) ELSE 1.0 END AS rand FROM q""",
-    "movers": STRG + PARTS + " SELECT pa.id, pa.label AS before, pb.label AS after, coalesce(degree, 0) AS degree FROM pa JOIN pb USING (id) LEFT JOIN deg USING (id) WHERE pa.label <> pb.label",
+    "movers": SUPP + PARTS + " SELECT pa.id, pa.label AS before, pb.label AS after, coalesce(degree, 0) AS degree FROM pa JOIN pb USING (id) LEFT JOIN deg USING (id) WHERE pa.label <> pb.label",
     "community_sizes": SUPP
     + PARTS
     + " SELECT row_number() OVER (ORDER BY size DESC, first) - 1 AS label, size FROM (SELECT label, count(*) AS size, min(id) AS first FROM pa GROUP BY 1)",
-    "community_leaders": STRG
+    "community_leaders": SUPP
     + PARTS
     + """, rk AS (SELECT pa.label, pa.id, name, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY label ORDER BY degree DESC, name, id) AS place, count(*) OVER (PARTITION BY label) AS size FROM pa JOIN nodes USING (id) LEFT JOIN deg USING (id))
  SELECT label, size, place, id, name, degree, (SELECT string_agg(name, ' · ' ORDER BY place) FROM rk y WHERE y.label = rk.label AND y.place <= 2) AS title FROM rk WHERE place <= 5""",

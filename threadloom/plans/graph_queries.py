@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import components, degrees, partitions, paths, removal, weighted
-from threadloom.session import materialize
+from threadloom.operators import components, cuts, degrees, partitions, paths, removal, weighted
 from threadloom.sources import graphs, tables
 
 HUB_STEPS = [0, 1, 3, 5, 10, 20, 40, 80]
@@ -101,14 +100,13 @@ def strong_components(s: SparkSession, d: str) -> DataFrame:
     return components.strong_components(*tables.order_graph(s, d))
 
 
-def _all_pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges = tables.supplier_links(s, d)
-    arcs, _ = materialize(degrees.both_ways(_und(edges)), "arcs")
-    return nodes, arcs, paths.distances(nodes.select(F.col("id").alias("src")), arcs)
+def _distances(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = tables.supplier_graph(s, d)
+    return paths.distances(nodes.select(F.col("id").alias("src")), degrees.both_ways(_und(edges)))
 
 
 def distances(s: SparkSession, d: str) -> DataFrame:
-    return _all_pairs(s, d)[2].select("src", "node", "dist")
+    return _distances(s, d)
 
 
 def _target(nodes: DataFrame, edges: DataFrame) -> int:
@@ -136,42 +134,49 @@ def route_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def distance_census(s: SparkSession, d: str) -> DataFrame:
-    nodes, _, dist = _all_pairs(s, d)
-    return paths.distance_census(nodes, dist)
+    return paths.distance_census(tables.supplier_graph(s, d)[0], _distances(s, d))
+
+
+def _betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return paths.betweenness(nodes, degrees.both_ways(_und(edges)))
 
 
 def betweenness(s: SparkSession, d: str) -> DataFrame:
-    nodes, arcs, dist = _all_pairs(s, d)
-    return paths.pair_dependencies(dist, arcs, nodes)
+    return _betweenness(*tables.supplier_graph(s, d))
+
+
+def _scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, degree, betweenness)``, scores at 9 places."""
+    b = _betweenness(nodes, edges).select("id", F.round("betweenness", 9).alias("betweenness"))
+    return degrees.degree_table(nodes, edges).select("id", "degree").join(b, "id")
+
+
+def _ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return paths.ranked(paths.ranked(_scores(nodes, edges), "degree", "degree_rank"), "betweenness", "betweenness_rank").select("id", "degree_rank", "betweenness_rank")
 
 
 def rank_gap(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_links(s, d)
-    b = betweenness(s, d).select("id", F.round("betweenness", 9).alias("betweenness"))
-    both = degrees.degree_table(nodes, edges).select("id", "degree").join(b, "id")
-    ranked = paths.ranked(paths.ranked(both, "degree", "degree_rank"), "betweenness", "betweenness_rank")
-    return ranked.select("id", "degree_rank", "betweenness_rank", (F.col("degree_rank") - F.col("betweenness_rank")).alias("gap"))
+    return _ranks(*tables.supplier_graph(s, d)).withColumn("gap", F.col("degree_rank") - F.col("betweenness_rank"))
 
 
 def hub_removal(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_links(s, d)
+    nodes, edges = tables.order_graph(s, d)
     return removal.hub_removal(_order(nodes, edges), _und(edges), HUB_STEPS)
 
 
 def single_removal(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_links(s, d)
-    ranks = rank_gap(s, d).drop("gap")
-    return removal.single_removal(nodes, _und(edges)).join(ranks, "id")
+    nodes, edges = tables.place_graph(s, d)
+    return cuts.single_removal(nodes, _und(edges)).join(_ranks(nodes, edges), "id")
 
 
 def removal_curve(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_links(s, d)
+    nodes, edges = tables.place_graph(s, d)
     return removal.removal_curve(_order(nodes, edges).withColumn("trial", F.lit(0)), _und(edges)).select("removed", "giant")
 
 
 def random_band(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_links(s, d)
-    return removal.trial_band(removal.removal_curve(removal.hashed_orders(nodes, TRIALS), _und(edges), HUB_STEPS))
+    nodes, edges = tables.place_graph(s, d)
+    return removal.trial_band(removal.removal_curve(removal.hashed_orders(nodes, TRIALS), _und(edges)))
 
 
 def _ties(s: SparkSession, d: str) -> DataFrame:
@@ -241,7 +246,7 @@ def rand_index(s: SparkSession, d: str) -> DataFrame:
 
 
 def movers(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_links(s, d)
+    nodes, edges = tables.supplier_graph(s, d)
     a, b = tables.supplier_partitions(s, d)
     return partitions.movers(a, b, degrees.degree_table(nodes, edges))
 
@@ -251,7 +256,7 @@ def community_sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def community_leaders(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = tables.supplier_links(s, d)
+    nodes, edges = tables.supplier_graph(s, d)
     return partitions.community_leaders(tables.supplier_partitions(s, d)[0], degrees.degree_table(nodes, edges), nodes)
 
 
@@ -265,8 +270,8 @@ def louvain(s: SparkSession, d: str) -> DataFrame:
 
 
 def stability(s: SparkSession, d: str) -> DataFrame:
-    """Ten runs of the community search on the strong links."""
-    return partitions.stability(_und(tables.supplier_links(s, d)[1]).withColumn("weight", F.lit(1.0)))
+    """Ten runs of the community search."""
+    return partitions.stability(_ties(s, d))
 
 
 def null_model(s: SparkSession, d: str) -> DataFrame:

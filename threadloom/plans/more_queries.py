@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.words import title_words, tokens, url_decoded
 from threadloom.operators import components, degrees, evidence, partitions, paths, removal, texts
-from threadloom.plans import cross, graph_oracles, text_oracles, text_queries, view_queries
-from threadloom.plans.graph_queries import HUB_STEPS, TRIALS, betweenness
+from threadloom.operators.ranks import placed
+from threadloom.plans import cross, graph_oracles, graph_queries, text_oracles, text_queries, view_queries
+from threadloom.plans.graph_queries import TRIALS
 from threadloom.sources import tables
 
 RATE = 5.88
@@ -18,8 +19,9 @@ RATE = 5.88
 
 def evidence_filter(s: SparkSession, d: str) -> DataFrame:
     """Shared runs between documents that follow each other in a source."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    links = tables.table(s, d, "documents").select(F.col("doc_id").alias("x"), F.lead("doc_id").over(order).alias("y")).where("y IS NOT NULL")
+    order = placed(tables.table(s, d, "documents").select("source", "doc_id"), "place", "source", "doc_id")
+    after = order.select("source", F.col("doc_id").alias("y"), (F.col("place") - 1).alias("place"))
+    links = order.withColumnRenamed("doc_id", "x").join(after, ["source", "place"])
     tied = links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return text_queries.shared_runs(s, d).join(tied, ["a", "b"], "left_semi").select("a", "b", "length")
 
@@ -31,20 +33,20 @@ def shared_passages(s: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_filter(s: SparkSession, d: str) -> DataFrame:
-    """Suppliers whose nearest text is one tie away and whose names hold a 7."""
+    """Suppliers whose nearest text is of their nation, two ties away, and whose names hold a 7."""
     nodes, docs, scores, dist = text_queries._joined(s, d)
     near = texts.nearest(docs, scores).join(dist.select(F.col("src").alias("id"), F.col("node").alias("neighbor"), "dist"), ["id", "neighbor"], "left")
     names = nodes.select("id", F.lower("name").alias("name"))
     both = near.join(names, "id").join(names.select(F.col("id").alias("neighbor"), F.col("name").alias("other")), "neighbor")
-    return both.where((paths.bucket(F.col("dist")) == "1") & (F.contains("name", F.lit("7")) | F.contains("other", F.lit("7")))).select("id", "neighbor", "score")
+    return both.where((paths.bucket(F.col("dist")) == "2") & (F.contains("name", F.lit("7")) | F.contains("other", F.lit("7")))).select("id", "neighbor", "score")
 
 
 def target_rank(s: SparkSession, d: str) -> DataFrame:
-    """Place of each supplier's smallest strong partner among all its text scores."""
+    """Place of the smallest other supplier of each supplier's nation among all its text scores."""
     nodes, _, scores, dist = text_queries._joined(s, d)
     both = scores.select(F.col("a").alias("id"), F.col("b").alias("other"), F.round("score", 9).alias("score")).union(scores.select("b", "a", F.round("score", 9)))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    target = dist.where("dist = 1").groupBy(F.col("src").alias("id")).agg(F.min("node").alias("other"))
+    target = dist.where("dist = 2").groupBy(F.col("src").alias("id")).agg(F.min("node").alias("other"))
     return both.withColumn("place", place).join(target, ["id", "other"]).select("id", "other", "place")
 
 
@@ -78,13 +80,13 @@ def connectivity(s: SparkSession, d: str) -> DataFrame:
 
 
 def takeaway(s: SparkSession, d: str) -> DataFrame:
-    """Targeted removal by degree and by betweenness against hashed random orders."""
-    nodes, edges = tables.supplier_links(s, d)
-    scores = degrees.degree_table(nodes, edges).select("id", "degree").join(betweenness(s, d).select("id", F.round("betweenness", 9).alias("betweenness")), "id")
+    """Targeted removal by degree and by betweenness against hashed random orders, at every count."""
+    nodes, edges = tables.place_graph(s, d)
+    scores = graph_queries._scores(nodes, edges)
     orders = [paths.ranked(scores, m, "place").select(F.lit(m).alias("trial"), "id", "place") for m in ("degree", "betweenness")]
-    curve = removal.removal_curve(orders[0].union(orders[1]), degrees.undirected(edges), HUB_STEPS)
+    curve = removal.removal_curve(orders[0].union(orders[1]), degrees.undirected(edges))
     wide = curve.groupBy("removed").agg(*(F.max(F.when(F.col("trial") == m, F.col("giant"))).alias(m) for m in ("degree", "betweenness")))
-    band = removal.trial_band(removal.removal_curve(removal.hashed_orders(nodes, TRIALS), degrees.undirected(edges), HUB_STEPS))
+    band = removal.trial_band(removal.removal_curve(removal.hashed_orders(nodes, TRIALS), degrees.undirected(edges)))
     return cross.takeaway(wide, band)
 
 
@@ -122,10 +124,10 @@ ORACLES = {
  SELECT a, b, length FROM runs WHERE (a, b) IN (SELECT least(x, y), greatest(x, y) FROM l WHERE y IS NOT NULL)""",
     "nearest_filter": _J
     + f""", {text_oracles._nearest("sc", "SELECT s_suppkey AS id FROM supplier")} SELECT n.id, neighbor, score FROM near n JOIN dists ON src = n.id AND node = neighbor JOIN supplier x ON x.s_suppkey = n.id JOIN supplier y ON y.s_suppkey = neighbor
- WHERE dist = 1 AND (contains(x.s_name, '7') OR contains(y.s_name, '7'))""",
+ WHERE dist = 2 AND (contains(x.s_name, '7') OR contains(y.s_name, '7'))""",
     "target_rank": _J
     + """, m AS (SELECT a AS id, b AS other, score FROM sc UNION ALL SELECT b, a, score FROM sc), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place FROM m),
- t AS (SELECT src AS id, min(node) AS other FROM dists WHERE dist = 1 GROUP BY 1) SELECT id, other, place FROM p JOIN t USING (id, other)""",
+ t AS (SELECT src AS id, min(node) AS other FROM dists WHERE dist = 2 GROUP BY 1) SELECT id, other, place FROM p JOIN t USING (id, other)""",
     "contingency_fold": """WITH l AS (SELECT s_nationkey::BIGINT AS label FROM supplier GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 6) SELECT CASE WHEN s_nationkey IN (SELECT label FROM l) THEN s_nationkey ELSE -1 END::BIGINT AS x, s_suppkey % 5 AS y, count(*) AS n FROM supplier GROUP BY 1, 2""",
     "mask_vocabulary": f"""WITH m AS (SELECT DISTINCT regexp_replace(w, '''s$', '') AS word FROM (SELECT unnest({_TOK("p_name || ' ' || p_type")}) AS w FROM part)), v AS (SELECT DISTINCT unnest({_TOK("p_type")}) AS word FROM part)
  SELECT word FROM m WHERE length(word) >= 2 AND word NOT IN ('and', 'of', 'the', 'for', 'in') INTERSECT SELECT word FROM v""",
@@ -138,14 +140,14 @@ ORACLES = {
  (list_sum(list_transform(gs[1 : g + length], lambda x: length(x))) + list_sum(list_transform(ws[1 : g + length], lambda x: length(x))))::BIGINT AS stop FROM k)
  SELECT a, b, start, stop AS "end", sha256(substring(text, start + 1, stop - start)) AS passage FROM o""",
     "url_round_trip": """WITH n AS (SELECT p_partkey AS id, p_name || '+%/é ' || p_type AS name FROM part) SELECT id, url_encode(name) AS coded, url_decode(url_encode(name)) = name AS same FROM n""",
-    "takeaway": graph_oracles.STRG
+    "takeaway": graph_oracles.PLAC
     + graph_oracles.BFS
     + graph_oracles.SIGMA
     + """, ord AS (SELECT 'degree' AS trial, id, row_number() OVER (ORDER BY degree DESC, id) AS place FROM deg UNION ALL SELECT 'betweenness', id, row_number() OVER (ORDER BY round(betweenness, 9) DESC, id) FROM bet
  UNION ALL """
     + f"SELECT trial::VARCHAR, id, row_number() OVER (PARTITION BY trial ORDER BY md5(trial::VARCHAR || '-' || id::VARCHAR), id) FROM nodes, (SELECT unnest(range({TRIALS})) AS trial))"
-    + graph_oracles._states(str(HUB_STEPS))
-    + """, f AS (SELECT removed, max(giant) FILTER (trial = 'degree') AS dg, max(giant) FILTER (trial = 'betweenness') AS bt, avg(giant) FILTER (trial NOT IN ('degree', 'betweenness')) AS mean FROM curve WHERE removed < n GROUP BY 1)
+    + graph_oracles._states("range((SELECT count(*) + 1 FROM nodes))")
+    + """, f AS (SELECT removed, max(giant) FILTER (trial = 'degree') AS dg, max(giant) FILTER (trial = 'betweenness') AS bt, avg(giant) FILTER (trial NOT IN ('degree', 'betweenness')) AS mean FROM curve GROUP BY 1)
  SELECT removed::BIGINT AS removed, CASE WHEN dg <= bt THEN 'degree' ELSE 'betweenness' END AS better, round(mean - least(dg, bt), 9) AS gap FROM f""",
     "poisson_tail": f"""SELECT k, round(CASE WHEN k = 0 THEN 1.0 ELSE 1 - (SELECT sum(exp(-{RATE}) * pow({RATE}, i) / factorial(i::INTEGER)::DOUBLE) FROM (SELECT unnest(range(19)) AS i) WHERE i < k) END::DOUBLE, 9) AS tail FROM (SELECT unnest(range(19)) AS k)""",
     "release_gate": "SELECT k AS week, k = 11 AS latest FROM (SELECT unnest(range(1, 12)) AS k)",

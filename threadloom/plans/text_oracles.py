@@ -51,16 +51,16 @@ near{tag} AS (SELECT i.id, coalesce(nb, (SELECT min(id) FROM ids{tag} o WHERE o.
 
 
 _SUPP = (
-    graph_oracles.STRG
-    + """, walk AS (SELECT id AS src, id AS node, 0 AS dist FROM nodes UNION SELECT w.src, n.nbr, w.dist + 1 FROM walk w JOIN adj n ON n.id = w.node WHERE w.dist < 40),
-dists AS (SELECT src, node, min(dist) AS dist FROM walk GROUP BY 1, 2),"""
+    graph_oracles.PLAC
+    + """, walk AS (SELECT s_suppkey AS src, s_suppkey AS node, 0 AS dist FROM supplier UNION SELECT w.src, n.nbr, w.dist + 1 FROM walk w JOIN adj n ON n.id = w.node WHERE w.dist < 12),
+dists AS (SELECT src, node, min(dist) AS dist FROM walk WHERE node IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2),"""
 )
 _JOINED = (
     _SUPP
     + f""" words AS (SELECT l_suppkey AS id, unnest({_tokens("p_name")}) AS word FROM lineitem JOIN part ON l_partkey = p_partkey), counts AS (SELECT id, word, count(*) AS tf FROM words GROUP BY 1, 2),
 nm AS (SELECT id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM counts GROUP BY 1), vec AS (SELECT id, word, tf / norm AS w FROM counts JOIN nm USING (id)),
 sc AS (SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 9) AS score FROM vec x JOIN vec y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2),
-allp AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id < y.id),
+allp AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey),
 rk AS (SELECT a, b, coalesce(score, 0.0) AS score, dist, row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, a, b) AS place FROM allp LEFT JOIN sc USING (a, b) LEFT JOIN dists ON src = a AND node = b)"""
 )
 _LIST = ", ".join(_q(w) for w in STOPWORDS)

@@ -15,7 +15,7 @@ from threadloom.sources import tables
 LINE = "\n"
 HEADINGS = ["The.", "Is.", "Of.", "La.", "Von.", "De."]
 NEEDLE = "All rights reserved."
-FAR = 2
+FAR = 4
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -165,12 +165,14 @@ def _supplier_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _joined(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    nodes, edges = tables.supplier_links(s, d)
-    strong = degrees.undirected(edges)
+    """Suppliers, their texts, scores of the texts, and distances between suppliers over nations and regions."""
+    nodes = tables.supplier_graph(s, d)[0]
+    ties = degrees.undirected(tables.place_graph(s, d)[1])
     docs = nodes.select("id").join(_supplier_texts(s, d), "id", "left")
     counts = texts.term_counts(texts.words(docs))
     bags = counts.join(counts.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm")), "id").select("id", "word", (F.col("tf") / F.col("norm")).alias("w"))
-    return nodes, docs, texts.pair_scores(bags), paths.distances(nodes.select(F.col("id").alias("src")), degrees.both_ways(strong))
+    dist = paths.distances(nodes.select(F.col("id").alias("src")), degrees.both_ways(ties))
+    return nodes, docs, texts.pair_scores(bags), dist.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
 
 
 def lexical_vs_distance(s: SparkSession, d: str) -> DataFrame:

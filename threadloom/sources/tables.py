@@ -30,13 +30,14 @@ def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return nodes, successions(spark, sf_dir, "l_suppkey")
 
 
-def supplier_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The supplier graph's strong links: arcs of the ties that weigh over two deviations more than the mean."""
-    nodes, arcs = supplier_graph(spark, sf_dir)
-    ties = arcs.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w"))
-    level = ties.agg((F.avg("w") + 2 * F.stddev_pop("w")).alias("level"))
-    strong = ties.crossJoin(F.broadcast(level)).where("w > level").select("a", "b")
-    return nodes, arcs.join(strong, (F.least("src", "dst") == F.col("a")) & (F.greatest("src", "dst") == F.col("b")), "left_semi")
+def place_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers, nations and regions, and an arc from each to the place it belongs to; nations count down from -1000, regions from -1."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    nation = lambda c: (-1000 - F.col(c)).cast("long")
+    region = lambda c: (-1 - F.col(c)).cast("long")
+    nodes = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).union(n.select(nation("n_nationkey"), "n_name")).union(r.select(region("r_regionkey"), "r_name"))
+    steps = s.select(F.col("s_suppkey").alias("src"), nation("s_nationkey").alias("dst")).union(n.select(nation("n_nationkey"), region("n_regionkey")))
+    return nodes, _arcs(steps)
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
