@@ -105,7 +105,16 @@ def test_offsets_and_excerpts(spark):
     assert e.excerpt == long[e.start : e.end] and "needle" in e.excerpt and len(e.excerpt) <= 360 and not e.excerpt.startswith(" ")
     hit = texts.literal_excerpts(docs(spark, a="abc needle def", b="none"), "needle", 3).collect()
     assert [tuple(r) for r in hit] == [("a", 4, 10, "bc ", " de")]
-    with pytest.raises(Exception, match="missing"):
+    short = "above\n\nA b needle's c.\n\nbelow needle"
+    e = evidence.term_excerpts(docs(spark, a=short).withColumn("term", F.lit("needle"))).first()
+    assert (e.start, e.end, e.excerpt, e.before, e.after) == (7, 22, "A b needle's c.", "above\n\n", "\n\nbelow needle")
+    solid = "x" * 500 + " needle " + "y" * 500
+    e = evidence.term_excerpts(docs(spark, a=solid).withColumn("term", F.lit("needle"))).first()
+    assert (e.start, e.excerpt) == (501, "needle") and e.before == "x" * 79 + " "
+    joined = "é" * 300 + "’needle " + "z" * 400
+    with pytest.raises(Exception, match="lacks the term"):
+        evidence.term_excerpts(docs(spark, a=joined).withColumn("term", F.lit("needle"))).collect()
+    with pytest.raises(Exception, match="lacks the term"):
         evidence.term_excerpts(docs(spark, a="x").withColumn("term", F.lit("y"))).collect()
 
 
@@ -140,6 +149,10 @@ def test_puzzles(spark):
     wires = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (1, "b", "c")], "board int, a string, b string")
     targets = spark.createDataFrame([(1, x, 1, 1) for x in "abc"], "board int, id string, in_target int, out_target int")
     assert views.orientation_counts(wires, targets).first().solutions == 2
+    many = [(2, f"s{k:02}", f"s{(k + 1) % 31:02}") for k in range(31)] + [(3, "p", "q"), (3, "q", "r"), (4, "p", "q")]
+    wanted = [(2, f"s{k:02}", 1, 1) for k in range(31)] + [(3, "p", 1, 0), (3, "q", 0, 2), (3, "r", 1, 0), (4, "p", 1, 0), (4, "q", 1, 0), (5, "lone", 0, 0)]
+    found = views.orientation_counts(wires.union(spark.createDataFrame(many, wires.schema)), targets.union(spark.createDataFrame(wanted, targets.schema)))
+    assert {r.board: r.solutions for r in found.collect()} == {1: 2, 2: 2, 3: 1, 4: 0}
     arrows = spark.createDataFrame([(1, "a", "b")], "board int, src string, dst string")
     assert {r.id: (r.incoming, r.outgoing, r.fits) for r in views.board_check(targets, arrows).collect()} == {"a": (0, 1, False), "b": (1, 0, False), "c": (0, 0, False)}
     plan = [(1, 1, "a", "b", "a", "b", "b"), (1, 2, "a", "c", "c", "a", None), (1, 3, "b", "c", "b", "c", None)]

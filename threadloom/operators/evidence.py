@@ -1,4 +1,8 @@
-"""Passages with character offsets. Spark has no built-in for match spans, so these run in Arrow batches."""
+"""Passages with character offsets.
+
+Offsets of a few words are the lengths of the pieces before them, in column expressions. Spans of all words of a text
+would take time quadratic in its length that way, so those run in Arrow batches.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.words import LETTER, without_possessive, word_pattern
+from threadloom.operators.texts import BLANK_LINE
+
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 GAP = re.compile(r"\n\s*\n")
 
@@ -34,53 +41,64 @@ def word_spans(docs: DataFrame, gap: str = GAP.pattern) -> DataFrame:
     return docs.select("id", "text").mapInPandas(run, f"id {kind}, para int, pos int, word string, start int, end int")
 
 
-def passages(docs: DataFrame, runs: DataFrame, gap: str = GAP.pattern, context: int = 110) -> DataFrame:
-    """The wording of shared runs ``(a, b, length, para_a, pos_a)`` in their first document, with offsets and context."""
-    spans = word_spans(docs, gap).select(F.col("id").alias("a"), F.col("para").alias("para_a"), "pos", "start", "end")
-    first = runs.join(spans.select("a", "para_a", F.col("pos").alias("pos_a"), "start"), ["a", "para_a", "pos_a"])
-    last = spans.select("a", "para_a", F.col("pos").alias("_last"), "end")
-    placed = first.withColumn("_last", (F.col("pos_a") + F.col("length") - 1).cast("int")).join(last, ["a", "para_a", "_last"])
-    cut = placed.join(docs.select(F.col("id").alias("a"), "text"), "a")
-    low = F.greatest(F.lit(0), F.col("start") - context)
-    return cut.select(
-        "a", "b", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("passage"),
-        F.substring("text", low + 1, F.col("start") - low).alias("before"), F.substring("text", F.col("end") + 1, F.lit(context)).alias("after"),
-    )
+def _split(text: Column) -> tuple[Column, Column]:
+    """The words of a text and what lies around them, one piece more than words."""
+    return F.regexp_extract_all(text, F.lit(word_pattern(LETTER)), F.lit(0)), F.split(text, word_pattern(LETTER))
 
 
-def term_excerpts(docs: DataFrame, limit: int = 360, context: int = 80) -> DataFrame:
-    """``docs(id, text, term)`` -> ``(id, term, start, end, excerpt, before, after)``.
+def _ahead(words: Column, gaps: Column, n: Column) -> Column:
+    """Characters before the word that ``n`` words precede."""
+    length = lambda pieces, k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda acc, x: acc + F.length(x))
+    return length(gaps, n + 1) + length(words, n)
+
+
+def passages(docs: DataFrame, runs: DataFrame, gap: str = BLANK_LINE, context: int = 110) -> DataFrame:
+    """The wording of shared runs ``(a, b, length, para_a, pos_a)`` in their first document, with offsets and context.
 
-    The window lies around the term's first occurrence as a word (a final 's doesn't matter), inside its
-    paragraph, at most ``limit`` characters, with ends moved in to spaces. A missing term raises.
+    Only texts with a run are split into words; a run's offsets are the lengths of what precedes its words.
     """
+    found = docs.select(F.col("id").alias("a"), "text").join(runs.select("a").distinct(), "a", "left_semi")
+    words, gaps = _split(F.col("text"))
+    counts = F.filter(F.transform(F.split("text", gap), lambda p: F.size(F.regexp_extract_all(p, F.lit(word_pattern(LETTER)), F.lit(0)))), lambda n: n > 0)
+    met = found.select("a", "text", words.alias("words"), gaps.alias("gaps"), counts.alias("counts")).join(runs.select("a", "b", "length", "para_a", "pos_a"), "a")
+    first = F.aggregate(F.slice("counts", F.lit(1), F.col("para_a").cast("int")), F.lit(0), lambda acc, n: acc + n) + F.col("pos_a").cast("int")
+    last = F.col("first") + F.col("length").cast("int") - 1
+    cut = met.withColumn("first", first).select(
+        "a", "b", "text", _ahead(F.col("words"), F.col("gaps"), F.col("first")).alias("start"),
+        (_ahead(F.col("words"), F.col("gaps"), last) + F.length(F.element_at("words", last + 1))).alias("end"),
+    )
+    return _shown(cut, ("a", "b"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("passage"), context)
 
-    def window(text: str, term: str) -> tuple[int, int]:
-        plain = lambda m: m.group().lower().replace("’", "'").removesuffix("'s")
-        hit = next((m for m in WORD.finditer(text) if plain(m) == term), None)
-        if hit is None:
-            raise ValueError(f"term {term!r} is missing from a text")
-        low = text.rfind("\n\n", 0, hit.start())
-        low = 0 if low < 0 else low + 2
-        high = text.find("\n\n", hit.end())
-        high = len(text) if high < 0 else high
-        if high - low <= limit:
-            return low, high
-        start = max(low, hit.start() - limit // 2)
-        end = min(high, start + limit)
-        if start > low and (space := text.find(" ", start, hit.start())) >= 0:
-            start = space + 1
-        if end < high and (space := text.rfind(" ", hit.end(), end)) >= 0:
-            end = space
-        return start, end
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text, term in zip(batch["id"], batch["text"], batch["term"], strict=True):
-                a, b = window(text, term)
-                rows.append((doc, term, a, b, text[a:b], text[max(0, a - context) : a], text[b : b + context]))
-            yield pd.DataFrame(rows, columns=["id", "term", "start", "end", "excerpt", "before", "after"])
+def _shown(cut: DataFrame, keys: tuple[str, ...], wording: Column, context: int) -> DataFrame:
+    """``cut(<keys>, text, start, end)`` with the wording and the ``context`` characters on either side."""
+    low = F.greatest(F.lit(0), F.col("start") - context)
+    before, after = F.substring("text", low + 1, F.col("start") - low), F.substring("text", F.col("end") + 1, F.lit(context))
+    return cut.select(*keys, "start", "end", wording, before.alias("before"), after.alias("after"))
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", "term").mapInPandas(run, f"id {kind}, term string, start int, end int, excerpt string, before string, after string")
+
+def term_excerpts(docs: DataFrame, limit: int = 360, context: int = 80) -> DataFrame:
+    """``docs(id, text, term)`` -> ``(id, term, start, end, excerpt, before, after)``.
+
+    The term's first occurrence as a word (a final 's doesn't matter) with what leads to it and what trails it in its
+    paragraph. Where that is over ``limit`` characters, the lead keeps half as many and the trail the rest, each cut at a
+    space if it has one. A missing term raises.
+    """
+    words, gaps = _split(F.col("text"))
+    plain = F.transform("words", lambda w: without_possessive(F.replace(F.lower(w), F.lit("’"), F.lit("'"))))
+    place = F.array_position(plain, F.col("term")).cast("int")
+    missing = F.raise_error(F.concat(F.lit("a text lacks the term "), F.col("term"))).cast("int")
+    rows = docs.select("id", "text", "term", words.alias("words"), gaps.alias("gaps")).withColumn("place", F.when(F.coalesce(place, F.lit(0)) > 0, place).otherwise(missing))
+    rows = rows.select("id", "text", "term", F.element_at("words", F.col("place")).alias("hit"), _ahead(F.col("words"), F.col("gaps"), F.col("place") - 1).alias("at"))
+    rest = F.substring("text", F.col("at") + F.length("hit") + 1, F.length("text"))
+    lead, trail = F.substring_index(F.substring("text", F.lit(1), F.col("at")), "\n\n", -1), F.substring_index(rest, "\n\n", 1)
+    parts = rows.select("id", "text", "term", "hit", "at", lead.alias("lead"), trail.alias("trail"))
+    half = limit // 2
+    long = F.length("lead") + F.length("hit") + F.length("trail") > limit
+    room = limit - F.least(F.length("lead"), F.lit(half)) - F.length("hit")
+    parts = parts.select("*", F.when(long & (F.length("lead") > half), F.right(F.col("lead"), F.lit(half))).alias("near"), F.when(long & (F.length("trail") > room), F.left(F.col("trail"), room)).alias("far"))
+    last_word = F.length(F.substring_index("far", " ", -1))
+    kept_lead = F.coalesce(F.substring("near", F.instr("near", " ") + 1, F.lit(half)), "lead")
+    kept_trail = F.coalesce(F.when(F.instr("far", " ") > 0, F.left(F.col("far"), F.length("far") - last_word - 1)).otherwise(F.col("far")), "trail")
+    cut = parts.select("id", "text", "term", (F.col("at") - F.length(kept_lead)).alias("start"), F.concat(kept_lead, "hit", kept_trail).alias("excerpt"))
+    return _shown(cut.withColumn("end", F.col("start") + F.length("excerpt")), ("id", "term"), F.col("excerpt"), context)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.words import label, normalised, short_name
 from threadloom.operators.degrees import both_ways
+from threadloom.session import materialize
 
 
 def display_names(nodes: DataFrame) -> DataFrame:
@@ -124,15 +125,29 @@ def board_stars(assists: Column) -> Column:
 
 
 def orientation_counts(wires: DataFrame, targets: DataFrame) -> DataFrame:
-    """``wires(board, a, b)``, ``targets(board, id, in_target)`` -> ``(board, solutions)`` over all orientations of a board's wires."""
-    numbered = wires.withColumn("bit", F.row_number().over(Window.partitionBy("board").orderBy("a", "b")) - 1)
-    sizes = numbered.groupBy("board").agg(F.count("*").alias("m"))
-    masks = sizes.select("board", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("m")).cast("int") - 1)).alias("mask"))
-    to = F.when(F.expr("(shiftright(mask, bit) & 1) = 1"), F.col("b")).otherwise(F.col("a"))
-    hits = masks.join(numbered.select("board", "a", "b", F.col("bit").cast("int").alias("bit")), "board").select("board", "mask", to.alias("id")).groupBy("board", "mask", "id").agg(F.count("*").alias("n"))
-    wanted = masks.join(targets, "board").join(hits, ["board", "mask", "id"], "left")
-    right = wanted.groupBy("board", "mask").agg(F.min((F.coalesce("n", F.lit(0)) == F.col("in_target")).cast("int")).alias("fits"))
-    return right.groupBy("board").agg(F.sum("fits").alias("solutions"))
+    """``wires(board, a, b)``, ``targets(board, id, in_target)`` -> ``(board, solutions)`` over all orientations of a board's wires.
+
+    Wire by wire, a partial solution is what its sockets still have to receive, and equal ones are counted together; one
+    that gives a socket more than its target ends there. So states are as many as ways to fall short, not as orientations.
+    """
+    wired = wires.select("board").distinct()
+    sockets = wires.select("board", F.col("a").alias("id")).union(wires.select("board", "b")).distinct().join(targets, ["board", "id"], "full").join(wired, "board", "left_semi")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("in_target", F.lit(0)).cast("int").alias("need"))))
+    boards, _ = materialize(sockets.groupBy("board").agg(listed.alias("sockets")), "boards")
+    numbered = wires.withColumn("turn", F.row_number().over(Window.partitionBy("board").orderBy("a", "b")))
+    place = lambda c: F.array_position(F.transform("sockets", lambda s: s["id"]), F.col(c)).cast("int").alias(c)
+    steps, _ = materialize(numbered.join(boards, "board").select("board", "turn", place("a"), place("b")), "wires")
+    states = boards.select("board", F.transform("sockets", lambda s: s["need"]).alias("left"), F.lit(1).cast("long").alias("ways"))
+    for turn in range(1, (steps.agg(F.max("turn")).first()[0] or 0) + 1):
+        met = states.join(steps.where(F.col("turn") == turn).select("board", "a", "b"), "board", "left")
+        ends = F.when(F.col("a").isNull(), F.array(F.lit(0))).otherwise(F.array("a", "b"))
+        given = met.select("board", "left", "ways", F.explode(ends).alias("to")).where("to = 0 OR left[to - 1] > 0")
+        after = F.when(F.col("to") == 0, F.col("left")).otherwise(F.transform("left", lambda n, k: n - (k + 1 == F.col("to")).cast("int")))
+        states = given.groupBy("board", after.alias("left")).agg(F.sum("ways").alias("ways"))
+        if turn % 3 == 0:
+            states, _ = materialize(states, "boards")
+    solved = states.where(F.forall("left", lambda n: n == 0)).groupBy("board").agg(F.sum("ways").alias("solutions"))
+    return boards.select("board").join(solved, "board", "left").select("board", F.coalesce("solutions", F.lit(0)).alias("solutions"))
 
 
 def board_check(targets: DataFrame, arrows: DataFrame) -> DataFrame:

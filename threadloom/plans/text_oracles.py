@@ -109,6 +109,16 @@ ORACLES = {
  round(median(x.score), 9) AS median_before, round(median(coalesce(s.score, 0.0)), 9) AS median_after FROM near x JOIN near2 y USING (id) LEFT JOIN sc2 s ON s.a = least(x.id, x.neighbor) AND s.b = greatest(x.id, x.neighbor)""",
     "word_spans": f"""WITH w AS (SELECT doc_id AS id, text, regexp_extract_all(text, {_q(word_pattern(LETTER))}) AS ws FROM documents)
  SELECT id, len(ws) AS words, len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: regexp_matches(p, '\\p{{L}}'))) - 1 AS last_para, length(regexp_replace(text, '\\P{{L}}+$', '')) AS last_end, list_sum(list_transform(ws, lambda x: length(x)))::BIGINT AS letters FROM w WHERE len(ws) > 0""",
+    "term_excerpt": COUNTS
+    + f""", {_tfidf()}, w9 AS (SELECT id, word, round(w, 9) AS w FROM vec), f AS (SELECT id, arg_min(word, (-w, word)) AS term FROM w9 GROUP BY 1),
+ x AS (SELECT f.id, term, text, regexp_extract_all(text, {_q(word_pattern(LETTER))}) AS ws, string_split_regex(text, {_q(word_pattern(LETTER))}) AS gs FROM f JOIN documents ON doc_id = f.id),
+ k AS (SELECT *, list_position(list_transform(ws, lambda w: regexp_replace(replace(lower(w), '’', ''''), '''s$', '')), term) AS k FROM x),
+ h AS (SELECT id, term, text, ws[k] AS hit, (list_sum(list_transform(gs[1 : k], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1 : k - 1], lambda g: length(g))), 0))::BIGINT AS ahead FROM k),
+ p AS (SELECT *, regexp_replace(left(text, ahead), '^(?s:.*)\\n\\n', '') AS ld, string_split(substring(text, ahead + length(hit) + 1), chr(10) || chr(10))[1] AS tr FROM h),
+ r AS (SELECT *, length(ld) + length(hit) + length(tr) > 360 AS big, right(ld, 180) AS nl, left(tr, greatest(0, 360 - least(length(ld), 180) - length(hit))) AS nt FROM p),
+ c AS (SELECT *, CASE WHEN big AND length(ld) > 180 THEN substring(nl, instr(nl, ' ') + 1) ELSE ld END AS l, CASE WHEN big AND length(tr) > length(nt) THEN regexp_replace(nt, ' [^ ]*$', '') ELSE tr END AS t FROM r),
+ e AS (SELECT id, term, text, ahead - length(l) AS start, l || hit || t AS excerpt FROM c)
+ SELECT id, term, start, start + length(excerpt) AS "end", excerpt, substring(text, greatest(0, start - 80) + 1, start - greatest(0, start - 80)) AS before, substring(text, start + length(excerpt) + 1, 80) AS after FROM e""",
     "literal_excerpt": f"""WITH f AS (SELECT doc_id AS id, text, instr(text, {_q(NEEDLE)}) AS p FROM documents WHERE instr(text, {_q(NEEDLE)}) > 0)
  SELECT id, p - 1 AS start, p - 1 + {len(NEEDLE)} AS "end", substring(text, greatest(1, p - 60), p - greatest(1, p - 60)) AS before, substring(text, p + {len(NEEDLE)}, 60) AS after FROM f""",
     "tfidf_terms": COUNTS + f", {_tfidf()}, w9 AS (SELECT id, word, round(w, 9) AS w FROM vec) SELECT id, arg_min(word, (-w, word)) AS term FROM w9 GROUP BY 1",
