@@ -195,7 +195,66 @@ def test_louvain_finds_two_groups(spark):
     assert label[1] == label[2] and label[5] == label[6] and label[1] != label[6]
 
 
-def test_runs_of_the_search_agree_on_two_groups(spark):
+def best_partition(rows, ids):
+    """Largest modularity over all partitions of a few nodes."""
+    m = sum(w for *_, w in rows)
+    k = {i: sum(w * ((a == i) + (b == i)) for a, b, w in rows) for i in ids}
+
+    def partitions_of(left):
+        if not left:
+            yield []
+            return
+        for rest in partitions_of(left[1:]):
+            yield [[left[0]], *rest]
+            for n in range(len(rest)):
+                yield [*rest[:n], [left[0], *rest[n]], *rest[n + 1 :]]
+
+    return max(sum(sum(w for a, b, w in rows if a in c and b in c) / m - (sum(k[i] for i in c) / (2 * m)) ** 2 for c in p) for p in partitions_of(list(ids)))
+
+
+def test_search_comes_near_the_optimum_of_small_graphs(spark):
+    import numpy as np
+
+    rng, graphs = np.random.default_rng(3), {}
+    for g in range(6):
+        pairs = [(a, b) for a in range(9) for b in range(a) if rng.random() < (0.8 if a // 3 == b // 3 else 0.2)]
+        graphs[g] = [(b, a, float(rng.integers(1, 4))) for a, b in pairs]
+    seen = {}
+    table = spark.createDataFrame([(g, *r) for g, rows in graphs.items() for r in rows], "run int, a long, b long, weight double")
+    found = partitions.louvain_runs(table, dict.fromkeys(graphs, 5))
+    for r in found.collect():
+        seen.setdefault(r.run, {})[r.id] = r.label
+    for g, rows in graphs.items():
+        m, label = sum(w for *_, w in rows), seen[g]
+        held = {}
+        for a, b, w in rows:
+            held[label[a]] = held.get(label[a], 0) + w
+            held[label[b]] = held.get(label[b], 0) + w
+        q = sum(w for a, b, w in rows if label[a] == label[b]) / m - sum((x / (2 * m)) ** 2 for x in held.values())
+        assert best_partition(rows, sorted(label)) - 0.02 <= q
+    alone = partitions.louvain_runs(table.where("run = 2"), {2: 5})
+    assert {(r.id, r.label) for r in alone.collect()} == set(seen[2].items())
+
+
+def test_every_round_raises_modularity(spark, monkeypatch):
+    import numpy as np
+
+    rng, steps, known = np.random.default_rng(8), [], partitions._proposals
+    rows = [(int(a), int(b), 1.0) for a, b in {tuple(sorted(p)) for p in rng.integers(0, 40, (160, 2)).tolist() if p[0] != p[1]}]
+
+    def watched(pairs, degrees, partition, turns, resolution):
+        steps.append(partitions._qualities(pairs, degrees, partition, resolution)[0])
+        return known(pairs, degrees, partition, turns, resolution)
+
+    monkeypatch.setattr(partitions, "_proposals", watched)
+    t = spark.createDataFrame(rows, "a long, b long, weight double")
+    found = partitions.louvain(t, seed=1)
+    assert partitions.modularity(t, found).first()[0] == pytest.approx(steps[-1])
+    rises = np.diff(steps)
+    assert (rises > -1e-12).all() and (rises > 1e-12).sum() >= len(rises) - 6  # no move where a level starts or ends
+
+
+def test_runs_of_the_search(spark):
     rows = [(1, 2, 2.0), (2, 3, 2.0), (1, 3, 2.0), (4, 5, 2.0), (5, 6, 2.0), (4, 6, 2.0), (3, 4, 0.1)]
     t = spark.createDataFrame(rows, "a long, b long, weight double")
     got = sorted(partitions.stability(t, runs=3).collect())
