@@ -4,8 +4,8 @@ Fixed masks over word windows ignore some positions, so a window with a substitu
 matches where the substitution falls on an ignored position. The benchmark is taken as a stated query
 set in blocks of bounded size: each block's mask hashes are broadcast as sorted arrays and every
 document window is looked up against them, without moving any text. Around each hit the document and
-the benchmark item are aligned word by word and the best stretch with enough equal words is kept. Two
-dense masks beside the spaced ones fit every stretch that counts, however its unequal words lie.
+the benchmark item are aligned word by word and the best stretch with enough equal words is kept. The masks
+follow from the rule of what counts, so that one of them fits every stretch that does.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, small_slices
+from threadloom.llm.shared import Shared, lean, small_slices
 
 WORD = re.compile(r"\w+")
-#: Positions of a window that each mask compares.
-MASKS = ("1111101", "11011011", "1100110011", "101010101010101")
 BLOCK_WORDS = 500_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 LONG_WORD = 64  # longer words are not kept
 SPREAD = 1 << 20
 FILTER_BITS = 20
@@ -76,19 +74,22 @@ def masked(words: np.ndarray, offsets: np.ndarray, factors: np.ndarray) -> np.nd
 def sure_masks(similarity: float, least: int) -> list[str]:
     """Masks of which one fits every stretch of ``least`` equal words or more whose share of equal words is ``similarity`` or more.
 
-    With m unequal words such a stretch has m + 1 runs and so one of at least a share of its equal words. Where this
-    bound is reached only by runs that are all equally long, two of them around an unequal word serve as well as a longer run.
+    A mask of h compared words on either side of an ignored one fits a run of 2h + 1 equal words, and two runs of h around one
+    unequal word. A stretch with m unequal words has m + 1 runs, some perhaps empty. Where the mask fits nowhere, none is longer than 2h
+    and of two neighbours one is shorter than h, so there are at most as many equal words as in runs of 2h and h - 1 by
+    turns. The largest h is taken for which that is too few whatever m. Below a similarity for which no h is, the mask is a run.
     """
     if similarity >= 1:
-        return ["1" * least]
+        return ["1" * (least - 1 - least // 2) + "0" + "1" * (least // 2)] if least > 2 else ["1" * least]
     needs = [(m, max(least, int(np.ceil(similarity * m / (1 - similarity) - 1e-9)))) for m in range(1000)]
-    run = min(-(-n // (m + 1)) for m, n in needs)
-    tight = [n == run * (m + 1) and m for m, n in needs if -(-n // (m + 1)) == run]
-    return ["1" * (run + 1), "1" * run + "0" + "1" * run] if all(tight) else ["1" * run]
+    fits = [h for h in range(1, least) if all((m // 2 + 1) * 2 * h + (m + 1) // 2 * (h - 1) < n for m, n in needs)]
+    if fits:
+        return ["1" * max(fits) + "0" + "1" * max(fits)]
+    return ["1" * min(-(-n // (m + 1)) for m, n in needs)]
 
 
-def build_block(rows: list[tuple[int | None, str]], least_words: int, extra: list[str]) -> Block:
-    """Hash tables of benchmark rows ``(item_id, text)``; ``extra`` masks come on top, and items shorter than a mask also get a contiguous mask of their length."""
+def build_block(rows: list[tuple[int | None, str]], least_words: int, masks: list[str]) -> Block:
+    """Hash tables of benchmark rows ``(item_id, text)``; items shorter than a mask also get a contiguous mask of their length."""
     cache: dict[str, int] = {}
     kept = [(i, h) for i, text in rows if len(h := word_hashes(text, cache)) >= least_words]
     sizes = np.array([len(h) for _, h in kept], dtype=np.int64)
@@ -96,8 +97,8 @@ def build_block(rows: list[tuple[int | None, str]], least_words: int, extra: lis
     words = np.array([x for _, h in kept for x in h], dtype=np.uint64)
     owner = np.repeat(np.arange(len(kept)), sizes)
     rng = np.random.default_rng(4)
-    shapes = [np.flatnonzero([c == "1" for c in m]) for m in dict.fromkeys((*MASKS, *extra))]
-    shapes += [np.arange(n) for n in sorted({int(n) for n in sizes if n < min(map(len, MASKS))})]
+    shapes = [np.flatnonzero([c == "1" for c in m]) for m in masks]
+    shapes += [np.arange(n) for n in sorted({int(n) for n in sizes if n < min(map(len, masks))})]
     block = Block([i for i, _ in kept], starts, words, [], [], [], [])
     for offsets in shapes:
         factors = rng.integers(0, 2**63, len(offsets), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,7 +134,7 @@ def overlaps(block: Block, docs: list[list[int]], similarity: float, least_words
     bounds = np.r_[0, np.cumsum(sizes)]
     words = np.fromiter((x for d in docs for x in d), np.uint64, int(bounds[-1]))
     owner = np.repeat(np.arange(len(docs)), sizes)
-    diagonals = set()
+    diagonals = np.zeros((3, 0), np.int64)
     for (offsets, factors), bits, hashes, places in zip(block.masks, block.filters, block.hashes, block.places, strict=True):
         h = masked(words, offsets, factors)
         at = np.flatnonzero(bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -149,22 +150,41 @@ def overlaps(block: Block, docs: list[list[int]], similarity: float, least_words
             rank = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             place, spot = places[np.repeat(f, n) + rank], np.repeat(a, n)
             item = np.searchsorted(block.starts, place, side="right") - 1
-            met = np.unique(np.stack([owner[spot], item, spot - place + block.starts[item]]), axis=1)
-            diagonals.update(zip(*met.tolist(), strict=True))
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for doc, item, start in sorted(diagonals):
-        text, probe = words[bounds[doc] : bounds[doc + 1]], block.words[block.starts[item] : block.starts[item + 1]]
-        shift = start - int(bounds[doc])
-        a, b = max(0, shift), min(len(text), shift + len(probe))
-        equal = text[a:b] == probe[a - shift : b - shift]
-        stretch = best_stretch(equal, similarity, min(least_words, len(probe)))
+            met = np.stack([owner[spot], item, spot - place + block.starts[item]])
+            diagonals = np.unique(np.concatenate([diagonals, met], axis=1), axis=1)
+    doc, item, start = diagonals
+    low, high = np.maximum(bounds[doc], start), np.minimum(bounds[doc + 1], start + np.diff(block.starts)[item])
+    least = np.minimum(least_words, np.diff(block.starts)[item])
+    total = equal_counts(words, block.words, low, block.starts[item] + low - start, high - low)
+    kept = np.flatnonzero(total >= least)
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for k in kept[np.lexsort((start[kept], -total[kept], item[kept], doc[kept]))].tolist():  # the most equal words first
+        pair, a, n = (int(doc[k]), int(item[k])), int(low[k]), int(high[k] - low[k])
+        matched, from_, _, _ = best.get(pair, (0, 0, 0, 0))
+        if total[k] < matched or (total[k] == matched and start[k] > from_):
+            continue  # it can't be better, nor as good and earlier
+        probe = int(block.starts[item[k]] + low[k] - start[k])
+        equal = words[a : a + n] == block.words[probe : probe + n]
+        stretch = best_stretch(equal, similarity, int(least[k]))
         if stretch is None:
             continue
         s, e = stretch
-        matched = int(equal[s:e].sum())
-        if matched > best.get((doc, item), (0, 0, 0))[2]:
-            best[doc, item] = (a + s, e - s, matched)
-    return [(d, i, *v) for (d, i), v in sorted(best.items())]
+        found = int(equal[s:e].sum())
+        if found > matched or (found == matched and start[k] < from_):
+            best[pair] = (found, int(start[k]), a - int(bounds[doc[k]]) + s, e - s)
+    return [(d, i, at, n, matched) for (d, i), (matched, _, at, n) in sorted(best.items())]
+
+
+def equal_counts(words: np.ndarray, probes: np.ndarray, at: np.ndarray, probe: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Equal words of the stretches of ``sizes`` words at ``at`` in ``words`` and ``probe`` in ``probes``; some are spread at a time."""
+    out = np.zeros(len(at), np.int64)
+    for own in np.split(np.arange(len(at)), np.searchsorted(np.cumsum(sizes), np.arange(SPREAD, int(sizes.sum()), SPREAD), side="right")):
+        if len(own):
+            n = sizes[own]
+            starts = np.cumsum(n) - n
+            inner = np.arange(int(n.sum())) - np.repeat(starts, n)
+            out[own] = np.add.reduceat(words[np.repeat(at[own], n) + inner] == probes[np.repeat(probe[own], n) + inner], starts, dtype=np.int64)
+    return out
 
 
 def blocks_of(benchmark: DataFrame, similarity: float, least_words: int) -> Iterator[Block]:
@@ -173,7 +193,7 @@ def blocks_of(benchmark: DataFrame, similarity: float, least_words: int) -> Iter
     total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+")))).first()[0] or 0
     count = 1 + int(total) // BLOCK_WORDS
     for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("item_id", F.lit(4)), F.lit(count)) == k)
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text", F.lit(4)), F.lit(count)) == k)
         yield build_block(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), min(5, least_words), sure_masks(similarity, least_words))
 
 
@@ -203,7 +223,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(lean(run), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -221,5 +241,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float
                 hit = {d for d, *_ in overlaps(shared.value, [word_hashes(t, cache) for t in texts], similarity, least_words)}
                 yield batch.filter(pa.array([k not in hit for k in range(len(texts))], pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(lean(run), docs.schema)
     return kept
