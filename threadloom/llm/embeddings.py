@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from threadloom.llm.shared import Shared, by_group, group_edges, small_slices, split_hot
-from threadloom.operators.components import components_of_edges
+from threadloom.llm.shared import Shared, by_group, group_edges, lean, small_slices, split_hot
+from threadloom.operators.components import components_of_edges, with_found
 from threadloom.session import materialize
 
 UNIT_ROWS = 1024
@@ -135,7 +135,7 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int | None = None, le
     forest = Shared(spark, fit_forest(samples, total, min_cos, trees, leaf_rows, spill, seed))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "embedding", 10_000):
+        for batch in small_slices(batches, "embedding", 4096):
             lists = batch.column("embedding")
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -148,21 +148,18 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int | None = None, le
                 rows, leaves = rows[order], leaves[order]
                 bounds = np.searchsorted(rows, np.arange(len(own) + 1))
                 lists_of = [leaves[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                blobs = [v.astype(packed).tobytes() for v in raw]
-                for s in range(0, len(rows), 4096):
-                    part = rows[s : s + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("id").take(pa.array(own[part])),
-                            batch.column("copies").take(pa.array(own[part])),
-                            pa.array([blobs[r] for r in part], pa.binary()),
-                            pa.array([lists_of[r] for r in part], pa.list_(pa.int64())),
-                            pa.array(leaves[s : s + 4096]),
-                        ],
-                        ["id", "copies", "vec", "leaves", "leaf"],
-                    )
-
-    placed = vectors.select("id", "copies", "embedding").mapInArrow(spread, "id long, copies long, vec binary, leaves array<long>, leaf long")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(pa.array(own)),
+                        batch.column("copies").take(pa.array(own)),
+                        pa.array([v.astype(packed).tobytes() for v in raw], pa.binary()),
+                        pa.array(lists_of, pa.list_(pa.int64())),
+                    ],
+                    ["id", "copies", "vec", "leaves"],
+                )
+
+    routed, _ = materialize(vectors.select("id", "copies", "embedding").mapInArrow(lean(spread), "id long, copies long, vec binary, leaves array<long>"), "routed")
+    placed = routed.select("id", "copies", "vec", "leaves", F.explode("leaves").alias("leaf"))
     units = split_hot(placed, "leaf", "id", UNIT_ROWS).repartition("unit").sortWithinPartitions("unit", "leaf")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +173,7 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int | None = None, le
                 if got:
                     yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in got.items()})
 
-    return units.select("unit", "leaf", "side", "id", "copies", "vec", "leaves").mapInArrow(compare, "id long, links long, root long")
+    return units.select("unit", "leaf", "side", "id", "copies", "vec", "leaves").mapInArrow(lean(compare), "id long, links long, root long")
 
 
 def near_vectors(table: DataFrame, min_cos: float = 0.95, **options) -> DataFrame:
@@ -195,8 +192,11 @@ def near_vectors(table: DataFrame, min_cos: float = 0.95, **options) -> DataFram
     links = partial.groupBy("id").agg(F.sum("links").alias("links"))
     component = components_of_edges(partial.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
     named = distinct.select("k1", "k2", "id", "copies").join(links, "id", "left").join(component, "id", "left")
-    named, _ = materialize(named, "vectors-named")
-    out = keyed.select("vec_id", "sound", "k1", "k2").join(named.withColumn("sound", F.lit(True)), ["k1", "k2", "sound"], "left")
+    key, found = F.struct("k1", "k2").alias("key"), F.struct("links", "copies", "component", "id").alias("found")
+    named, _ = materialize(named.select(key, found, F.col("copies").alias("_rows")), "vectors-named")
+    met = with_found(keyed.where("sound").select("vec_id", key), named, "key", "found").select("vec_id", "found.*")
+    none = F.lit(None).cast("long")
+    out = met.union(keyed.where("NOT sound").select("vec_id", none, none, none, none))
     label = F.coalesce("component", "id", "vec_id")
     return out.select(
         "vec_id",
