@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import by_group, small_slices
+from threadloom.llm.shared import by_group, lean, small_slices
 from threadloom.operators.components import with_found
 from threadloom.session import materialize
 
@@ -105,8 +105,9 @@ def term_cells(docs: DataFrame) -> DataFrame:
         for batch in small_slices(batches, "text", rows=20_000, most_bytes=BATCH_BYTES):
             yield batch_cells(batch)
 
-    found = docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = docs.mapInArrow(lean(run), "lang string, source string, term string, n long, docs long")
+    # Batches are combined already, and few terms repeat between those of a task: no second combination before the shuffle.
+    return found.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: str, total: str, terms: str) -> Column:
@@ -193,7 +194,7 @@ def pair_values(cells: DataFrame, groups: DataFrame) -> DataFrame:
         for table in by_group(batches, "unit"):
             yield from unit_pairs(table)
 
-    found = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "lang string, a string, b string, value long")
+    found = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(run), "lang string, a string, b string, value long")
     summed = found.groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     return summed.select("lang", ways.alias("w"), "value").select("lang", "w.source", "w.item", "value")
