@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, held_out, small_slices
+from threadloom.llm.shared import Shared, held_out, lean, small_slices
 
 CHUNK = 168
 CONTEXT = 12
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, fit_docs: int = 1500, **options) -> Tagger | None:
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([lang] * len(own), pa.string())], ["window", "lang"])
 
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < part).select("text", "lang")
-    rows = chosen.mapInArrow(run, "window binary, lang string").limit(2 * fit_docs * (WINDOWS + len(SIZES))).collect()
+    rows = chosen.mapInArrow(lean(run), "window binary, lang string").limit(2 * fit_docs * (WINDOWS + len(SIZES))).collect()
     return train([(bytes(r.window), r.lang) for r in rows], **options) if rows else None
 
 
@@ -255,7 +255,7 @@ def predict(docs: DataFrame, model: Tagger | None) -> DataFrame:
         for batch, langs, scores in score(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Tagger | None, min_score: float = 0.5) -> DataFrame:
@@ -269,4 +269,4 @@ def keep_identified(docs: DataFrame, model: Tagger | None, min_score: float = 0.
         for batch, langs, scores in score(batches):
             yield batch.filter(pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.decontaminate import WORD, word_hashes
-from threadloom.llm.shared import Shared, small_slices
+from threadloom.llm.shared import Shared, lean, small_slices
 
 UNKNOWN = "unknown"
 #: Family and wording of public licences and notices.
@@ -336,4 +336,4 @@ def scan(docs: DataFrame, model: Model, least_probability: float = 0.5, least_si
                 names = ["doc_id", "first_word", "n_words", "family", "probability", "similarity", "text"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first_word int, n_words int, family string, probability double, similarity double, text string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, first_word int, n_words int, family string, probability double, similarity double, text string")

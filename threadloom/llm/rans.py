@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, small_slices
+from threadloom.llm.shared import Shared, lean, small_slices
 from threadloom.session import drop_path, materialize, scratch_path
 
 MAGIC = b"TLRANS01"
@@ -287,7 +287,7 @@ def tokenise(docs: DataFrame, definition: str, end_id: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("check"), sizes, pa.array(blobs, pa.binary())], ["doc_id", "check", "n", "ids"])
 
     check = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("check")
-    return docs.select("doc_id", check, "text").mapInArrow(run, "doc_id long, check long, n long, ids binary")
+    return docs.select("doc_id", check, "text").mapInArrow(lean(run), "doc_id long, check long, n long, ids binary")
 
 
 def _unpack(blob: bytes, n: int) -> np.ndarray:
@@ -311,7 +311,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    rows = tokens.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids", "n").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.id for r in rows), default=0) + 1, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -373,7 +373,7 @@ def write_files(tokens: DataFrame, folder: str) -> DataFrame:
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("check")]
     ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
-    return ordered.mapInArrow(run, "part int, chunk int, name string, docs long, ids long")
+    return ordered.mapInArrow(lean(run), "part int, chunk int, name string, docs long, ids long")
 
 
 def write_file(out, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, freq: np.ndarray, check: int) -> None:
@@ -446,7 +446,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.schema("name string, start long, docs long, ids long").parquet(f"{folder}/{MANIFEST}")
     count = files.count()
-    return files.select("name", "start").repartition(max(1, min(count, MOST_TASKS))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("name", "start").repartition(max(1, min(count, MOST_TASKS))).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, definition: str, folder: str | None = None, end_id: int = 2) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, small_slices
+from threadloom.llm.shared import Shared, lean, small_slices
 from threadloom.session import drop_path, materialize
 
 SCALE = 1_000_000_000
@@ -67,7 +67,7 @@ def forward_index(docs: DataFrame, vocabulary: Shared) -> DataFrame:
                     times.append([n for _, n in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))], ["doc_id", "n", "terms", "times"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, terms array<int>, times array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, n long, terms array<int>, times array<long>")
 
 
 def term_weights(docs_with: np.ndarray, n_docs: int) -> np.ndarray:
@@ -163,7 +163,7 @@ def search_block(forward: DataFrame, block: list[tuple[int | None, dict[int, int
             ids, lost, scores = (np.concatenate([x[c] for x in best]) for c in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(item), names, pa.array(ids, mask=lost), pa.array(scores)], ["item", "item_id", "doc_id", "score"])
 
-    return forward.mapInArrow(run, "item long, item_id long, doc_id long, score long")
+    return forward.mapInArrow(lean(run), "item long, item_id long, doc_id long, score long")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from threadloom.llm.shared import Shared, small_slices
+from threadloom.llm.shared import Shared, lean, small_slices
 
 MARK = "▁"
 CACHE_WORDS = 300_000
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_crc32", "exact", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, exact boolean, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, exact boolean, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -223,4 +223,4 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
             texts = [encoder.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, arrow_map, by_group, group_edges, small_slices, split_hot
-from threadloom.operators.components import components_of_edges
+from threadloom.llm.shared import Shared, arrow_map, by_group, group_edges, lean, small_slices, split_hot
+from threadloom.operators.components import components_of_edges, with_found
 from threadloom.session import drop_path, materialize
 
 SEED = 42
@@ -30,7 +30,7 @@ BITMAP_WORDS = 16
 BUCKET_BITS = 18
 SET_HASHES = 1_000_000
 KEY_BITS = 23
-CACHE_KEYS = 500_000
+CACHE_KEYS = 200_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -145,7 +145,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["src", "dst"])
 
     placed = units.repartition("unit").sortWithinPartitions("unit")
-    return placed.mapInArrow(run, "src long, dst long")
+    return placed.mapInArrow(lean(run), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -156,14 +156,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     Extra columns are ignored. An empty table gives an empty result.
     """
     prints, _ = materialize(fingerprints(docs, shingle), "simhash")
-    distinct, _ = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct, _ = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_rows")), "simhash-distinct")
     linked = components_of_edges(near_links(distinct.select("fp"), max_bits))
     member = linked.withColumnRenamed("id", "fp").join(distinct, "fp")
     lowest = member.groupBy("component").agg(F.min("first_id").alias("low"))
     named, _ = materialize(
-        distinct.join(member.join(lowest, "component").select("fp", "low"), "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")), "simhash-named"
+        distinct.join(member.join(lowest, "component").select("fp", "low"), "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"), "_rows"), "simhash-named"
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return with_found(prints, named, "fp", "component_id").select("doc_id", "fp", "component_id")
 
 
 def profile(text: bytes, shingle: int) -> tuple[int, int, int, bytes, bytes]:
@@ -215,7 +215,7 @@ def bucket_counts(rows: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    parts = rows.select("shingles").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary").collect()
+    parts = rows.select("shingles").mapInArrow(lean(count), "slice int, counts binary").repartition("slice").mapInArrow(lean(add), "slice int, counts binary").collect()
     out = np.zeros((64, (1 << BUCKET_BITS) // 64), np.int64)
     for r in parts:
         out[r["slice"]] = np.frombuffer(r["counts"], "<i8")
@@ -274,7 +274,7 @@ def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
             at, unit, side = chunk_units(h, ids, parts[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(unit), pa.array(side)], ["id", "unit", "side"])
 
-    return rows.select("key", "shingles").mapInArrow(run, "id long, unit long, side byte")
+    return rows.select("key", "shingles").mapInArrow(lean(run), "id long, unit long, side byte")
 
 
 def may_be_similar(apart: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -340,7 +340,7 @@ def candidate_links(distinct: DataFrame, prefix: DataFrame, similarity: float) -
                 if len(src):
                     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "src long, dst long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(run), "src long, dst long").distinct()
 
 
 def key_bits(ids: DataFrame) -> np.ndarray:
@@ -389,7 +389,7 @@ def similar_links(rows: DataFrame, distinct: DataFrame, similarity: float) -> Da
         for batch in batches:
             yield batch.filter(pa.array(wanted.value[batch.column("key").to_numpy() & ((1 << KEY_BITS) - 1)]))
 
-    near = rows.select("key", "shingles").mapInArrow(pick, "key long, shingles binary")
+    near = rows.select("key", "shingles").mapInArrow(lean(pick), "key long, shingles binary")
     sets = near.groupBy(F.col("key").alias("id")).agg(F.first("shingles").alias("shingles"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +402,7 @@ def similar_links(rows: DataFrame, distinct: DataFrame, similarity: float) -> Da
                     a, b = set_edges(hashes[s:e], similarity)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][a]), pa.array(ids[s:e][b])], ["src", "dst"])
 
-    return units.join(sets, "id").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "src long, dst long")
+    return units.join(sets, "id").repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(run), "src long, dst long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -414,7 +414,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity
     there is no other. An empty table gives an empty result.
     """
     rows, path = materialize(profiles(docs, shingle), "profiles")
-    distinct, _ = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")), "profiles-distinct")
+    distinct, _ = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.count("*").alias("_rows")), "profiles-distinct")
     by_fp = distinct.groupBy("fp").agg(F.min("key").alias("head"))
     same = distinct.join(by_fp, "fp").where("key <> head").select(F.col("key").alias("src"), F.col("head").alias("dst"))
     near = near_links(by_fp.select("fp"), max_bits)
@@ -425,8 +425,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity
     linked = components_of_edges(same.union(near).union(similar))
     member = linked.withColumnRenamed("id", "key").join(distinct.select("key", "first_id"), "key")
     lowest = member.groupBy("component").agg(F.min("first_id").alias("low"))
-    named, _ = materialize(distinct.select("key", "first_id").join(member.join(lowest, "component").select("key", "low"), "key", "left").select("key", F.coalesce("low", "first_id").alias("component_id")), "profiles-named")
-    return keys.join(named, "key").select("doc_id", "component_id")
+    named, _ = materialize(distinct.select("key", "first_id", "_rows").join(member.join(lowest, "component").select("key", "low"), "key", "left").select("key", F.coalesce("low", "first_id").alias("component_id"), "_rows"), "profiles-named")
+    return with_found(keys, named, "key", "component_id").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, max_bits: int = 4, similarity: float = 0.8) -> DataFrame:

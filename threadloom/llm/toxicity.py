@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Shared, held_out, small_slices
+from threadloom.llm.shared import Shared, held_out, lean, small_slices
 
 WORD = re.compile(r"\w+")
 ORDERS = (2, 3, 4, 5, 6)
 BUCKETS = 1 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 LONG_WORD = 64  # longer words are not kept
 
 
@@ -70,7 +70,7 @@ def document_counts(sample: DataFrame) -> np.ndarray:
             own = at[s : s + 100_000]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int64()), "clean": pa.array(counts[0, own], pa.int64()), "toxic": pa.array(counts[1, own], pa.int64())})
 
-    rows = sample.mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = sample.mapInArrow(lean(run), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = rows.where("clean + toxic >= 3").toArrow()
     out = np.zeros((2, BUCKETS))
     for k, name in enumerate(("clean", "toxic")):
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000, keep: int = 40
         for batch, found in _features(batches, known.value):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "ids"])
 
-    table = sorted((r.doc_id, r.toxic, list(r.ids)) for r in sample.mapInArrow(run, "doc_id long, toxic int, ids array<long>").collect())
+    table = sorted((r.doc_id, r.toxic, list(r.ids)) for r in sample.mapInArrow(lean(run), "doc_id long, toxic int, ids array<long>").collect())
     return train([(toxic, ids) for _, toxic, ids in table], ratios) if table else None
 
 
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Scorer | None) -> DataFrame:
         for batch, found in _features(batches, model.known if model else frozenset()):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(found, model))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Scorer | None, below: float = 0.5) -> DataFrame:
@@ -191,4 +191,4 @@ def keep_clean(docs: DataFrame, model: Scorer | None, below: float = 0.5) -> Dat
         for batch, found in _features(batches, model.known if model else frozenset()):
             yield batch.filter(pa.array(_scores(found, model) < below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import small_slices
+from threadloom.llm.shared import lean, small_slices
 from threadloom.session import materialize, scratch_path
 
 ROLL_BYTES = 64 << 20
@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"archive": [path]})
 
-    return pages.select("page_id", "url", "html", "digest", "refers_to", "refers_url").mapInArrow(run, "archive string")
+    return pages.select("page_id", "url", "html", "digest", "refers_to", "refers_url").mapInArrow(lean(run), "archive string")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -158,7 +158,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     out.write("\n".join(lines).encode())
                 yield pa.RecordBatch.from_pydict({"archive": [path], "sidecar": [f"{path}.index.jsonl"], "records": [len(lines)]})
 
-    return archives.mapInArrow(run, "archive string, sidecar string, records long")
+    return archives.mapInArrow(lean(run), "archive string, sidecar string, records long")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -186,7 +186,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, stored_digest string, refers_to long"
-    return archives.select("archive", "sidecar").mapInArrow(run, schema)
+    return archives.select("archive", "sidecar").mapInArrow(lean(run), schema)
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
