@@ -1,6 +1,7 @@
 """Text, evidence, puzzle, calendar and source fixtures."""
 
 import datetime
+import itertools
 import math
 import zipfile
 
@@ -272,3 +273,51 @@ def test_medians_of_an_ablation(spark):
     rows = [(1, 0.5, 0.25, True, 3), (2, 0.9, 0.9, False, 1), (3, 0.1, 0.0, True, 0)]
     report = spark.createDataFrame(rows, "id long, before_score double, same_pair_after double, changed boolean, removed long")
     assert tuple(texts.ablation_summary(report).first()) == (2, 1, 4, 0.5, 0.25)
+
+
+def longest_runs(docs, least):
+    """Longest common run of every two documents by comparing all positions."""
+    out = {}
+    for a, b in itertools.combinations(sorted(docs), 2):
+        found = []
+        for (pa, x), (pb, y) in itertools.product(enumerate(docs[a]), enumerate(docs[b])):
+            for i, j in itertools.product(range(len(x)), range(len(y))):
+                if x[i] == y[j] and not (i and j and x[i - 1] == y[j - 1]):
+                    n = next((k for k in range(min(len(x) - i, len(y) - j)) if x[i + k] != y[j + k]), min(len(x) - i, len(y) - j))
+                    if n >= least:
+                        found.append((-n, pa, i, pb, j))
+        if found:
+            n, *rest = min(found)
+            out[a, b] = (-n, *rest)
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 2048])
+def test_runs_of_repeated_wording(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(most)
+    stock = [[str(w) for w in rng.choice(["ka", "lo", "mi", "nu"], int(rng.integers(2, 9)))] for _ in range(7)]
+    docs = {}
+    for k in range(24):
+        docs[k] = [list(stock[int(n)]) for n in rng.integers(0, 7, int(rng.integers(1, 4)))]
+        for p in docs[k]:
+            if rng.random() < 0.3:
+                p[int(rng.integers(len(p)))] = "xe"
+    table = spark.createDataFrame([(k, "\n\n".join(" ".join(p) for p in ps)) for k, ps in docs.items()] + [(90, None), (91, "")], "id long, text string")
+    got = texts.shared_runs(texts.paragraphs(table), 3, most)
+    assert {(r.a, r.b): tuple(r)[2:] for r in got.collect()} == longest_runs(docs, 3)
+
+
+def test_scores_of_frequent_terms(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(k, f"w{j}", float(rng.random())) for k in range(40) for j in range(6) if rng.random() < 0.7]
+    want = {}
+    for (a, w, x), (b, v, y) in itertools.product(rows, rows):
+        if a < b and w == v:
+            want[a, b] = want.get((a, b), 0) + x * y
+    table = spark.createDataFrame(rows, "id long, word string, w double")
+    for most in (4, 2048):
+        assert {(r.a, r.b): r.score for r in texts.pair_scores(table, most).collect()} == pytest.approx(want)

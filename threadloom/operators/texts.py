@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.words import LETTER, STOPWORDS, title_words, tokens, without_possessive
+from threadloom.operators.components import with_found, with_value
+from threadloom.operators.units import met_pairs
 from threadloom.session import materialize
 
 BLANK_LINE = r"\n\s*\n"
@@ -69,23 +71,44 @@ def phrase_presence(paras: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
     return met.groupBy("gram").agg(F.count(F.when(F.col("lead"), 1)).alias("lead_docs"), F.count(F.when(~F.col("lead"), 1)).alias("body_docs"))
 
 
-def shared_runs(paras: DataFrame, least: int = 8) -> DataFrame:
+def _expanded(runs: DataFrame, places: DataFrame, key: str, names: tuple[str, str], most: int = 2048) -> DataFrame:
+    """``runs`` with every ``(id, para)`` of ``places(k, id, para, parts)`` that holds the paragraph ``key``; places of a hot one are dealt into parts."""
+    parts = runs.select(F.col(key).alias("k")).groupBy("k").agg(F.count("*").alias("_rows")).join(places.groupBy("k").agg(F.max("parts").alias("parts")), "k")
+    keyed = with_found(runs.withColumn("k", F.col(key)), parts, "k", "parts")
+    dealt = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    held = places.select("k", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias(names[0]), F.col("para").alias(names[1]))
+    return dealt.join(held, ["k", "part"]).drop("k", "part")
+
+
+def shared_runs(paras: DataFrame, least: int = 8, most: int = 2048) -> DataFrame:
     """``(a, b, length, para_a, pos_a, para_b, pos_b)``: the longest common run of each document pair with one of ``least`` words.
 
-    Seeds of ``least`` words meet on their two 64-bit hashes; seeds that follow each other on one diagonal are one run.
-    Ties go to the earliest position in a, then in b.
+    Equal paragraphs count as one until the end. Seeds of ``least`` words meet on their two 64-bit hashes, hot ones in
+    units of ``most`` rows; seeds that follow each other on one diagonal are one run. Ties go to the earliest position in a, then in b.
     """
-    seeds, _ = materialize(gram_hashes(paras, least), "seeds")
-    common = seeds.groupBy("h", "g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("h", "g")
-    kept = seeds.join(common, ["h", "g"])
-    side = lambda c: kept.select("h", "g", F.col("id").alias(c), F.col("para").alias(f"para_{c}"), F.col("pos").alias(f"pos_{c}"))
-    met = side("a").join(side("b"), ["h", "g"]).where("a < b").withColumn("diagonal", F.col("pos_a") - F.col("pos_b"))
-    line = ["a", "para_a", "b", "para_b", "diagonal"]
-    island = F.col("pos_a") - F.row_number().over(Window.partitionBy(*line).orderBy("pos_a"))
-    runs = met.withColumn("island", island).groupBy(*line, "island").agg((F.count("*") + least - 1).alias("length"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
-    first = F.min(F.struct((-F.col("length")).alias("l"), "para_a", "pos_a", "para_b", "pos_b"))
-    best = runs.groupBy("a", "b").agg(first.alias("r"))
-    return best.select("a", "b", (-F.col("r.l")).alias("length"), "r.para_a", "r.pos_a", "r.para_b", "r.pos_b")
+    long = paras.where(F.size("words") >= least).select("id", "para", "words", F.struct(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g")).alias("k"))
+    long, _ = materialize(long, "paragraphs")
+    firsts = long.groupBy("k", "id").agg(F.min("para").alias("para"), F.first(F.size("words")).alias("n"))
+    places, _ = materialize(with_value(firsts, "k", F.ceil(F.count("*") / most).cast("int"), "parts"), "places")
+    distinct = long.groupBy("k").agg(F.first("words").alias("words"))
+    seeds, _ = materialize(gram_hashes(distinct.select(F.col("k").alias("id"), F.lit(0).alias("para"), "words"), least).select(F.col("id").alias("k"), "pos", "h", "g"), "seeds")
+    common = seeds.groupBy("h", "g").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("_rows")).where("low <> high")
+    key = F.struct("h", "g").alias("seed")
+    kept = with_found(seeds.select("k", "pos", key), common.select(key, F.lit(True).alias("common"), "_rows"), "seed", "common").where("common").drop("common")
+    met = met_pairs(kept, "seed", "k", most).select(F.col("x.k").alias("p"), F.col("y.k").alias("q"), F.col("x.pos").alias("pos_p"), F.col("y.pos").alias("pos_q"))
+    met = met.withColumn("diagonal", F.col("pos_p") - F.col("pos_q"))
+    island = F.col("pos_p") - F.row_number().over(Window.partitionBy("p", "q", "diagonal").orderBy("pos_p"))
+    runs = met.withColumn("island", island).groupBy("p", "q", "diagonal", "island").agg((F.count("*") + least - 1).alias("length"), F.min("pos_p").alias("pos_p"), F.min("pos_q").alias("pos_q"))
+    first = lambda x, y: F.min(F.struct((-F.col("length")).alias("l"), F.col(x).alias("pos_a"), F.col(y).alias("pos_b")))
+    best, _ = materialize(runs.groupBy("p", "q").agg(first("pos_p", "pos_q").alias("pq"), first("pos_q", "pos_p").alias("qp")), "runs")
+    both = best.select(F.explode(F.array(F.struct(F.col("p").alias("x"), F.col("q").alias("y"), F.col("pq").alias("r")), F.struct(F.col("q").alias("x"), F.col("p").alias("y"), F.col("qp").alias("r")))).alias("e")).select("e.x", "e.y", "e.r")
+    spread = _expanded(_expanded(both, places, "x", ("a", "para_a")), places, "y", ("b", "para_b")).where("a < b")
+    columns = ["a", "b", "length", "para_a", "pos_a", "para_b", "pos_b"]
+    unequal = spread.select("a", "b", (-F.col("r.l")).alias("length"), "para_a", "r.pos_a", "para_b", "r.pos_b")
+    same = met_pairs(places.select("k", "id", "para", "n"), "k", "id", most)
+    equal = same.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").cast("long").alias("length"), F.col("x.para").alias("para_a"), F.lit(0).alias("pos_a"), F.col("y.para").alias("para_b"), F.lit(0).alias("pos_b"))
+    last = F.min(F.struct((-F.col("length")).alias("l"), "para_a", "pos_a", "para_b", "pos_b"))
+    return unequal.union(equal).groupBy("a", "b").agg(last.alias("r")).select("a", "b", (-F.col("r.l")).alias("length"), *(f"r.{c}" for c in columns[3:]))
 
 
 def threshold_curve(runs: DataFrame, docs: DataFrame, low: int = 8, high: int = 60) -> DataFrame:
@@ -128,11 +151,14 @@ def unit_bags(counts: DataFrame, stoplist: tuple[str, ...] = STOPWORDS) -> DataF
     return kept.join(norm, "id").select("id", "word", (F.col("tf") / F.col("norm")).alias("w"))
 
 
-def pair_scores(vectors: DataFrame) -> DataFrame:
-    """``(a, b, score)`` with a < b: cosine of the pairs that share a term."""
-    left = vectors.select("word", F.col("id").alias("a"), F.col("w").alias("wa"))
-    right = vectors.select("word", F.col("id").alias("b"), F.col("w").alias("wb"))
-    return left.join(right, "word").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+def pair_scores(vectors: DataFrame, most: int = 2048) -> DataFrame:
+    """``vectors(id, word, w)`` -> ``(a, b, score)`` with a < b: cosine of the pairs that share a term.
+
+    A term's documents are cut into blocks of about ``most``, and every pair of blocks is multiplied by itself; products
+    add up before they are shuffled.
+    """
+    met = met_pairs(vectors.select("word", "id", "w"), "word", "id", most)
+    return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("score"))
 
 
 def all_pair_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
