@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.words import title_words, tokens, url_decoded
-from threadloom.operators import components, degrees, evidence, partitions, paths, removal, texts
+from threadloom.operators import components, degrees, evidence, partitions, paths, removal, texts, views
 from threadloom.operators.ranks import placed
 from threadloom.plans import cross, graph_oracles, graph_queries, text_oracles, text_queries, view_queries
 from threadloom.plans.graph_queries import TRIALS
 from threadloom.sources import tables
 
-RATE = 5.88
-
 
 def evidence_filter(s: SparkSession, d: str) -> DataFrame:
     """Shared runs between documents that follow each other in a source."""
@@ -91,16 +87,19 @@ def takeaway(s: SparkSession, d: str) -> DataFrame:
 
 
 def poisson_tail(s: SparkSession, d: str) -> DataFrame:
-    """Guide curve: the chance of a degree of k or more at a mean of ``RATE``."""
-    below = F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(0.0), lambda acc, i: acc + F.exp(F.lit(-RATE)) * F.pow(F.lit(RATE), i) / F.factorial(i.cast("int")))
-    return s.range(0, 19).select(F.col("id").alias("k")).select("k", F.when(F.col("k") == 0, 1.0).otherwise(1 - below).alias("tail"))
+    """Shares of parts with as many links in as each observed number or more, beside a Poisson tail of the same mean."""
+    degree = graph_queries.degree_table(s, d)
+    mean = degree.agg(F.avg("in_degree").alias("mean"))
+    first = F.struct(F.exp(-F.col("mean")).alias("term"), F.lit(0.0).alias("below"))
+    step = lambda acc, i: F.struct((acc["term"] * F.col("mean") / i).alias("term"), (acc["below"] + acc["term"]).alias("below"))
+    below = F.aggregate(F.sequence(F.lit(1), F.col("value").cast("int")), first, step)["below"]
+    return degrees.ccdf(degree, "in_degree").crossJoin(F.broadcast(mean)).select(F.col("value").alias("k"), F.col("probability").alias("share"), (1 - below).alias("tail"))
 
 
 def release_gate(s: SparkSession, d: str) -> DataFrame:
-    from threadloom.operators import views
-
-    due = views.released(views.release_calendar(s, view_queries.FIRST, 60), datetime.datetime(2026, 11, 18, 18))
-    return due.select("week", "latest")
+    """Weeks of the calendar that are out by the middle of the orders."""
+    now = tables.table(s, d, "orders").agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("o_orderdate").cast("timestamp")) + F.unix_micros(F.max("o_orderdate").cast("timestamp"))) / 2))).first()[0]
+    return views.released(view_queries._calendar(s, d), now).select("week", "latest")
 
 
 def url_round_trip(s: SparkSession, d: str) -> DataFrame:
@@ -149,6 +148,9 @@ ORACLES = {
     + graph_oracles._states("range((SELECT count(*) + 1 FROM nodes))")
     + """, f AS (SELECT removed, max(giant) FILTER (trial = 'degree') AS dg, max(giant) FILTER (trial = 'betweenness') AS bt, avg(giant) FILTER (trial NOT IN ('degree', 'betweenness')) AS mean FROM curve GROUP BY 1)
  SELECT removed::BIGINT AS removed, CASE WHEN dg <= bt THEN 'degree' ELSE 'betweenness' END AS better, round(mean - least(dg, bt), 9) AS gap FROM f""",
-    "poisson_tail": f"""SELECT k, round(CASE WHEN k = 0 THEN 1.0 ELSE 1 - (SELECT sum(exp(-{RATE}) * pow({RATE}, i) / factorial(i::INTEGER)::DOUBLE) FROM (SELECT unnest(range(19)) AS i) WHERE i < k) END::DOUBLE, 9) AS tail FROM (SELECT unnest(range(19)) AS k)""",
-    "release_gate": "SELECT k AS week, k = 11 AS latest FROM (SELECT unnest(range(1, 12)) AS k)",
+    "poisson_tail": graph_oracles.LINK
+    + """, m AS (SELECT avg(in_degree) AS mean, count(*) FILTER (in_degree > 0) AS n FROM deg), v AS (SELECT in_degree AS k, count(*) AS c FROM deg WHERE in_degree > 0 GROUP BY 1)
+ SELECT k, round((SELECT sum(c) FROM v w WHERE w.k >= v.k) / n::DOUBLE, 9) AS share, round(1 - (SELECT sum(exp(-mean + i * ln(mean) - lgamma(i + 1))) FROM (SELECT unnest(range(5000)) AS i) WHERE i < v.k), 9) AS tail FROM v, m""",
+    "release_gate": view_queries.CALENDAR
+    + """, o AS (SELECT make_timestamp((epoch_us(min(o_orderdate)) + epoch_us(max(o_orderdate))) // 2) AS middle FROM orders) SELECT week, week = max(week) OVER () AS latest FROM cal, o WHERE release_utc <= middle""",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,9 @@ from threadloom.sources import tables
 TERMS = ["5", "Supplier#000000003", "supplier", "000000", "zzz", " "]
 NAMES = ["12", "Red  Widget", "blue bolt", "small ring", "zzz", "widget"]
 PROBES = [(1, 10.0, 20.0, 30.0), (2, 50.0, 50.0, 50.0), (3, 0.0, 0.0, 0.0)]
-FIRST = datetime.date(2026, 9, 9)
+#: Wednesdays of the orders and their release instants.
+CALENDAR = """WITH f AS (SELECT min(o_orderdate)::DATE + ((3 - isodow(min(o_orderdate)) + 7) % 7)::INTEGER AS first, max(o_orderdate)::DATE AS last FROM orders),
+ k AS (SELECT first, unnest(range(least(260, 1 + (last - first) // 7))) AS k FROM f), cal AS (SELECT k + 1 AS week, (first + (k * 7)::INTEGER)::DATE AS day, timezone('UTC', timezone('Europe/Copenhagen', (first + (k * 7)::INTEGER)::TIMESTAMP + INTERVAL 19 HOUR)) AS release_utc FROM k)"""
 
 
 def _values(rows: list[str]) -> str:
@@ -134,8 +134,14 @@ def board_hint(s: SparkSession, d: str) -> DataFrame:
     return views.board_hint(placed.withColumn("pointed", F.when((F.col("a") + F.col("b")) % 2 == 0, F.col("b"))), _targets(wires))
 
 
+def _calendar(s: SparkSession, d: str) -> DataFrame:
+    """Weekly releases from the first Wednesday of the orders to the last, 260 at most."""
+    first, last = tables.table(s, d, "orders").agg(F.next_day(F.date_sub(F.min("o_orderdate").cast("date"), 1), "Wed"), F.max("o_orderdate").cast("date")).first()
+    return views.release_calendar(s, first, min(260, 1 + (last - first).days // 7))
+
+
 def release_calendar(s: SparkSession, d: str) -> DataFrame:
-    return views.release_calendar(s, FIRST, 60).select("week", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("release_utc", "yyyy-MM-dd HH:mm:ss").alias("release_utc"))
+    return _calendar(s, d).select("week", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("release_utc", "yyyy-MM-dd HH:mm:ss").alias("release_utc"))
 
 
 QUERIES = {
@@ -192,7 +198,5 @@ ORACLES = {
  fl AS (SELECT tg.board, tg.id FROM tg LEFT JOIN (SELECT board, b AS id, count(*) AS i FROM p WHERE pointed IS NOT NULL GROUP BY 1, 2) x ON x.board = tg.board AND x.id = tg.id LEFT JOIN (SELECT board, a AS id, count(*) AS o FROM p WHERE pointed IS NOT NULL GROUP BY 1, 2) y ON y.board = tg.board AND y.id = tg.id
  WHERE coalesce(i, 0) = in_target OR coalesce(o, 0) = out_target), r AS (SELECT *, CASE WHEN pointed <> target THEN 1 WHEN pointed IS NULL AND ((board, a) IN (SELECT board, id FROM fl) OR (board, b) IN (SELECT board, id FROM fl)) THEN 2 WHEN pointed IS NULL THEN 3 END AS kind FROM p)
  SELECT board, kind::BIGINT AS kind, place, source, target FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY kind, place) AS rn FROM r WHERE kind IS NOT NULL) WHERE rn = 1""",
-    # Summer time ends on 2026-10-25, begins on 2027-03-28 and ends on 2027-10-31.
-    "release_calendar": """SELECT k + 1 AS week, strftime(DATE '2026-09-09' + (k * 7)::INTEGER, '%Y-%m-%d') AS day, strftime(DATE '2026-09-09' + (k * 7)::INTEGER, '%Y-%m-%d') ||
- CASE WHEN DATE '2026-09-09' + (k * 7)::INTEGER BETWEEN DATE '2026-10-25' AND DATE '2027-03-27' OR DATE '2026-09-09' + (k * 7)::INTEGER >= DATE '2027-10-31' THEN ' 18:00:00' ELSE ' 17:00:00' END AS release_utc FROM (SELECT unnest(range(60)) AS k)""",
+    "release_calendar": CALENDAR + " SELECT week, strftime(day, '%Y-%m-%d') AS day, strftime(release_utc, '%Y-%m-%d %H:%M:%S') AS release_utc FROM cal",
 }

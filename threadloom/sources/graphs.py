@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def content_rows(spark: SparkSession, path: str) -> DataFrame:
-    """``(fields, file order)`` of a tab-separated file: byte-order mark, blank lines and ``#`` lines dropped."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^\\ufeff", "").alias("line"), F.monotonically_increasing_id().alias("place"))
+    """``(fields, place)`` of a tab-separated file or a folder of such, ``place`` in file order: byte-order mark, blank lines and ``#`` lines dropped."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place")
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\\ufeff", "").alias("line"), place)
     kept = lines.where((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
     return kept.select(F.split("line", "\t").alias("fields"), "place")
 
@@ -22,11 +23,13 @@ def _fail(found: DataFrame, what: str) -> None:
 def load_nodes(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The roster with its header's columns; ``node_id`` becomes ``id``. Strict loading raises on any malformed row."""
     rows = content_rows(spark, path)
-    head = rows.orderBy("place").first()
+    head = rows.agg(F.min(F.struct("place", "fields")).alias("m")).select("m.*").first()
+    head = None if head["fields"] is None else head
     if head is None or not {"node_id", "name"} <= set(head.fields):
         raise ValueError("the header must hold node_id and name")
     columns = list(head.fields)
-    body = rows.where(F.col("place") != head.place)
+    same = [F.col(f"place.{c}") == head.place[c] for c in ("file", "block", "line")]
+    body = rows.where(~(same[0] & same[1] & same[2]))
     if strict:
         _fail(body.where(F.size("fields") != len(columns)).select(F.array_join("fields", "|")), "rows of the wrong width")
     nodes = body.select(*(F.trim(F.get("fields", F.lit(i))).alias("id" if c == "node_id" else c) for i, c in enumerate(columns)))
