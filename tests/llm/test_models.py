@@ -143,8 +143,8 @@ NOTICES = (
 
 
 def test_license_families(spark):
-    rows = [(i, "\n".join(sentence("aa") for _ in range(4)) + "\n" + text) for i, (_, text) in enumerate(licenses.TEMPLATES)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "We like the general idea of a license to redistribute software."), (104, sentence("bb", 30_000)), (0, rows[0][1])]
+    rows = [(1000 + i, "\n".join(sentence("aa") for _ in range(4)) + "\n" + text) for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "We like the general idea of a license to redistribute software."), (104, sentence("bb", 30_000)), (1000, rows[0][1])]
     rows += [(105, f"{sentence('aa', 60)[:-1]} Licensed under the Apache License, Version 2.0 by thoing erwh {sentence('bb', 60)}")]
     rows += [(200 + 3 * k + j, lead + text + tail) for k, (_, text) in enumerate(NOTICES) for j, (lead, tail) in enumerate((("", ""), (sentence("aa", 80) + " ", " " + sentence("aa", 80)), (sentence("bb") + "\n\n", "\n\n" + sentence("cc"))))]
     rows += [(300, "\n".join([NOTICES[4][1], "", NOTICES[8][1]])), (301, " ".join(["license"] * 5000))]
@@ -153,11 +153,11 @@ def test_license_families(spark):
     by = {}
     for r in found:
         by.setdefault(r.doc_id, set()).add(r.family)
-    assert np.mean([by.get(i) == {family} for i, (family, _) in enumerate(licenses.TEMPLATES)]) > 0.9
+    assert np.mean([by.get(1000 + i) == {family} for i, (family, _) in enumerate(licenses.TEMPLATES)]) > 0.9
     assert all(by.get(200 + 3 * k + j) == {family} for k, (family, _) in enumerate(NOTICES) for j in range(3))
     assert by[300] == {"MIT", "Apache-2.0"} and by[105] == {"Apache-2.0"}
     assert not set(by) & {100, 101, 102, 103, 104, 301}
-    assert sum(r.doc_id == 0 for r in found) == 2
+    assert sum(r.doc_id == 1000 for r in found) == 2
     texts = dict(rows)
     for r in found:
         assert r.text in texts[r.doc_id] and len(licenses.WORD.findall(r.text)) == r.n_words and 0.6 <= r.similarity <= 1 and 0.5 <= r.probability <= 1
@@ -175,3 +175,113 @@ def test_window_scores_equal_plain_ones():
         known = [number[g] for g in grams if g in number]
         want = m.bias + 8 * m.weight[known].sum(axis=0) / len(grams) + 8 * (1 - len(known) / len(grams)) * m.weight[-1]
         assert np.allclose(got, want / m.temperature, atol=1e-4)
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    rng = np.random.default_rng(1)
+    stock = ["".join(rng.choice(SYLLABLES["aa"] + SYLLABLES["cc"], int(rng.integers(1, 4)))) for _ in range(300)]
+    return licenses.train([" ".join(rng.choice(stock, int(rng.integers(4, 40)))) for _ in range(1500)])
+
+
+def families(m, text):
+    return {f for _, _, _, f, _, _ in licenses.classify(m, [text], {}, 0.5, 0.6)}
+
+
+MENTIONS = [
+    ("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-only"), ("LGPL", "/* SPDX-License-Identifier: LGPL-2.1-or-later */"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "This code is available under the MIT License, see LICENSE"), ("GPL-3.0", "It is distributed under the terms of the GNU General Public License v3.0."), ("BSD-3-Clause", "Code is licensed under the BSD 3-Clause License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.,\n51 Franklin Street, Fifth Floor, Boston"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc."),
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("CC-BY", "Creative Commons Attribution 3.0 Unported"), ("CC-BY-SA", "under a Creative Commons Attribution-ShareAlike 3.0 Unported License"), ("CC-BY-NC", "Creative Commons Attribution-NonCommercial 2.0 Generic License"), ("CC-BY-SA", "Licensed under CC BY-SA 3.0"),
+]
+
+
+def test_short_mentions_and_heads_of_full_texts(scanner):
+    got = [(family, families(scanner, f"Some words before it.\n{text}\nAnd after.")) for family, text in MENTIONS]
+    assert all(found == {family} for family, found in got), got
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SPDX-License-Identifier: PostgreSQL", "SPDX-License-Identifier: MS-PL", "available under the PostgreSQL License", "licensed under the Python Software Foundation License Version 2", "Microsoft Public License (Ms-PL)",
+        "distributed under the terms of the Academic Free License v3.0", "GNU Free Documentation License, Version 1.3", "licensed under a private agreement", "The creative commons is a nice idea", "available under the counter",
+    ],
+)
+def test_none_of_these(scanner, text):
+    assert families(scanner, text) == families(scanner, f"We say: {text}. More words follow here.") == set()
+
+
+def plain_stretches(m, words, least):
+    """Best stretch of each template by looking at every gap between its word pairs."""
+    out = []
+    pairs = licenses.pairs_of(words).tolist()
+    for t, (family, size) in enumerate(m.templates):
+        own = [k for k, p in enumerate(pairs) if t in m.holders.get(p, ())]
+        runs = []
+        for k in own:
+            if not runs or k - runs[-1][-1] > 10:
+                runs.append([])
+            runs[-1].append(k)
+        best = max(((len({pairs[k] for k in r}), r[0], r[-1] + 2) for r in runs), default=(0, 0, 0))
+        if best[0] and best[0] >= least * size:
+            out.append((best[0] / size, best[0], family, best[1], best[2]))
+    return sorted(out, key=lambda x: (-round(x[0], 2), -x[1], x[3], x[2]))
+
+
+def plain_notices(m, text, least_probability, least_similarity):
+    layout = licenses.lay_out(text, {})
+    words, wins = np.array(layout.words, np.uint64), set()
+    for marks in (layout.lines, layout.sentences):
+        wins |= set(zip([0, *sorted(set(marks))], sorted(set(marks))))
+    ends = sorted(set(layout.paragraphs))
+    for a, b in zip([0, *ends], ends):
+        for size, stride in licenses.WINDOWS:
+            at = a
+            while at == a or at < b - stride:
+                wins.add((at, min(at + size, b)))
+                at += stride
+    known = set(m.vocabulary.tolist())
+    grams = licenses.ngram_hashes(words)[1].tolist() if len(words) > 1 else []
+    probability = lambda a, b: licenses._softmax(licenses.logits(m, words, np.array([a]), np.array([b])))[0]
+    near = [(a, b) for a, b in sorted(wins) if b - a > 1 and any(g in known for g in grams[a : b - 1]) and probability(a, b)[0] < 0.5]
+    inside = np.zeros(len(words) + 1, bool)
+    regions = []
+    for a, b in sorted((max(0, a - licenses.MARGIN), min(len(words), b + licenses.MARGIN)) for a, b in near):
+        if regions and a <= regions[-1][1]:
+            regions[-1][1] = max(b, regions[-1][1])
+        else:
+            regions.append([a, b])
+    out = []
+    for a, b in regions:
+        inside[:] = False
+        for share, _, family, s, e in plain_stretches(m, words[a:b], least_similarity):
+            if inside[s:e].any():
+                continue
+            part = licenses._softmax(licenses.logits(m, words[a:b], np.array([s]), np.array([e])))[0]
+            if part.argmax() == family and part[family] >= least_probability:
+                inside[s:e] = True
+                out.append((0, a + s, e - s, m.families[family], pytest.approx(float(part[family])), pytest.approx(share)))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_notices_equal_a_plain_scan(scanner):
+    rng = np.random.default_rng(2)
+    texts = ["", "one", "\n\n", *(t for _, t in MENTIONS)]
+    for _ in range(60):
+        parts = [licenses.TEMPLATES[int(k)][1] for k in rng.integers(0, len(licenses.TEMPLATES), int(rng.integers(1, 4)))]
+        words = " ".join(parts).split()
+        kept = [w if rng.random() > 0.1 else "changed" for w in words]
+        cut = int(rng.integers(0, len(kept)))
+        texts.append(" ".join(kept[:cut]) + str(rng.choice(["\n", "\n\n", ". ", " "])) + sentence("aa", int(rng.integers(0, 90))) + " " + " ".join(kept[cut:]))
+    found = 0
+    for text in texts:
+        got = licenses.classify(scanner, [text], {}, 0.5, 0.6)
+        assert got == plain_notices(scanner, text, 0.5, 0.6)
+        found += len(got)
+    assert found > 60
+    together = licenses.classify(scanner, texts, {}, 0.5, 0.6)
+    assert [(f, n) for _, _, n, f, _, _ in together] == [(f, n) for t in texts for _, _, n, f, _, _ in licenses.classify(scanner, [t], {}, 0.5, 0.6)]

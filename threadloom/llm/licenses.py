@@ -24,7 +24,7 @@ from threadloom.llm.shared import Shared, lean, small_slices
 
 UNKNOWN = "unknown"
 #: Family and wording of public licences and notices.
-TEMPLATES = (
+WORDINGS = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "The MIT License (MIT)"),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -66,13 +66,74 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("All-rights-reserved", "All rights reserved."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991. Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007. Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999. Copyright (C) 1991, 1999 Free Software Foundation, Inc."),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007. Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007. Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0. 1. Definitions. 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("CC0", "Creative Commons Legal Code. CC0 1.0 Universal. CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES."),
+)
+#: Short names and identifiers of the families.
+NAMES = (
+    ("MIT", ("MIT License",)),
+    ("Apache-2.0", ("Apache License 2.0", "Apache 2.0 License")),
+    ("GPL-2.0", ("GNU General Public License v2.0", "GNU GPL version 2", "GPLv2")),
+    ("GPL-3.0", ("GNU General Public License v3.0", "GNU GPL version 3", "GPLv3")),
+    ("LGPL", ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License v3.0", "LGPLv2.1", "LGPLv3")),
+    ("AGPL-3.0", ("GNU Affero General Public License v3.0", "AGPLv3")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "Simplified BSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "New BSD License")),
+    ("ISC", ("ISC License",)),
+    ("MPL-2.0", ("Mozilla Public License 2.0", "MPL 2.0")),
 )
+IDENTIFIERS = (
+    ("MIT", ("MIT",)),
+    ("Apache-2.0", ("Apache-2.0",)),
+    ("GPL-2.0", ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later")),
+    ("GPL-3.0", ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later")),
+    ("LGPL", ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later")),
+    ("AGPL-3.0", ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later")),
+    ("BSD-2-Clause", ("BSD-2-Clause",)),
+    ("BSD-3-Clause", ("BSD-3-Clause",)),
+    ("ISC", ("ISC",)),
+    ("MPL-2.0", ("MPL-2.0",)),
+    ("CC-BY", ("CC-BY-3.0", "CC-BY-4.0")),
+    ("CC-BY-SA", ("CC-BY-SA-3.0", "CC-BY-SA-4.0")),
+    ("CC-BY-NC", ("CC-BY-NC-3.0", "CC-BY-NC-4.0")),
+    ("CC0", ("CC0-1.0",)),
+    ("Unlicense", ("Unlicense",)),
+)
+CREATIVE = (("CC-BY", "Attribution", "BY"), ("CC-BY-SA", "Attribution-ShareAlike", "BY-SA"), ("CC-BY-NC", "Attribution-NonCommercial", "BY-NC"))
+VERSIONS = (("2.0", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+FRAMES = ("available under the {}", "distributed under the terms of the {}", "licensed under the {}")
+IDENTIFIER = "SPDX-License-Identifier: {}"
+#: Licences outside of the families; with the frames they teach the unknown class what the name decides.
+OTHERS = ("Boost Software License 1.0", "zlib License", "Eclipse Public License v2.0", "European Union Public Licence v1.2", "Artistic License 2.0", "SIL Open Font License 1.1", "Common Development and Distribution License 1.0", "license", "terms of this agreement")
+OTHER_IDENTIFIERS = ("BSL-1.0", "Zlib", "EPL-2.0", "EUPL-1.2", "Artistic-2.0", "OFL-1.1", "CDDL-1.0", "WTFPL", "NCSA")
+TEMPLATES = (
+    *WORDINGS,
+    *((family, IDENTIFIER.format(x)) for family, names in IDENTIFIERS for x in names),
+    *((family, FRAMES[0].format(x)) for family, names in NAMES for x in names),
+    *((family, f"Creative Commons {kind} {version} {where} License") for family, kind, _ in CREATIVE for version, where in VERSIONS),
+    *((family, f"licensed under CC {code} {version}") for family, _, code in CREATIVE for version, _ in VERSIONS[:2]),
+)
+NEAR_MISSES = (
+    *(IDENTIFIER.format(x) for x in OTHER_IDENTIFIERS),
+    *(frame.format(x) for frame in FRAMES for x in OTHERS),
+    "SPDX-License-Identifier", "available under the", "Creative Commons", "Creative Commons License", "GNU Free Documentation License", "General Public License", "Public License version 2.0",
+)
 BREAK = re.compile(r"\n[^\S\n]*\n\s*")
 SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 NGRAMS = 3
 #: Words of the overlapping windows and their distance.
 WINDOWS = ((40, 20), (12, 6))
 MARGIN = 40
+#: Characters of a line that the model learns from at most.
+LINE_LETTERS = 2000
 
 
 @dataclass
@@ -150,7 +211,10 @@ def _variants(words: list[int], noise: list[int], rng: np.random.Generator, coun
 
 
 def train(corpus: list[str], variants: int = 24, steps: int = 120, seed: int = 3) -> Model:
-    """Fit on the templates' variants and, as unknown, stretches of the corpus that no template resembles."""
+    """Fit on the templates' variants and, as unknown, ``NEAR_MISSES``, shuffled template words, and lines of the corpus that no template resembles.
+
+    Of such a line the first 40 words are learned from, the length of the longest window; 5,000 of their words surround the variants.
+    """
     rng, cache = np.random.default_rng(seed), {}
     families = [UNKNOWN, *dict.fromkeys(f for f, _ in TEMPLATES)]
     wordings = [(families.index(f), word_hashes(t, cache)) for f, t in TEMPLATES]
@@ -163,9 +227,14 @@ def train(corpus: list[str], variants: int = 24, steps: int = 120, seed: int = 3
     plain = [w for p in corpus if len(w := word_hashes(p, cache)) > 1 and np.mean([p in holders for p in pairs_of(np.array(w, np.uint64)).tolist()]) < 0.3]
     noise = sorted({h for p in plain for h in p})[:5000]
     examples = [(c, v) for c, w in wordings for v in _variants(w, noise, rng, variants) if v]
-    examples += [(0, p[:40]) for p in plain[: variants * len(wordings)]]
+    examples += [(c, v) for family, names in NAMES for x in names for frame in FRAMES for c in [families.index(family)] for v in _variants(word_hashes(frame.format(x), cache), noise, rng, variants // 4)]
+    misses = [word_hashes(x, cache) for x in NEAR_MISSES]
+    examples += [(0, v) for w in misses for v in _variants(w, noise, rng, variants // 2) if v]
+    frames = [word_hashes(x.format(""), cache) for x in (*FRAMES, IDENTIFIER)]
+    examples += [(0, frames[k % len(frames)] + [noise[int(j)] for j in rng.integers(0, len(noise), int(rng.integers(1, 4)))]) for k in range(variants * 4 if noise else 0)]
+    examples += [(0, p[:40]) for p in plain[: variants * len(WORDINGS)]]
     examples += [(0, [known[int(k)] for k in rng.integers(0, len(known), int(rng.integers(2, 20)))]) for _ in range(variants * 16)]
-    vocabulary = np.unique(np.concatenate([h for _, w in wordings for h in ngram_hashes(np.array(w, np.uint64))]))
+    vocabulary = np.unique(np.concatenate([h for w in (*(w for _, w in wordings), *misses) for h in ngram_hashes(np.array(w, np.uint64))]))
     y = np.array([c for c, _ in examples])
     x = np.zeros((len(examples), len(vocabulary) + 1), np.float32)
     for k, (_, w) in enumerate(examples):
@@ -307,11 +376,12 @@ def wording(text: str, first: int, count: int) -> str:
 def fit(docs: DataFrame, fit_docs: int = 500, **options) -> Model:
     """Train with lines of about ``fit_docs`` documents, chosen by the hash of their ids, as the unknown class.
 
-    Null texts give none, repeated rows count each; without a document the unknown class is learned from shuffled template words alone.
+    Of a line its first ``LINE_LETTERS`` characters are taken. Null texts give none, repeated rows count each; without a document the unknown class is learned from shuffled template words alone.
     """
     usable = docs.where("text IS NOT NULL")
     part = int(min(1.0, fit_docs / max(usable.count(), 1)) * (1 << 30))
     lines = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < part).select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    lines = lines.select(F.left("line", F.lit(LINE_LETTERS)).alias("line"))
     rows = lines.orderBy(F.xxhash64("line"), "line").limit(20 * fit_docs).collect()
     return train([r.line for r in rows], **options)
 
