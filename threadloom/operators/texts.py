@@ -47,18 +47,20 @@ def ngrams(paras: DataFrame, n: int) -> DataFrame:
 
 def gram_hashes(paras: DataFrame, n: int) -> DataFrame:
     """``(id, para, pos, h, g)``: every run of ``n`` words inside a paragraph as two 64-bit hashes."""
-    each = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.struct(F.xxhash64(F.slice("words", i, n)).alias("h"), F.xxhash64(F.lit(1), F.slice("words", i, n)).alias("g")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.slice("words", i, n))
+    each = F.transform(runs, lambda run: F.struct(F.xxhash64(run).alias("h"), F.xxhash64(F.lit(1), run).alias("g")))
     return paras.where(F.size("words") >= n).select("id", "para", F.posexplode(each).alias("pos", "x")).select("id", "para", "pos", "x.h", "x.g")
 
 
 def ngram_documents(paras: DataFrame, n: int, k: int) -> DataFrame:
     """The ``k`` runs found in most documents, ties by wording: ``(gram, documents, pairs)``.
 
-    Runs are counted by their hashes; only those with at least the k-th largest count get their wording back.
+    Runs are counted by their hashes; only those with at least the k-th largest count get their wording back. They are written
+    first, so that few are broadcast and many are not.
     """
     counts, _ = materialize(gram_hashes(paras, n).select("h", "g", "id").distinct().groupBy("h", "g").agg(F.count("*").alias("documents")), "grams")
     least = counts.select("documents").orderBy(F.desc("documents")).limit(k).agg(F.min("documents").alias("least"))
-    top = counts.crossJoin(F.broadcast(least)).where("documents >= least")
+    top, _ = materialize(counts.crossJoin(F.broadcast(least)).where("documents >= least").drop("least"), "top-grams")
     met = gram_hashes(paras, n).join(top, ["h", "g"]).select("id", "para", "pos", "h", "g", "documents").groupBy("h", "g").agg(F.first("documents").alias("documents"), F.min(F.struct("id", "para", "pos")).alias("at"))
     worded = met.select(F.col("at.id").alias("id"), F.col("at.para").alias("para"), F.col("at.pos").alias("pos"), "documents").join(paras, ["id", "para"])
     by = worded.select(F.array_join(F.slice("words", F.col("pos") + 1, n), " ").alias("gram"), "documents")
