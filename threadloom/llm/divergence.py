@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from threadloom.session import materialize
 
 SEED = 42
 SCALE = 1_000_000_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 12 << 20
+#: Slices that are hashed or compared at once, and rows that leave a task at once.
+SOME = 200_000
 BLOCK_CELLS = 200_000
 CHUNK_SOURCES = 256
 SALTS = 64
@@ -48,17 +51,21 @@ def grouped(low: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
 
     Slices with one XXH64 are compared with the first of them, and those that differ become terms of their own.
     """
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(low[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    digest, hashes = xxhash.xxh64_intdigest, np.zeros(len(starts), np.uint64)
+    for k in range(0, len(starts), SOME):
+        some = zip(starts[k : k + SOME].tolist(), ends[k : k + SOME].tolist(), strict=True)
+        hashes[k : k + SOME] = np.fromiter((digest(low[a:b], SEED) for a, b in some), np.uint64, min(SOME, len(starts) - k))
     _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
     sizes, head = ends - starts, first[group]
     odd = sizes != sizes[head]
-    same = np.flatnonzero(~odd)
-    inner = np.arange(int(sizes[same].sum())) - np.repeat(np.cumsum(sizes[same]) - sizes[same], sizes[same])
-    data = np.frombuffer(low, np.uint8)
-    differs = data[np.repeat(starts[same], sizes[same]) + inner] != data[np.repeat(starts[head[same]], sizes[same]) + inner]
-    if differs.any():
-        odd[np.repeat(same, sizes[same])[differs]] = True
+    data, same = np.frombuffer(low, np.uint8), np.flatnonzero(~odd)
+    for k in range(0, len(same), SOME):
+        own = same[k : k + SOME]
+        n = sizes[own]
+        inner = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        differs = data[np.repeat(starts[own], n) + inner] != data[np.repeat(starts[head[own]], n) + inner]
+        if differs.any():
+            odd[np.repeat(own, n)[differs]] = True
     extra: dict[bytes, int] = {}
     heads = first.tolist()
     for k in np.flatnonzero(odd).tolist():
@@ -101,13 +108,26 @@ def batch_cells(batch: pa.RecordBatch) -> pa.RecordBatch:
 def term_cells(docs: DataFrame) -> DataFrame:
     """``docs(text, lang, source)`` without nulls -> ``(lang, source, term, n, docs)``; every group has a row without a term."""
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in small_slices(batches, "text", rows=20_000, most_bytes=BATCH_BYTES):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + n > BATCH_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+        if held:
+            yield pa.concat_batches(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "text", rows=20_000, most_bytes=BATCH_BYTES):
-            yield batch_cells(batch)
+        for batch in gathered(batches):
+            cells = batch_cells(batch)
+            for k in range(0, cells.num_rows, SOME):
+                yield cells.slice(k, SOME)
 
     found = docs.mapInArrow(lean(run), "lang string, source string, term string, n long, docs long")
-    # Batches are combined already, and few terms repeat between those of a task: no second combination before the shuffle.
-    return found.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: str, total: str, terms: str) -> Column:
