@@ -126,7 +126,7 @@ def link_counts(vectors: DataFrame, min_cos: float, trees: int | None = None, le
     spark = vectors.sparkSession
     total = vectors.count()
     share = min(1.0, fit_rows / max(total, 1))
-    picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").limit(2 * fit_rows).collect()
+    picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("id", F.lit(seed)), "id").select("embedding").limit(2 * fit_rows).collect()
     by_dim: dict = {}
     for (v,) in picked:
         by_dim.setdefault(len(v), []).append(v)

@@ -210,7 +210,8 @@ def windows_of(text: str) -> list[bytes]:
 def fit(docs: DataFrame, fit_docs: int = 1500, **options) -> Tagger | None:
     """Train on windows of about ``fit_docs`` labelled documents outside the held-out fifth, chosen by the hash of their ids.
 
-    Every such row counts, rows that repeat an id too, whatever their languages. None if no row can be learned from.
+    Every such row counts, rows that repeat an id too, whatever their languages; where ids repeat so often that the windows are over twice
+    as many as ``fit_docs`` documents give, those with the smallest hashes are taken. None if no row can be learned from.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und") & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
     total = usable.count()
@@ -223,7 +224,8 @@ def fit(docs: DataFrame, fit_docs: int = 1500, **options) -> Tagger | None:
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([lang] * len(own), pa.string())], ["window", "lang"])
 
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < part).select("text", "lang")
-    rows = chosen.mapInArrow(lean(run), "window binary, lang string").limit(2 * fit_docs * (WINDOWS + len(SIZES))).collect()
+    most = 2 * fit_docs * (WINDOWS + len(SIZES))
+    rows = chosen.mapInArrow(lean(run), "window binary, lang string").orderBy(F.xxhash64("window", "lang"), "window", "lang").limit(most).collect()
     return train([(bytes(r.window), r.lang) for r in rows], **options) if rows else None
 
 

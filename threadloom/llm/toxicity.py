@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.shared import Shared, held_out, lean, small_slices
@@ -24,6 +24,7 @@ WORD = re.compile(r"\w+")
 ORDERS = (2, 3, 4, 5, 6)
 BUCKETS = 1 << 20
 CACHE_WORDS = 200_000
+SAME_ID = 4
 LONG_WORD = 64  # longer words are not kept
 
 
@@ -136,8 +137,8 @@ def _features(batches: Iterator[pa.RecordBatch], known: frozenset) -> Iterator[t
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000, keep: int = 4096) -> Scorer | None:
     """Fit on about ``fit_docs`` labelled documents outside the held-out fifth; None if no labelled text is there.
 
-    Labels other than 0 and 1 are left out; an id with both counts as toxic. Every row of ``docs`` with the id is learned
-    from, null texts left out. Extra columns of either table are ignored.
+    Labels other than 0 and 1 are left out; an id with both counts as toxic. Of the rows of ``docs`` with the id the ``SAME_ID`` with the
+    smallest hashes of their texts are learned from, null texts left out. Extra columns of either table are ignored.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isin(0, 1) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -148,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000, keep: int = 40
     if not rows:
         return None
     bounded = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))  # at most 2 * fit_docs rows
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(bounded, "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(bounded, "doc_id").select("doc_id", "text", "toxic")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    sample = rows.withColumn("place", place).where(F.col("place") <= SAME_ID).drop("place")
     ratios = log_ratios(document_counts(sample), keep)
     known = Shared(spark, frozenset(ratios))
 
