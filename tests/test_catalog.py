@@ -49,11 +49,18 @@ def test_the_rest_runs(spark, duck):
     aligned = dict(tuple(r) for r in QUERIES["alignment"](spark, DIR).collect())
     assert len({(aligned[i], x) for i, x in other}) == len({x for _, x in other})
     assert sum(aligned[i] == x for i, x in reference) >= max(sum(x == n and y == k for (_, x), (_, y) in zip(reference, other)) for n in range(25) for k in range(5))
-    texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
-    for r in QUERIES["term_excerpt"](spark, DIR).collect():
-        assert texts[r.id][r.start : r.end] == r.excerpt and r.term in r.excerpt.lower().replace("’", "'") and texts[r.id][r.end :].startswith(r.after)
     label = dict(tuple(r) for r in QUERIES["louvain"](spark, DIR).collect())
     assert set(label) == {i for i, _ in ends(ties)} and set(label.values()) == set(range(len(set(label.values()))))
+    weights, held, inside = [tuple(r) for r in ties.collect()], {}, 0
+    for a, b, w in weights:
+        inside += w * (label[a] == label[b])
+        for x in (a, b):
+            held[label[x]] = held.get(label[x], 0) + w
+    m = sum(w for *_, w in weights)
+    quality = inside / m - sum((k / (2 * m)) ** 2 for k in held.values())
+    runs = {r.run: r for r in QUERIES["stability"](spark, DIR).collect()}
+    assert set(runs) == set(range(10)) and math.isclose(runs[0].modularity, quality, abs_tol=1e-8) and runs[0].rand == 1
+    assert quality > 0 and all(0 < r.modularity < 1 and 0 <= r.rand <= 1 and 1 <= r.largest <= len(label) for r in runs.values())
 
 
 def test_every_oracle_has_a_query():

@@ -109,7 +109,10 @@ def proximity(now: Column, first: Column) -> Column:
 
 
 def greedy_hint(state: DataFrame, palette: DataFrame) -> DataFrame:
-    """``state(id, x, y, z, tx, ty, tz)``, ``palette(place, word, dx, dy, dz)`` -> the word whose single step leads nearest the target."""
+    """``state(id, x, y, z, tx, ty, tz)``, ``palette(place, word, dx, dy, dz)`` -> the word whose single step leads nearest the target.
+
+    The palette is a stated set of words, like a game's; every state tries each.
+    """
     tried = state.join(F.broadcast(palette))
     d = F.sqrt(sum(F.pow(F.col(f"t{c}") - F.col(c) - F.col(f"d{c}"), 2) for c in AXES))
     best = F.min(F.struct(F.round(d, 6).alias("distance"), "place", "word"))
