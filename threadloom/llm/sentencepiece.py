@@ -159,14 +159,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null or empty text has none."""
-        split = [self.words.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for words in split for w in words}.difference(self.cache)
+        seen: dict[str, str] = {}  # one string per distinct word, however often the texts hold it
+        split = [[seen.setdefault(w, w) for w in self.words.findall((MARK if self.prefix else "") + t.replace(" ", MARK))] if t else [] for t in texts]
+        fresh = seen.keys() - self.cache.keys()
         self.letters += sum(map(len, fresh))
         if len(self.cache) + len(fresh) > CACHE_WORDS or self.letters > CACHE_LETTERS:
             self.cache.clear()
             self.borders.clear()
             self.letters = 0
-            fresh = {w for words in split for w in words}
+            fresh = seen.keys()
         self.learn(list(fresh))
         cache = self.cache
         return [np.fromiter((i for w in words for i in cache[w]), np.int32) for words in split]
