@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from threadloom.llm.shared import Shared, lean, small_slices
 MARK = "▁"
 CACHE_WORDS = 300_000
 CACHE_LETTERS = 6_000_000
+CACHE_BORDERS = 100_000
 NEVER = float("inf")
 
 
@@ -164,13 +166,13 @@ class Encoder:
         fresh = seen.keys() - self.cache.keys()
         self.letters += sum(map(len, fresh))
         if len(self.cache) + len(fresh) > CACHE_WORDS or self.letters > CACHE_LETTERS:
-            self.cache.clear()
+            self.cache = {w: self.cache[w] for w in seen.keys() & self.cache.keys()}  # words that come again stay
+            self.letters = sum(map(len, seen))
+        if len(self.borders) > CACHE_BORDERS:
             self.borders.clear()
-            self.letters = 0
-            fresh = seen.keys()
         self.learn(list(fresh))
-        cache = self.cache
-        return [np.fromiter((i for w in words for i in cache[w]), np.int32) for words in split]
+        ids_of = self.cache.__getitem__
+        return [np.fromiter(chain.from_iterable(map(ids_of, words)), np.int32) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
