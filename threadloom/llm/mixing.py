@@ -34,6 +34,7 @@ def drawn(docs: DataFrame, weights: DataFrame | None, seed: int) -> DataFrame:
     """``(doc_id, source_key, size, key, tie)`` per document; the random number is a checksum of seed, id and text, so reruns agree.
 
     ``source_key`` tells a null source from all others. Weights meet their documents in ``SALTS`` parts, so an id that many rows repeat is dealt out.
+    They do so by a sort-merge join: Spark's estimate of their size leaves the ``SALTS`` copies out, and a broadcast would pass all of them through the driver.
     """
     digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("k"), F.col("source").cast("string")))
@@ -42,7 +43,7 @@ def drawn(docs: DataFrame, weights: DataFrame | None, seed: int) -> DataFrame:
     rows = rows.select("doc_id", "source_key", "size", part(1, 13).alias("draw"), part(14, 15).alias("tie"))
     weight = F.lit(1.0)
     if weights is not None:
-        salted = weights.select("doc_id", "weight", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = weights.select("doc_id", "weight", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
         named = rows.where("doc_id IS NOT NULL").withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int")).join(salted, ["doc_id", "salt"], "left").drop("salt")
         rows = named.unionByName(rows.where("doc_id IS NULL").withColumn("weight", F.lit(None).cast("double")))
         weight = F.coalesce("weight", F.lit(1.0))
