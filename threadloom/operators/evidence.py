@@ -6,6 +6,7 @@ would take time quadratic in its length that way, so those run in Arrow batches.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,23 +20,30 @@ from threadloom.operators.texts import BLANK_LINE
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 GAP = re.compile(r"\n\s*\n")
 
+#: Rows of spans that a worker hands on at once.
+SPANS = 20_000
+
 
 def word_spans(docs: DataFrame, gap: str = GAP.pattern) -> DataFrame:
     """``docs(id, text)`` -> ``(id, para, pos, word, start, end)``: half-open character offsets into the text.
 
-    Paragraphs end at ``gap`` (blank lines) and are numbered from 0 among those that hold a word.
+    Paragraphs end at ``gap`` (blank lines) and are numbered from 0 among those that hold a word. A worker holds no more than
+    ``SPANS`` rows besides a batch of texts, however long a text is.
     """
 
+    def spans(text: str) -> Iterator[tuple[int, int, str, int, int]]:
+        para, offset = 0, 0
+        for end in itertools.chain((m.span() for m in re.finditer(gap, text)), [(len(text),) * 2]):
+            k = -1
+            for k, m in enumerate(WORD.finditer(text, offset, end[0])):
+                yield para, k, m.group().lower().replace("’", "'"), *m.span()
+            para, offset = para + (k >= 0), end[1]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                para, offset = 0, 0
-                for end in [*(m.span() for m in re.finditer(gap, text or "")), (len(text or ""),) * 2]:
-                    found = [(m.group().lower().replace("’", "'"), *m.span()) for m in WORD.finditer(text or "", offset, end[0])]
-                    rows += [(doc, para, k, *f) for k, f in enumerate(found)]
-                    para, offset = para + bool(found), end[1]
-            yield pd.DataFrame(rows, columns=["id", "para", "pos", "word", "start", "end"])
+            rows = ((doc, *span) for doc, text in zip(batch["id"], batch["text"], strict=True) for span in spans(text or ""))
+            while held := list(itertools.islice(rows, SPANS)):
+                yield pd.DataFrame(held, columns=["id", "para", "pos", "word", "start", "end"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInPandas(run, f"id {kind}, para int, pos int, word string, start int, end int")
