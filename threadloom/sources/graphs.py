@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.session import materialize
+
 
 def content_rows(spark: SparkSession, path: str) -> DataFrame:
     """``(fields, place)`` of a tab-separated file or a folder of such, ``place`` in file order: byte-order mark, blank lines and ``#`` lines dropped."""
@@ -53,13 +55,14 @@ def load_edges(spark: SparkSession, path: str, nodes: DataFrame, strict: bool =
         _fail(body.where(~F.size("fields").isin(2, 3)).select(F.array_join("fields", "|")), "arcs of the wrong width")
     edges = body.select(F.trim(F.get("fields", F.lit(0))).alias("src"), F.trim(F.get("fields", F.lit(1))).alias("dst"), F.coalesce(F.get("fields", F.lit(2)).cast("double"), F.lit(1.0)).alias("weight"))
     if strict:
+        edges, _ = materialize(edges, "arcs")  # the checks and the caller read columns instead of lines
         check_edges(nodes, edges)
     return edges
 
 
 def unknown_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct ends of arcs that the roster doesn't hold."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return ends.join(nodes.select("id"), "id", "left_anti")
 
 
