@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import decontaminate, language, sentencepiece, simhash, toxicity
-from threadloom.llm.shared import small_rows
+from threadloom.llm.shared import no_guessed_broadcasts, small_rows
 from threadloom.session import drop_path, materialize
 
 
@@ -32,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each group of near copies; see :func:`simhash.keep_first` for nulls, ties and repeats."""
     small_rows(spark)
-    return simhash.keep_first(docs, shingle=5, max_bits=4, similarity=0.8)
+    with no_guessed_broadcasts(spark):
+        return simhash.keep_first(docs, shingle=5, max_bits=4, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,21 @@ def small_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+@contextmanager
+def no_guessed_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside meet by a shuffle unless a broadcast is asked for.
+
+    Every table under 10 MB otherwise passes through the driver, and rounds of joins hold many of these at once.
+    """
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def small_slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``most_bytes`` bytes of a text, binary or list column; a larger value stands alone."""
     for batch in batches:
