@@ -170,9 +170,9 @@ class Units(dict):
     here for Latin letters; any other unit goes through the whole library.
     """
 
-    def __init__(self, library, kind: str, before: str):
+    def __init__(self, library, merger, kind: str, before: str):
         super().__init__()
-        self.library, self.tokenize, self.pieces = library, library.model.tokenize, {}
+        self.library, self.tokenize, self.pieces = library, merger.tokenize, {}
         self.code, self.before = "H" if kind == "<u2" else "I", before
         self.marks = {m: self.whole(m) for m in ".,"}
 
@@ -227,7 +227,11 @@ class Tokens:
         rule = made.get("pre_tokenizer") or {}
         ordinary = all("<" in t["content"] for t in made.get("added_tokens", []))
         self.by_unit = rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and not made.get("normalizer") and not made.get("post_processor") and ordinary
-        self.units, self.firsts = Units(self.library, self.kind, " "), Units(self.library, self.kind, "")
+        self.merger = self.library.model
+        if self.by_unit and hasattr(self.merger, "_resize_cache"):  # it sees a unit once, so its own cache would only be filled; whole texts keep theirs
+            self.merger = Tokenizer.from_str(definition).model
+            self.merger._resize_cache(0)
+        self.units, self.firsts = Units(self.library, self.merger, self.kind, " "), Units(self.library, self.merger, self.kind, "")
 
     def plain(self, text: str) -> bool:
         return self.by_unit and not ("  " in text or text.endswith(" ") or "\n \n" in text or odd(text))
@@ -246,9 +250,10 @@ class Tokens:
             met = {w[0] for w in split if w} if heads else set().union(*(w[1:] for w in split if w))
             fresh = met.difference(units)
             if len(units) + len(fresh) > CACHE_UNITS:
+                kept = {u: units[u] for u in met.difference(fresh)}  # what recurs now will recur again
                 units.clear()
                 units.pieces.clear()
-                fresh = met
+                units.update(kept)
             units.learn(fresh)
         out, get = [], self.units.__getitem__
         for text, words in zip(texts, split, strict=True):
