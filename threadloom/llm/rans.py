@@ -250,10 +250,9 @@ class Tokens:
             met = {w[0] for w in split if w} if heads else set().union(*(w[1:] for w in split if w))
             fresh = met.difference(units)
             if len(units) + len(fresh) > CACHE_UNITS:
-                kept = {u: units[u] for u in met.difference(fresh)}  # what recurs now will recur again
                 units.clear()
                 units.pieces.clear()
-                units.update(kept)
+                fresh = met
             units.learn(fresh)
         out, get = [], self.units.__getitem__
         for text, words in zip(texts, split, strict=True):
