@@ -74,6 +74,16 @@ def test_positions_equal_the_plain_recursion():
         assert np.allclose(p, total / max(len(t), 1), atol=1e-4)
 
 
+def test_reading_takes_no_hyperbolic_tangents(monkeypatch):
+    m = language.train([(b"the cat sat on", "a"), (b"der hund ist b", "b"), (b"th", "a")], hidden=5, steps=5, rows=4)
+    raw = [b"the cat", b"x" * 400]
+    want = language.pooled(language.Reader(m), raw)
+    monkeypatch.setattr(np, "tanh", None)
+    assert (language.pooled(language.Reader(m), raw) == want).all()
+    whole = language.Reader(m).probabilities(np.array([list(raw[0]) + [language.PAD] * 9]))[:7, :, 0]
+    assert np.allclose(whole, language.forward(m, np.frombuffer(raw[0], np.uint8)[None, :])[0][:, 0], atol=1e-6)
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")
     assert language.fit(docs) is None
