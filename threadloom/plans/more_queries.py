@@ -24,8 +24,8 @@ def evidence_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def shared_passages(s: SparkSession, d: str) -> DataFrame:
-    """Wording of the shared runs of 20 words or more."""
-    runs = text_queries.shared_runs(s, d).where("length >= 20")
+    """Wording of the shared runs of 20 words or more, which meet on seeds of 20 words: shorter common lines bring no documents together."""
+    runs = texts.shared_runs(text_queries._paras(s, d), 20)
     return evidence.passages(tables.documents(s, d), runs, gap="\n").select("a", "b", "start", "end", F.sha2("passage", 256).alias("passage"))
 
 
